@@ -105,17 +105,20 @@ def pick_labels(value: Column, labels: Column) -> Column:
     items = F.from_json(value, "array<string>")
     valid = F.filter(items, lambda x: F.array_contains(labels, x))
     ordered = F.array_sort(F.array_distinct(F.transform(valid, lambda x: x.try_cast("int"))))
-    return F.when(F.size(ordered) > 0, F.concat(F.lit("["), F.array_join(ordered.cast("array<string>"), ", "), F.lit("]")))
+    # Joining nothing gives "", which stands for no valid label.
+    joined = F.array_join(ordered.cast("array<string>"), ", ")
+    return F.concat(F.lit("["), F.nullif(joined, F.lit("")), F.lit("]"))
 
 
-def read_label(parsed: Column, text: Column, indicator: Column, labels: Column) -> Column:
-    """Label of an indicator from a parsed answer; a list value is read as multi-select."""
-    plain = get_key(parsed, indicator)
-    other_key = _plus(indicator, "_prediction")
-    value = F.coalesce(plain, get_key(parsed, other_key))
-    used_key = F.when(plain.isNotNull(), indicator).otherwise(other_key)
+def label_key(parsed: Column, indicator: Column) -> Column:
+    """Key that holds the label: the indicator's name, else name + "_prediction"."""
+    return F.when(get_key(parsed, indicator).isNotNull(), indicator).otherwise(_plus(indicator, "_prediction"))
+
+
+def read_label(value: Column, labels: Column, text: Column, key: Column) -> Column:
+    """Label from the raw value under `key`; a list value is read as multi-select."""
     is_list = F.ltrim(value).startswith("[") & F.from_json(value, "array<string>").isNotNull()
-    return F.when(is_list, pick_labels(value, labels)).otherwise(pick_label(value, labels, was_quoted(text, used_key)))
+    return F.when(is_list, pick_labels(value, labels)).otherwise(pick_label(value, labels, was_quoted(text, key)))
 
 
 def read_reasoning(parsed: Column, indicator: Column) -> Column:
@@ -128,21 +131,26 @@ def read_reasoning(parsed: Column, indicator: Column) -> Column:
     )
 
 
-def _score(value: Column, quoted: Column) -> Column:
-    """Whole number 1..100. Text in quotes must be whole; a bare decimal is cut."""
-    whole = F.when(value.rlike(WHOLE), number(value))
-    cut = F.when(value.rlike(NUMBER) & ~quoted, number(value))
-    flag = F.when((value == "true") & ~quoted, F.lit(1.0)).when((value == "false") & ~quoted, F.lit(0.0))
-    score = F.coalesce(whole, F.when(value.isin("true", "false"), flag), cut)
-    return F.greatest(F.lit(1), F.least(F.lit(100.0), score).cast("int"))
+def confidence_key(parsed: Column, indicator: Column) -> Column:
+    """The first confidence key that is present decides."""
+    own = _plus(indicator, "_confidence")
+    return (
+        F.when(has_key(parsed, "confidence_score"), F.lit("confidence_score"))
+        .when(has_key(parsed, own), own)
+        .otherwise(_plus(indicator, "_confidence_score"))
+    )
 
 
-def read_confidence(parsed: Column, text: Column, indicator: Column) -> Column:
-    """Confidence 1..100 or null; the first key that is present decides."""
-    keys = (F.lit("confidence_score"), _plus(indicator, "_confidence"), _plus(indicator, "_confidence_score"))
-    key = F.when(has_key(parsed, keys[0]), keys[0]).when(has_key(parsed, keys[1]), keys[1]).otherwise(keys[2])
-    value = get_key(parsed, key)
-    return F.when(value.isNotNull(), _score(value, was_quoted(text, key)))
+def read_score(value: Column, text: Column, key: Column | str) -> Column:
+    """Whole number 1..100. Text in quotes must be whole; a bare decimal is cut."""
+    quoted = was_quoted(text, key)
+    score = (
+        F.when(value.rlike(WHOLE), value.try_cast("double"))
+        .when(value.rlike(NUMBER), F.when(~quoted, value.try_cast("double")))
+        .when(value.isin("true", "false"), F.when(~quoted, (value == "true").cast("double")))
+    )
+    # least and greatest pass over nulls, so a missing score is kept out of them.
+    return F.when(score < 1, 1).when(score > 100, 100).otherwise(score.cast("int"))
 
 
 def read_dependent(parsed: Column, name: str, labels: Column, invalid_as: str | None = None) -> Column:
@@ -205,16 +213,18 @@ def read_documents(parsed: Column, text: Column) -> Column:
         F.array_join(kept_types.cast("array<string>"), "; ").alias("document_types"),
         years.alias("document_years"),
         reasoning.alias("reasoning"),
-        F.when(score.isNotNull(), _score(score, was_quoted(text, score_key))).alias("confidence"),
+        read_score(score, text, score_key).alias("confidence"),
     )
 
 
-def read_field(text: Column, name: str) -> Column:
-    """One field of a short JSON answer; null when absent or unreadable.
-
-    Tries the whole text without fences first, then the first brace pair in it.
-    """
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(text), r"```(?:json)?\s*", ""), r"```\s*$", ""))
-    inner = F.regexp_extract(bare, r"\{[^}]+\}", 0)
+def parse_short(text: Column) -> Column:
+    """Short JSON answer as map<string,string>: the whole text without fences, else the first brace pair in it."""
+    fenced = F.contains(text, F.lit("```"))
+    bare = F.when(fenced, strip(F.regexp_replace(text, r"```(?:json)?\s*", ""))).otherwise(strip(text))
     whole = F.when(bare.startswith("{") & bare.endswith("}"), F.from_json(bare, "map<string,string>", STRICT_JSON))
-    return get_key(F.coalesce(whole, F.from_json(inner, "map<string,string>", STRICT_JSON)), name)
+    return F.coalesce(whole, F.from_json(F.regexp_extract(bare, r"\{[^}]+\}", 0), "map<string,string>", STRICT_JSON))
+
+
+def read_field(text: Column, name: str) -> Column:
+    """One field of a short JSON answer; null when absent or unreadable."""
+    return get_key(parse_short(text), name)

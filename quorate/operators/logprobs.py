@@ -42,31 +42,46 @@ def label_spots(text: Column, indicator: str, labels: Sequence[str]) -> Column:
     return F.coalesce(*tries)
 
 
+def quick_spot(text: Column, indicator: str, labels: Sequence[str]) -> Column:
+    """Text of key (and opening quote) in front of a valid label, "" where there is none. One pattern, one pass."""
+    any_label = "|".join(_escape(x) for x in labels)
+    return F.regexp_extract(text, f'({_key(indicator)}(?:"(?=(?:{any_label})")|(?=(?:{any_label})(?!\\d))))', 1)
+
+
 def token_at(tokens: Column, pos: Column) -> Column:
-    """0-based index of the token that covers a character position; null beyond the stream."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("hit"))
+    """0-based index of the token that covers a character position; null beyond the stream.
+
+    The fold carries one bigint: tokens passed x 2^32 + characters passed, or -(index + 1) once found.
+    """
+    turn = F.lit(1 << 32)
 
     def step(acc: Column, t: Column) -> Column:
-        end = acc["end"] + F.length(t["token"])
-        inside = acc["hit"].isNull() & (pos >= acc["end"]) & (pos < end)
-        return F.struct(end.alias("end"), (acc["i"] + 1).alias("i"), F.when(inside, acc["i"]).otherwise(acc["hit"]).alias("hit"))
+        end = (acc % turn) + F.length(t["token"])
+        return F.when(acc < 0, acc).when(pos < end, -F.shiftright(acc, 32) - 1).otherwise(acc + turn + F.length(t["token"]))
 
-    return F.aggregate(tokens, start, step)["hit"]
+    found = F.aggregate(tokens, F.lit(0).cast("bigint"), step)
+    return F.when((found < 0) & (pos >= 0), (-found - 1).cast("int"))
 
 
 def label_logprobs(responses: DataFrame, registry: Registry, indicators: Sequence[str], keys: Sequence[str] = ("custom_id",)) -> DataFrame:
     """(keys, indicator, logprob) from (keys, text, tokens array<struct<token,logprob>>)."""
-    spots = [
-        F.struct(F.lit(i).alias("indicator"), label_spots(F.col("text"), i, registry.labels(i)).alias("spot"))
-        for i in indicators
-    ]
-    found = responses.select(*keys, "tokens", F.inline(F.array(*spots))).where(F.col("spot").isNotNull())
+    heads = [F.struct(F.lit(i).alias("indicator"), quick_spot(F.col("text"), i, registry.labels(i)).alias("_head")) for i in indicators]
+    found = responses.select(*keys, "tokens", "text", F.inline(F.array(*heads))).where(F.col("_head") != "")
+    # A key that stands once has one place. Where it stands again, labels are tried one by one in their order.
+    text, name = F.col("text"), F.concat(F.lit('"'), F.col("indicator"), F.lit('"'))
+    start = F.instr(text, F.col("_head"))
+    once = F.length(text) - F.length(F.replace(text, name, F.lit(""))) == F.length(name)
+    quick = F.struct((start - 1 + F.length("_head")).alias("pos"), F.col("_head").endswith('"').alias("quoted"))
+    slow = F.lit(None).cast("struct<pos:int,quoted:boolean>")
+    for i in indicators:
+        slow = F.when(F.col("indicator") == i, label_spots(text, i, registry.labels(i))).otherwise(slow)
+    found = found.select(*keys, "tokens", "indicator", F.explode(F.array(F.when(once, quick).otherwise(slow))).alias("spot"))
     at = token_at(F.col("tokens"), F.col("spot.pos"))
     # Where the label lies beyond the stream, its opening quote may still be in it.
     quote = F.when(F.col("spot.quoted"), token_at(F.col("tokens"), F.col("spot.pos") - 1))
-    idx = F.coalesce(at, quote)
+    # Exploding the one index keeps the fold out of the filter, where it would be run a second time.
     return (
-        found.withColumn("_idx", idx)
+        found.select(*keys, "indicator", "tokens", F.explode(F.array(F.coalesce(at, quote))).alias("_idx"))
         .where(F.col("_idx").isNotNull())
         .select(*keys, "indicator", F.get(F.col("tokens"), F.col("_idx"))["logprob"].alias("logprob"))
     )
@@ -77,21 +92,18 @@ def top_alternatives(
 ) -> DataFrame:
     """Alternatives at the label token: (keys, alternatives array<struct<token,logprob>>).
 
-    `candidates` is an array parallel to `tokens`. The value is looked for in the first characters after the key.
+    `candidates` is an array parallel to `tokens`. The value is the first quote or digit within `scan` characters
+    after the key; where that lies beyond the stream, so does everything after it.
     """
     text = F.col("text")
     pattern = f"({_key(indicator)})"
     at = F.regexp_instr(text, F.lit(pattern))
     start = F.when(at > 0, at - 1 + F.length(F.regexp_extract(text, pattern, 1)))
-    places = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(scan - 1)), lambda k: start + k),
-        lambda p: F.substring(text, p + 1, F.lit(1)).rlike('["0-9]'),
-    )
-    hits = F.filter(F.transform(places, lambda p: token_at(F.col("tokens"), p)), lambda i: i.isNotNull() & (i < F.size("candidates")))
-    spot = label_spots(text, indicator, labels)
-    known = responses.where(spot.isNotNull() & start.isNotNull())
+    step = F.regexp_instr(F.substring(text, start + 1, F.lit(scan)), F.lit('["0-9]'))
+    pos = F.when((quick_spot(text, indicator, labels) != "") & (step > 0), start + step - 1)
+    found = responses.select(*keys, "tokens", "candidates", F.explode(F.array(pos)).alias("_pos")).where(F.col("_pos").isNotNull())
     return (
-        known.select(*keys, "candidates", F.get(hits, F.lit(0)).alias("_idx"))
-        .where(F.col("_idx").isNotNull())
+        found.select(*keys, "candidates", F.explode(F.array(token_at(F.col("tokens"), F.col("_pos")))).alias("_idx"))
+        .where(F.col("_idx") < F.size("candidates"))
         .select(*keys, F.get(F.col("candidates"), F.col("_idx")).alias("alternatives"))
     )

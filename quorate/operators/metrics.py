@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions.values import to_label
-from quorate.registry import Registry
+from quorate.registry import Registry, local_frame
 
 KEYS = ("indicator",)
 BIG = "decimal(38,0)"
@@ -61,7 +62,8 @@ def confusion_matrix(counts: DataFrame, registry: Registry, indicators: Sequence
     The empty grid comes from the registry (bounded) and is added to the counts, so no join is needed.
     """
     cells = [(i, t, p, 0) for i in indicators for t in registry.labels(i) for p in registry.labels(i)]
-    grid = counts.sparkSession.createDataFrame(cells, f"{key} string, truth string, prediction string, n bigint")
+    kinds = {key: pa.string(), "truth": pa.string(), "prediction": pa.string(), "n": pa.int64()}
+    grid = local_frame(counts.sparkSession, kinds, cells)
     labels = registry.subset([i for i in indicators if i in registry]).labels_of(F.col(key))
     inside = counts.where(
         F.col(key).isin(*indicators)

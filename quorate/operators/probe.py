@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorate.functions.answers import read_field
+from quorate.functions.answers import get_key, parse_short
 from quorate.functions.scoring import correctness
 from quorate.functions.templates import render
 
@@ -55,10 +55,10 @@ def probe_questions(fields: DataFrame, questions: Sequence[Question] = QUESTIONS
 
 def read_answers(responses: DataFrame, questions: Sequence[Question] = QUESTIONS) -> DataFrame:
     """(row, question, text) to (row, question, answer)."""
-    answer = F.lit(None).cast("string")
+    field = F.lit(None).cast("string")
     for q in questions:
-        answer = F.when(F.col("question") == q.label, read_field(F.col("text"), q.answer_field)).otherwise(answer)
-    return responses.withColumn("answer", answer)
+        field = F.when(F.col("question") == q.label, F.lit(q.answer_field)).otherwise(field)
+    return responses.withColumn("answer", get_key(parse_short(F.col("text")), field))
 
 
 def score_answers(

@@ -22,14 +22,18 @@ def answers_long(
     registry: Registry,
     combined: Sequence[str] | None = None,
     requests: DataFrame | None = None,
+    alone: Sequence[str] | None = None,
     dependent_invalid_as: str | None = None,
     extra: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(custom_id, row_idx, indicator, sc_idx, prediction, reasoning, confidence, document fields).
 
     A combined answer is parsed once and then read once per indicator. Its indicator list is `combined` where one
-    list holds for the run (no join), else it comes from the request table by request id. `extra` builds an
-    additional column from the parsed map.
+    list holds for the run (no join), else it comes from the request table by request id. `alone` names the
+    indicators that have prompts of their own; with it and `combined` the plan holds only the reading rules that
+    are needed. `extra` builds one more column from the parsed map.
+
+    Values that several rules look at are columns of an earlier step, so they are computed once.
     """
     parts = request_id_parts(F.col("custom_id"))
     keyed = responses.select(
@@ -48,30 +52,46 @@ def answers_long(
         names = F.when(F.col("prompt_key") == COMBINED, listed).otherwise(F.array("prompt_key"))
     else:
         names = F.array("prompt_key")
-    parsed = keyed.select(
-        "custom_id", "row_idx", "sc_idx", "text", A.parse_answer(F.col("text")).alias("_m0"), F.explode(names).alias("indicator")
-    ).withColumn("parsed", A.last_key_wins(F.col("_m0")))
-
-    m, text, ind = F.col("parsed"), F.col("text"), F.col("indicator")
-    documents = ind == DOCUMENTS
-    doc = F.when(documents, A.read_documents(m, text))
-    dependents = [d for d in registry.dependent]
-    prediction = F.when(documents, doc["prediction"])
+
+    # The indicators that can occur, where the caller has said so.
+    possible = None if alone is None or (combined is None and requests is not None) else {*alone, *(combined or ())}
+    known = registry if possible is None else registry.subset([n for n in registry.names if n in possible])
+    documents = possible is None or DOCUMENTS in possible
+    dependents = list(known.dependent)
+
+    m, text, ind = F.col("_m"), F.col("text"), F.col("indicator")
+    read = (
+        keyed.select("custom_id", "row_idx", "sc_idx", "text", A.parse_answer(text).alias("_raw"), F.explode(names).alias("indicator"))
+        .select("custom_id", "row_idx", "sc_idx", "text", "indicator", A.last_key_wins(F.col("_raw")).alias("_m"))
+        .select("*", A.label_key(m, ind).alias("_key"), A.confidence_key(m, ind).alias("_ckey"), known.labels_of(ind).alias("_labels"))
+        .select("*", A.get_key(m, F.col("_key")).alias("_value"), A.get_key(m, F.col("_ckey")).alias("_conf"))
+    )
+    prediction = A.read_label(F.col("_value"), F.col("_labels"), text, F.col("_key"))
     for d in dependents:
         own = A.read_dependent(m, d, string_array(registry.labels(d)), dependent_invalid_as)
-        prediction = prediction.when(ind == d, F.when(text.isNotNull(), own))
-    prediction = prediction.otherwise(A.read_label(m, text, ind, registry.labels_of(ind)))
+        prediction = F.when(ind == d, F.when(text.isNotNull(), own)).otherwise(prediction)
+    reasoning, confidence = A.read_reasoning(m, ind), A.read_score(F.col("_conf"), text, F.col("_ckey"))
+    doc = F.col("_doc")
+    kind = "struct<prediction:string,document_name:string,document_types:string,document_years:string,reasoning:string,confidence:int>"
+    if documents:
+        is_doc = ind == DOCUMENTS
+        read = read.select("*", F.when(is_doc, A.read_documents(m, text)).alias("_doc"))
+        prediction = F.when(is_doc, doc["prediction"]).otherwise(prediction)
+        reasoning = F.when(is_doc, doc["reasoning"]).otherwise(reasoning)
+        confidence = F.when(is_doc, doc["confidence"]).otherwise(confidence)
+    else:
+        doc = F.lit(None).cast(kind)
     cols = [
         prediction.alias("prediction"),
-        F.when(documents, doc["reasoning"]).otherwise(A.read_reasoning(m, ind)).alias("reasoning"),
-        F.when(documents, doc["confidence"]).otherwise(A.read_confidence(m, text, ind)).alias("confidence"),
+        reasoning.alias("reasoning"),
+        confidence.alias("confidence"),
         doc["document_name"].alias("document_name"),
         doc["document_years"].alias("constitution_year"),
         doc["document_types"].alias("document_types"),
     ]
     if extra is not None:
         cols.append(extra(m).alias("extra"))
-    return parsed.select("custom_id", "row_idx", "indicator", "sc_idx", *cols)
+    return read.select("custom_id", "row_idx", "indicator", "sc_idx", *cols)
 
 
 def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, reasoning: bool = True) -> DataFrame:
@@ -113,8 +133,8 @@ def attach_results(rows: DataFrame, wide: DataFrame) -> DataFrame:
 
 def self_consistency(
     rows: DataFrame, responses: DataFrame, registry: Registry, indicators: Sequence[str], n_samples: int,
-    combined: Sequence[str] | None = None, requests: DataFrame | None = None,
+    combined: Sequence[str] | None = None, requests: DataFrame | None = None, alone: Sequence[str] | None = None,
 ) -> DataFrame:
     """responses -> labels -> vote -> wide, attached to the input."""
-    long = answers_long(responses, registry, combined, requests)
+    long = answers_long(responses, registry, combined, requests, alone)
     return attach_results(rows, wide_results(long, indicators, n_samples))

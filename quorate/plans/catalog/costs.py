@@ -30,10 +30,10 @@ def price_lookup(spark, sf):
     return C.price_models(USAGE.df(spark, sf))
 
 
-@query("usage_cost", with_ctes(BASE, f"select call_id, usage.model, round(cast({micro()} as double) * 0.5 / 1000000, 9) as cost_usd from usage join pm using (model)"))
+@query("usage_cost", with_ctes(BASE, f"select call_id, usage.model, cast({micro()} as double) * 0.5 / 1000000 as cost_usd from usage join pm using (model)"))
 def usage_cost(spark, sf):
     out = C.price_usage(USAGE.df(spark, sf), batch_discount=0.5)
-    return out.select("call_id", "model", F.round("cost_usd", 9).alias("cost_usd"))
+    return out.select("call_id", "model", "cost_usd")
 
 
 _PER_MODEL = f"""um as (select usage.model, count(*) calls, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens,

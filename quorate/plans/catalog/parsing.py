@@ -24,8 +24,9 @@ def label_sql(v: str, kind: str, labels: str) -> str:
 
 
 def score_sql(v: str, kind: str) -> str:
-    return f"""greatest(1, least(100, case when regexp_matches({v}, '^\\s*[+-]?\\d+\\s*$') then cast(trim({v}) as int)
-      when {kind} in ('DOUBLE', 'UBIGINT', 'BIGINT') then cast(trunc(cast({v} as double)) as int) end))"""
+    n = f"""case when regexp_matches({v}, '^\\s*[+-]?\\d+\\s*$') then cast(trim({v}) as double)
+      when {kind} in ('DOUBLE', 'UBIGINT', 'BIGINT') then trunc(cast({v} as double)) end"""
+    return f"(case when ({n}) < 1 then 1 when ({n}) > 100 then 100 else cast(({n}) as int) end)"
 
 
 def _field(name: str) -> tuple[str, str]:
@@ -52,7 +53,7 @@ ANSWERS_CTE = f"ans as ({_answers()})"
 @query("parse_responses", with_ctes([RESPONSES, JSON, ANSWERS_CTE], "select * from ans"))
 def parse_responses(spark, sf):
     """Fenced, wrapped, cut-off and empty answers to labels, reasoning and confidence."""
-    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"])
+    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[])
     return long.select("custom_id", "row_idx", "indicator", "sc_idx", "prediction", "reasoning", "confidence")
 
 

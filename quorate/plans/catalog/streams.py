@@ -20,7 +20,7 @@ def stream_parse(spark, sf):
     late = F.col("custom_id").endswith("|2")
     for part in (r.where(~late), r.where(late)):
         part.write.mode("append").json(source)
-        run_parse(spark, source, out, mark, DEFAULT_REGISTRY, ["sovereign", "assembly"]).awaitTermination()
+        run_parse(spark, source, out, mark, DEFAULT_REGISTRY, ["sovereign", "assembly"], alone=[]).awaitTermination()
     return spark.read.parquet(out).select("custom_id", "indicator", "prediction", "confidence")
 
 

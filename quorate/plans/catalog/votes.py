@@ -119,6 +119,6 @@ def wide_result_table(spark, sf):
 @query("self_consistency")
 def self_consistency(spark, sf):
     """Answer texts to wide voted labels (its parts are checked one by one against SQL)."""
-    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"])
+    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[])
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "source")
     return attach_results(rows, wide_results(long, ["sovereign", "assembly"], 2))

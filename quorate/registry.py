@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,15 +168,26 @@ class Registry:
         return ", ".join(fields)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
+        text, texts = pa.string(), pa.list_(pa.string())
         rows = [
-            (i.name, list(i.labels), dict(i.depends_on), i.multi_select, i.definition, list(i.questions))
+            (i.name, list(i.labels), list(i.depends_on.items()), i.multi_select, i.definition, list(i.questions))
             for i in self._by_name.values()
         ]
-        return spark.createDataFrame(
-            rows,
-            "indicator string, labels array<string>, depends_on map<string,string>, multi_select boolean, "
-            "definition string, questions array<string>",
-        )
+        kinds = {
+            "indicator": text, "labels": texts, "depends_on": pa.map_(text, text), "multi_select": pa.bool_(),
+            "definition": text, "questions": texts,
+        }
+        return local_frame(spark, kinds, rows)
+
+
+def local_frame(spark: SparkSession, kinds: Mapping[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """A small driver-made table as a local relation.
+
+    Through Arrow it keeps its size in the plan, so Spark itself sees that it is small enough to broadcast.
+    """
+    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+    arrays = [pa.array(list(c), type=t) for c, t in zip(columns, kinds.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(kinds)))
 
 
 def string_array(values: Iterable[str]) -> Column:
@@ -182,15 +195,10 @@ def string_array(values: Iterable[str]) -> Column:
 
 
 def prices_df(spark: SparkSession, prices: Mapping[str, tuple[float, float, float]] = PRICES) -> DataFrame:
-    rows = [(p, *map(str, v)) for p, v in prices.items()]
-    frame = spark.createDataFrame(rows, "model_prefix string, input string, output string, cached string")
-    money = "decimal(10,4)"
-    return frame.select(
-        "model_prefix",
-        F.col("input").cast(money).alias("input_price"),
-        F.col("output").cast(money).alias("output_price"),
-        F.col("cached").cast(money).alias("cached_price"),
-    )
+    money = pa.decimal128(10, 4)
+    rows = [(p, *(Decimal(str(x)) for x in v)) for p, v in prices.items()]
+    kinds = {"model_prefix": pa.string(), "input_price": money, "output_price": money, "cached_price": money}
+    return local_frame(spark, kinds, rows)
 
 
 DEFAULT_REGISTRY = Registry(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.operators.requests import MAX_CHUNK_BYTES, pack_chunks, request_line
 from quorate.operators.rows import require_columns
+from quorate.registry import local_frame
 
 FORMATS = ("parquet", "csv", "json")
 
@@ -75,8 +77,9 @@ def _exists(spark: SparkSession, folder: str) -> bool:
 
 def log_run(spark: SparkSession, folder: str, run_id: str, kind: str, facts: dict) -> None:
     """Append one row to the run table (manifest, provenance, cost report); no timestamps from executors."""
-    facts = {k: str(v) for k, v in facts.items()}
-    row = spark.createDataFrame([(run_id, kind, facts)], "run_id string, kind string, facts map<string,string>")
+    text = pa.string()
+    kinds = {"run_id": text, "kind": text, "facts": pa.map_(text, text)}
+    row = local_frame(spark, kinds, [(run_id, kind, [(k, str(v)) for k, v in facts.items()])])
     row.withColumn("logged_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(folder)
 
 

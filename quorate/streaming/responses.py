@@ -12,15 +12,18 @@ from quorate.registry import Registry
 from quorate.sources.tables import RESPONSES
 
 
-def parse_stream(spark: SparkSession, folder: str, registry: Registry, combined: Sequence[str]) -> DataFrame:
+def parse_stream(spark: SparkSession, folder: str, registry: Registry, combined: Sequence[str], alone: Sequence[str] | None = None) -> DataFrame:
     """Streaming (row, indicator, sample) labels; stateless, an unreadable answer gives a null label."""
     arriving = spark.readStream.schema(RESPONSES).json(folder)
-    return answers_long(arriving, registry, combined=combined)
+    return answers_long(arriving, registry, combined=combined, alone=alone)
 
 
-def run_parse(spark: SparkSession, folder: str, out: str, checkpoint: str, registry: Registry, combined: Sequence[str]) -> StreamingQuery:
+def run_parse(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, registry: Registry, combined: Sequence[str],
+    alone: Sequence[str] | None = None,
+) -> StreamingQuery:
     """Work off what is there and stop; the next run takes only new files."""
-    parsed = parse_stream(spark, folder, registry, combined)
+    parsed = parse_stream(spark, folder, registry, combined, alone)
     return (
         parsed.writeStream.format("parquet")
         .option("path", out)
