@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.values import HOSTED_ARN
-from quorate.registry import DEFAULT_PRICE, PRICES, prices_df
+from quorate.registry import DEFAULT_PRICE, PRICES, quoted
 
 TOKENS = ("input_tokens", "output_tokens", "cached_tokens", "thinking_tokens")
 MONEY = "decimal(10,4)"
@@ -23,38 +23,60 @@ def model_key(model: Column) -> Column:
     return F.when(model.startswith(HOSTED_ARN), F.element_at(F.split(model, "/"), -1)).otherwise(model)
 
 
-def price_models(models: DataFrame, prices: DataFrame | None = None, default: tuple = DEFAULT_PRICE, model: str = "model") -> DataFrame:
-    """Prices per distinct model: exact id, else the longest known prefix, else the default.
+Prices = Mapping[str, tuple[float, float, float]] | DataFrame
+PRICE_COLUMNS = ("input_price", "output_price", "cached_price")
+MAX_LISTED = 500
 
-    A prefix match is turned into an equi-join: a model is split into its prefixes of the lengths that occur,
-    so the join hashes instead of comparing every model with every price.
+
+def _default_struct(default: tuple) -> Column:
+    d = [F.lit(str(v)).cast(MONEY).alias(n) for v, n in zip(default, PRICE_COLUMNS)]
+    return F.struct(F.lit(None).cast("string").alias("model_prefix"), *d)
+
+
+def price_of(key: str, prices: Mapping[str, tuple] = PRICES, default: tuple = DEFAULT_PRICE) -> Column:
+    """struct<model_prefix, input, output, cached> from a price list: the longest known prefix, else the default.
+
+    `key` names a column with lower-case model ids. A price list is short, so this is a plain CASE on the row and
+    needs no join. An exact id is its own longest prefix.
     """
-    spark = models.sparkSession
-    prices = prices_df(spark) if prices is None else prices
-    known = prices.select(
-        F.lower("model_prefix").alias("_prefix"), "model_prefix", "input_price", "output_price", "cached_price"
-    )
-    distinct = models.select(model).where(F.col(model).isNotNull()).distinct()
-    longest = F.length(model_key(F.col(model)))
+    if len(prices) > MAX_LISTED:
+        raise ValueError(f"more than {MAX_LISTED} prices: pass them as a table")
+    def row(prefix: str | None, values: tuple) -> str:
+        money = ", ".join(f"'{n}', cast({v!r} as {MONEY})" for n, v in zip(PRICE_COLUMNS, map(str, values)))
+        return f"named_struct('model_prefix', {'cast(null as string)' if prefix is None else quoted(prefix)}, {money})"
+
+    longest_first = sorted(prices, key=lambda p: (-len(p), p))
+    cases = " ".join(f"when startswith({key}, {quoted(p.lower())}) then {row(p, prices[p])}" for p in longest_first)
+    return F.expr(f"case {cases} else {row(None, default)} end" if cases else row(None, default))
+
+
+def price_models(models: DataFrame, prices: Prices = PRICES, default: tuple = DEFAULT_PRICE) -> DataFrame:
+    """Prices per distinct model.
+
+    With a price table the prefix match is turned into an equi-join: a model is split into all its prefixes, so
+    the join hashes instead of comparing every model with every price.
+    """
+    distinct = models.select("model").where(F.col("model").isNotNull()).distinct()
+    if not isinstance(prices, DataFrame):
+        keyed = distinct.select("model", F.lower(model_key(F.col("model"))).alias("_key"))
+        return keyed.select("model", price_of("_key", prices, default).alias("_p")).select("model", "_p.*")
+    known = prices.select(F.lower("model_prefix").alias("_prefix"), "model_prefix", *PRICE_COLUMNS)
+    length = F.length(model_key(F.col("model")))
     tried = distinct.select(
-        model,
-        model_key(F.col(model)).alias("_id"),
-        F.explode(F.when(longest > 0, F.sequence(F.lit(1), longest))).alias("_len"),
+        "model", model_key(F.col("model")).alias("_id"), F.explode_outer(F.when(length > 0, F.sequence(F.lit(1), length))).alias("_len")
     ).withColumn("_prefix", F.lower(F.substring(F.col("_id"), F.lit(1), F.col("_len"))))
-    hits = tried.join(known, "_prefix")
-    # An exact id beats a prefix of the same length that differs in case.
-    rank = F.struct(F.col("_len"), (F.col("_id") == F.col("model_prefix")).cast("int"))
-    best = hits.groupBy(model).agg(
-        F.max_by(F.struct("model_prefix", "input_price", "output_price", "cached_price"), rank).alias("_p")
-    )
-    d = [F.lit(str(v)).cast(MONEY) for v in default]
-    return distinct.join(best, model, "left").select(
-        model,
-        F.col("_p.model_prefix").alias("model_prefix"),
-        F.coalesce("_p.input_price", d[0]).alias("input_price"),
-        F.coalesce("_p.output_price", d[1]).alias("output_price"),
-        F.coalesce("_p.cached_price", d[2]).alias("cached_price"),
-    )
+    # An exact id beats a prefix of the same length that differs in case; a prefix without a price has no rank.
+    rank = F.when(F.col("model_prefix").isNotNull(), F.struct(F.col("_len"), (F.col("_id") == F.col("model_prefix")).cast("int")))
+    best = tried.join(known, "_prefix", "left").groupBy("model").agg(F.max_by(F.struct("model_prefix", *PRICE_COLUMNS), rank).alias("_p"))
+    return best.select("model", F.coalesce("_p", _default_struct(default)).alias("_p")).select("model", "_p.*")
+
+
+def with_prices(df: DataFrame, prices: Prices = PRICES) -> DataFrame:
+    """Add the price columns to rows that have a model."""
+    if isinstance(prices, DataFrame):
+        return df.join(price_models(df, prices), "model", "left")
+    keyed = df.select("*", F.lower(model_key(F.col("model"))).alias("_key"))
+    return keyed.select(*df.columns, price_of("_key", prices).alias("_p")).select(*df.columns, "_p.*")
 
 
 def cost_usd(batch_discount: float = 1.0, tokens: Mapping[str, str] | None = None) -> Column:
@@ -72,10 +94,10 @@ def cost_usd(batch_discount: float = 1.0, tokens: Mapping[str, str] | None = Non
     return micro.cast("double") * batch_discount / 1_000_000
 
 
-def price_usage(usage: DataFrame, prices: DataFrame | None = None, batch_discount: float = 1.0) -> DataFrame:
-    """Cost per call. Prices are looked up for distinct models only, then joined back."""
+def price_usage(usage: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0) -> DataFrame:
+    """Cost per call; map-only with a price list. With a price table it is looked up for distinct models only."""
     return (
-        usage.join(price_models(usage, prices), "model", "left")
+        with_prices(usage, prices)
         .withColumn("cost_usd", cost_usd(batch_discount))
         .drop("model_prefix", "input_price", "output_price", "cached_price")
     )
@@ -85,19 +107,19 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("calls")] + [F.sum(F.coalesce(F.col(t), F.lit(0))).alias(t) for t in TOKENS]
 
 
-def usage_totals(usage: DataFrame, prices: DataFrame | None = None, batch_discount: float = 1.0) -> DataFrame:
+def usage_totals(usage: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0) -> DataFrame:
     """Totals per model, and one overall row whose model is null."""
     per_model = usage.groupBy("model").agg(*_sums())
-    priced = per_model.join(price_models(per_model, prices), "model", "left").withColumn("cost_usd", cost_usd(batch_discount))
+    priced = with_prices(per_model, prices).withColumn("cost_usd", cost_usd(batch_discount))
     return priced.rollup("model").agg(
         F.sum("calls").alias("calls"), *[F.sum(t).alias(t) for t in TOKENS], F.sum("cost_usd").alias("cost_usd")
     )
 
 
-def indicator_costs(usage: DataFrame, prices: DataFrame | None = None, batch_discount: float = 1.0) -> DataFrame:
+def indicator_costs(usage: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0) -> DataFrame:
     """Cost per indicator; calls without an indicator are left out."""
     named = usage.where(F.col("indicator").isNotNull()).groupBy("indicator", "model").agg(*_sums())
-    priced = named.join(price_models(named, prices), "model", "left").withColumn("cost_usd", cost_usd(batch_discount))
+    priced = with_prices(named, prices).withColumn("cost_usd", cost_usd(batch_discount))
     return priced.groupBy("indicator").agg(F.sum("cost_usd").alias("cost_usd"), F.sum("calls").alias("calls"))
 
 
@@ -112,7 +134,7 @@ def split_prompt_cost(usage: DataFrame, indicators: str = "indicators") -> DataF
 
 
 def estimate_run(
-    requests: DataFrame, prices: DataFrame | None = None, batch_discount: float = 1.0, chars_per_token: int = 4,
+    requests: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0, chars_per_token: int = 4,
     output_tokens: int = 500,
 ) -> DataFrame:
     """Cost of a planned run per model, from the real prompt sizes."""
@@ -124,7 +146,7 @@ def estimate_run(
         F.lit(0).cast("bigint").alias("cached_tokens"),
         F.lit(0).cast("bigint").alias("thinking_tokens"),
     )
-    priced = planned.join(price_models(planned, prices), "model", "left")
+    priced = with_prices(planned, prices)
     return priced.select("model", "calls", "input_tokens", "output_tokens", cost_usd(batch_discount).alias("cost_usd"))
 
 
@@ -138,5 +160,3 @@ def progress(df: DataFrame, status: str = "status", by: Sequence[str] = ()) -> D
         (done.cast("double") / F.nullif(done + failed, F.lit(0))).alias("success_rate"),
     )
 
-
-__all__ = ["PRICES", "price_models", "price_usage", "usage_totals", "indicator_costs", "split_prompt_cost", "estimate_run", "progress", "cost_usd"]

@@ -59,8 +59,10 @@ def token_at(tokens: Column, pos: Column) -> Column:
         end = (acc % turn) + F.length(t["token"])
         return F.when(acc < 0, acc).when(pos < end, -F.shiftright(acc, 32) - 1).otherwise(acc + turn + F.length(t["token"]))
 
-    found = F.aggregate(tokens, F.lit(0).cast("bigint"), step)
-    return F.when((found < 0) & (pos >= 0), (-found - 1).cast("int"))
+    def finish(acc: Column) -> Column:
+        return F.when((acc < 0) & (pos >= 0), (-acc - 1).cast("int"))
+
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), step, finish)
 
 
 def label_logprobs(responses: DataFrame, registry: Registry, indicators: Sequence[str], keys: Sequence[str] = ("custom_id",)) -> DataFrame:

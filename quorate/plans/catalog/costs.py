@@ -6,7 +6,7 @@ from quorate.functions.values import provider_of
 from quorate.operators import cost as C
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import USAGE, table, with_ctes
-from quorate.registry import DEFAULT_PRICE, PRICES
+from quorate.registry import DEFAULT_PRICE, PRICES, prices_df
 
 _PRICES = "prices(prefix, i, o, c) as (values " + ", ".join(
     f"('{p}', cast('{a}' as decimal(10,4)), cast('{b}' as decimal(10,4)), cast('{c}' as decimal(10,4)))" for p, (a, b, c) in PRICES.items()
@@ -30,6 +30,12 @@ def price_lookup(spark, sf):
     return C.price_models(USAGE.df(spark, sf))
 
 
+@query("price_table_lookup", with_ctes(BASE, "select * from pm"))
+def price_table_lookup(spark, sf):
+    """The same with prices as a table."""
+    return C.price_models(USAGE.df(spark, sf), prices_df(spark))
+
+
 @query("usage_cost", with_ctes(BASE, f"select call_id, usage.model, cast({micro()} as double) * 0.5 / 1000000 as cost_usd from usage join pm using (model)"))
 def usage_cost(spark, sf):
     out = C.price_usage(USAGE.df(spark, sf), batch_discount=0.5)

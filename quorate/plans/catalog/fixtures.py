@@ -6,11 +6,13 @@ one projection whose expressions read the same in Spark SQL and in DuckDB, so bo
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorate.sources.tables import spread
+
 INDICATORS = (("sovereign", 2), ("assembly", 4), ("entry", 11))
 
 
@@ -28,10 +30,12 @@ class Fixture:
     indicators: bool = False
     samples: int = 0
     where: str | None = None
-    needs: tuple["Fixture", ...] = field(default=())
+    heavy: bool = False
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
         out = table(spark, sf, self.source)
+        if self.heavy:
+            out = spread(out)
         if self.indicators:
             pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.lit(n).alias("n")) for i, n in INDICATORS])
             out = out.select("*", F.inline(pairs))
@@ -145,7 +149,7 @@ RESPONSES = Fixture(
         "custom_id": "cast(doc_id as string) || '|single|' || cast(sc_idx as string)",
         "text": _WRAPPED,
     },
-    samples=3,
+    samples=3, heavy=True,
 )
 RESPONSE_INDICATORS = ("sovereign", "assembly")
 
@@ -171,6 +175,7 @@ DOCUMENT_RESPONSES = Fixture(
         "source": "source",
         "score": "doc_id % 130",
     },
+    heavy=True,
 )
 DOCUMENTS_WIDE = Fixture(
     "documents_wide", "documents",
@@ -186,6 +191,7 @@ DOCUMENTS_WIDE = Fixture(
         "sovereign_confidence": "case when doc_id % 10 = 0 then -1 else cast(n_chars % 100 as int) end",
         "sovereign_reasoning": "source",
     },
+    heavy=True,
 )
 REPROCESSED = Fixture(
     "reprocessed", "documents",
@@ -266,7 +272,7 @@ PROBE_RESPONSES = Fixture(
         "when 1 then '{\"years\": ' || cast(c_custkey % 36 as string) || '}' "
         "else '{\"name\": \"' || case when c_custkey % 2 = 0 then lower(c_name) else 'someone' end || '\"}' end",
     },
-    samples=6,
+    samples=6, heavy=True,
 )
 TIERS = Fixture(
     "tier_rows", "documents",

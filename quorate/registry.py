@@ -153,8 +153,8 @@ class Registry:
         """Label array of the indicator named by a column."""
         if not self._by_name:
             return string_array(UNKNOWN_LABELS)
-        pairs = [part for i in self._by_name.values() for part in (F.lit(i.name), string_array(i.labels))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), indicator), string_array(UNKNOWN_LABELS))
+        pairs = ", ".join(f"{quoted(i.name)}, {_array_sql(i.labels)}" for i in self._by_name.values())
+        return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), indicator), string_array(UNKNOWN_LABELS))
 
     def answer_schema(self, names: Iterable[str], reasoning: bool = True) -> str:
         """DDL of the JSON object expected for these indicators."""
@@ -190,8 +190,18 @@ def local_frame(spark: SparkSession, kinds: Mapping[str, pa.DataType], rows: lis
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(kinds)))
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL literal. Literal tables are handed over as one expression instead of one call per value."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array_sql(values: Iterable[str]) -> str:
+    items = ", ".join(quoted(v) for v in values)
+    return f"array({items})" if items else "cast(array() as array<string>)"
+
+
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr(_array_sql(values))
 
 
 def prices_df(spark: SparkSession, prices: Mapping[str, tuple[float, float, float]] = PRICES) -> DataFrame:

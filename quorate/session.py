@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Without a call-site record for every column expression, plans are built several times faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

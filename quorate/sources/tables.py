@@ -51,6 +51,16 @@ def load_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than there are cores.
+
+    For steps that are heavy per row (parsing, rendering) on a few small or unsplittable files. A scan with enough
+    splits is returned as it is; column pruning and filters still pass below the repartition.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load_jsonl_split(spark: SparkSession, path: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, unreadable lines) of a JSON Lines source."""
     df = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
