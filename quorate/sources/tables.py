@@ -63,8 +63,10 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def load_jsonl_split(spark: SparkSession, path: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, unreadable lines) of a JSON Lines source."""
-    df = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    read = lines.select(F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("row")).select("row.*")
+    return read.where(F.col(CORRUPT).isNull()).drop(CORRUPT), read.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def load_rulers(spark: SparkSession, path: str) -> DataFrame:
