@@ -24,6 +24,12 @@ def parse_answer(text: Column) -> Column:
     return F.from_json(F.when(at > 0, F.substr(text, at)), "map<string,string>", STRICT_JSON)
 
 
+def parse_typed(text: Column, schema: str) -> Column:
+    """The same object read into a fixed schema (see Registry.answer_schema); fields that do not fit are null."""
+    at = F.instr(text, "{")
+    return F.from_json(F.when(at > 0, F.substr(text, at)), schema, STRICT_JSON)
+
+
 def last_key_wins(parsed: Column) -> Column:
     """Collapse repeated keys of a parsed answer to their last value."""
     keys = F.map_keys(parsed)

@@ -62,3 +62,10 @@ def enrich(prompt: Column, context: Column, preamble: str = PREAMBLE) -> Column:
     """Put the context before the prompt; without context the prompt stays as it is."""
     wrapped = F.concat(F.lit(preamble), F.lit(OPENING), context, F.lit(CLOSING), prompt)
     return F.when(F.coalesce(context, F.lit("")) == "", prompt).otherwise(wrapped)
+
+
+def enrich_prompts(prompts: DataFrame, contexts: DataFrame, key: str = "row_idx", preamble: str = PREAMBLE) -> DataFrame:
+    """Put each row's context into its prompts and keep where it came from (search_urls, search_sources)."""
+    c = contexts.select(key, F.col("context").alias("_c"), F.col("context_sources").alias("search_sources"), F.col("context_urls").alias("search_urls"))
+    joined = prompts.join(c, key, "left").withColumn("user_prompt", enrich(F.col("user_prompt"), F.col("_c"), preamble))
+    return joined.drop("_c")

@@ -197,7 +197,8 @@ def pack_chunks(
     order: Sequence[str] = ("row_idx", "sc_idx"),
     size: str = "n_bytes",
     shard: Column | None = None,
-    n_shards: int = 64,
+    n_shards: int | None = None,
+    chunks_per_shard: int = 4,
 ) -> DataFrame:
     """Give every request a chunk id so that no chunk is larger than the cap.
 
@@ -205,20 +206,28 @@ def pack_chunks(
     is cut at a stride of cap - largest request: a chunk then holds at most stride bytes of starts plus the one
     request that crosses its end, which is never more than the cap. Requests above half the cap get a chunk of
     their own, so the stride is at least half the cap and one that exceeds the cap by itself stays alone.
+
+    Total size and largest request are asked for first (two numbers); shards are made so many that each holds a
+    few chunks, whatever the size of the table. Numbering inside a shard spills to disk, it is not held in memory.
     """
-    shard = F.pmod(F.xxhash64(order[0]), F.lit(n_shards)) if shard is None else shard
     large = F.col(size) > F.lit(cap_bytes) / 2
-    tagged = sized.withColumn("shard", shard.cast("int")).withColumn("_small", F.when(~large, F.col(size)).otherwise(0))
-    whole = Window.partitionBy("shard")
-    running = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_small").over(running), F.lit(0))
-    stride = F.lit(cap_bytes) - F.max("_small").over(whole)
+    small = F.when(~large, F.col(size)).otherwise(0)
+    known = sized.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"), F.coalesce(F.max(small), F.lit(0)).alias("largest")).first()
+    if n_shards is None:
+        n_shards = max(1, -(-int(known["total"]) // (cap_bytes * chunks_per_shard)))
+    shard = F.pmod(F.xxhash64(order[0]), F.lit(n_shards)) if shard is None else shard
+    tagged = sized.withColumn("shard", shard.cast("int")).repartition(n_shards, "shard")
+    whole = Window.partitionBy("shard").orderBy(*order)
+    before = F.coalesce(F.sum(small).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stride = F.lit(cap_bytes - int(known["largest"]))
     # Large requests are numbered among themselves; their chunk ids carry another mark.
-    alone = F.sum(F.when(large, 1).otherwise(0)).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    chunk = F.when(large, F.concat_ws("-", F.col("shard"), F.lit("x"), alone)).otherwise(
-        F.concat_ws("-", F.col("shard"), F.lit("c"), F.floor(before / stride).cast("bigint"))
+    alone = F.sum(F.when(large, 1).otherwise(0)).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    return tagged.withColumn(
+        "chunk",
+        F.when(large, F.concat_ws("-", F.col("shard"), F.lit("x"), alone)).otherwise(
+            F.concat_ws("-", F.col("shard"), F.lit("c"), F.floor(before / stride).cast("bigint"))
+        ),
     )
-    return tagged.withColumn("chunk", chunk).drop("_small")
 
 
 def uses_search(requests: DataFrame) -> DataFrame:

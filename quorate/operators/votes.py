@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.registry import string_array
@@ -155,15 +155,9 @@ def agreeing_reasons(
 ) -> DataFrame:
     """First k non-empty reasonings of the votes that agree with the verdict.
 
-    k rounds of "smallest order so far unseen" would rescan; instead the rank filter is pushed below the
-    shuffle by Spark (row_number <= k), so at most k rows per key and task travel.
+    Votes are ranked inside their own label first; Spark applies "rank <= k" in each task before the shuffle, so a
+    key with very many votes sends only a few. The verdict then picks the label.
     """
-    from pyspark.sql import Window
-
-    agreeing = (
-        votes.where(F.col("reasoning") != "")
-        .join(verdicts.select(*keys, vote), [*keys, vote], "left_semi")
-        .select(*keys, order, "reasoning")
-    )
-    ranked = agreeing.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return ranked.where(F.col("rank") <= k).select(*keys, "rank", "reasoning")
+    given = votes.where((F.col("reasoning") != "") & F.col(vote).isNotNull()).select(*keys, vote, order, "reasoning")
+    ranked = given.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, vote).orderBy(order))).where(F.col("rank") <= k)
+    return ranked.join(verdicts.select(*keys, vote), [*keys, vote], "left_semi").select(*keys, "rank", "reasoning")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators import metrics as M
 from quorate.operators import rows as R
+from quorate.plans import evaluate as E
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import LABEL_RATERS, PAIRS, RATERS, WIDE, with_ctes
 from quorate.registry import DEFAULT_REGISTRY
@@ -197,3 +198,53 @@ def filtered_mean_accuracy(spark, sf):
 @query("label_distribution", with_ctes([PAIRS], "select indicator, prediction, count(*) as n from pairs group by 1, 2"))
 def label_distribution(spark, sf):
     return M.label_distribution(PAIRS.df(spark, sf))
+
+
+_MODELS = """mp as (select row_idx, 'sovereign' as indicator, sovereign_prediction as truth,
+    coalesce(cast(cast(trunc(try_cast(sovereign_c as double)) as bigint) as varchar), sovereign_c) as prediction from wide_eval)"""
+
+
+@query("compare_models", with_ctes([WIDE, _MODELS, counts_sql("mp", "indicator"), classes_sql("indicator")], KAPPA))
+def compare_models(spark, sf):
+    return E.compare_models(WIDE.df(spark, sf), "{}_prediction", "{}_c", ["sovereign"])["agreement"]
+
+
+_QUICK = f"""ql as (select row_idx, indicator, truth, prediction from ({_LONG}) where start_year between -100 and 1400)"""
+
+
+@query("quick_eval", with_ctes([WIDE, _QUICK, counts_sql("ql", "indicator"), classes_sql("indicator")], summary_sql("indicator")))
+def quick_eval(spark, sf):
+    return rounded(E.quick_eval(WIDE.df(spark, sf), _IND3, {"start_year": (-100, 1400)})["indicators"])
+
+
+@query(
+    "compare_runs_multiclass",
+    with_ctes(
+        [WIDE, f"rl as (select case when region_v1 = 'en' then 'a' else 'b' end as dataset, indicator, truth, prediction from ({_LONG}))",
+         counts_sql("rl", "dataset, indicator"), classes_sql("dataset, indicator")],
+        f"""select dataset, indicator, accuracy, n_samples, observed_macro_f1 as f1_macro, weighted_f1 as f1_weighted
+        from ({summary_sql("dataset, indicator")}) where n_classes <> 2""",
+    ),
+)
+def compare_runs_multiclass(spark, sf):
+    df = WIDE.df(spark, sf)
+    runs = {"a": df.where("region_v1 = 'en'"), "b": df.where("region_v1 <> 'en'")}
+    out = E.compare_runs(runs, _IND3)["multiclass"]
+    return out.select(*[F.round(c, 6).alias(c) if c in ("accuracy", "f1_macro", "f1_weighted") else F.col(c) for c in out.columns])
+
+
+@query(
+    "joined_truth",
+    with_ctes(
+        [LABEL_RATERS],
+        """select cast(count(*) filter (where truth = p) as double) / count(*) as accuracy, count(*) as n_samples from
+        (select d.doc_id, cast(d.n_chars % 2 as varchar) as p, l.truth from documents d left join label_raters l on d.doc_id = l.row_idx) where truth is not null""",
+    ),
+)
+def joined_truth(spark, sf):
+    """Truth kept in a table of its own, joined by key."""
+    from quorate.plans.catalog.fixtures import table
+
+    predictions = table(spark, sf, "documents").selectExpr("doc_id as row_idx", "'quality' as indicator", "cast(n_chars % 2 as string) as prediction")
+    truth = LABEL_RATERS.df(spark, sf).select("row_idx", "indicator", "truth")
+    return M.accuracy(M.pair_counts(M.join_truth(predictions, truth))).drop("indicator")

@@ -185,3 +185,18 @@ def request_ids(spark, sf):
     return RESPONSES.df(spark, sf).select(
         "custom_id", *[c.alias(n) for n, c in p.items()], X.row_id(p["row_idx"], p["indicator"]).alias("row_hash")
     )
+
+
+@query(
+    "typed_answers",
+    with_ctes(
+        [RESPONSES, JSON],
+        """select custom_id, json_extract_string(j, '$.sovereign') as sovereign, json_extract_string(j, '$.assembly') as assembly,
+        cast(json_extract_string(j, '$.assembly_confidence') as int) as assembly_confidence from js""",
+    ),
+)
+def typed_answers(spark, sf):
+    """Answers read into the schema the registry expects."""
+    schema = DEFAULT_REGISTRY.answer_schema(["sovereign", "assembly"])
+    out = RESPONSES.df(spark, sf).select("custom_id", A.parse_typed(F.col("text"), schema).alias("a"))
+    return out.select("custom_id", "a.sovereign", "a.assembly", "a.assembly_confidence")

@@ -102,14 +102,14 @@ CAP = 200_000
 _PACK = f"""z as (select doc_id as row_idx, 0 as sc_idx, strlen(text) + 1 as n_bytes, cast(doc_id % 4 as int) as shard from documents),
 y as (select *, case when n_bytes > {CAP} / 2 then 0 else n_bytes end as sm from z),
 x as (select *, coalesce(sum(sm) over (partition by shard order by row_idx, sc_idx rows between unbounded preceding and 1 preceding), 0) as bef,
-    {CAP} - max(sm) over (partition by shard) as stride,
+    {CAP} - (select max(sm) from y) as stride,
     sum(case when n_bytes > {CAP} / 2 then 1 else 0 end) over (partition by shard order by row_idx, sc_idx rows between unbounded preceding and current row) as al from y),
 pk as (select row_idx, n_bytes, case when n_bytes > {CAP} / 2 then shard || '-x-' || cast(al as bigint) else shard || '-c-' || cast(floor(bef / stride) as bigint) end as chunk from x)"""
 
 
 def packed(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.lit(0).alias("sc_idx"), (F.octet_length("text") + 1).cast("bigint").alias("n_bytes"))
-    return Q.pack_chunks(d, CAP, shard=F.col("row_idx") % 4)
+    return Q.pack_chunks(d, CAP, shard=F.col("row_idx") % 4, n_shards=4)
 
 
 @query("request_chunks", with_ctes([_PACK], "select row_idx, n_bytes, chunk from pk"))

@@ -8,7 +8,8 @@ from quorate.functions.templates import pipe_list, source_entries
 from quorate.operators import context as C
 from quorate.operators import logprobs as L
 from quorate.operators import verify as V
-from quorate.operators.requests import row_slots
+from quorate.operators.requests import prompts, row_slots
+from quorate.plans import verification as P
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import RESPONSES, TIERS, VOTES, table, with_ctes
 from quorate.plans.catalog.requests import FILLED, RULERS, good_rows
@@ -173,3 +174,55 @@ def check_decision(spark, sf):
     texts = first.selectExpr("row_idx", "indicator", f"{_SYN} as t").where("t is not null")
     synthesis = texts.select("row_idx", "indicator", parse_answer(F.col("t")).alias("parsed"))
     return V.decide(first.select("row_idx", "indicator", "prediction"), synthesis, DEFAULT_REGISTRY)
+
+
+@query(
+    "enriched_requests",
+    with_ctes(
+        [RULERS, FILLED],
+        f"""select row_idx, case when row_idx % 4 = 0 then 'Label ' || name || '.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '--- REFERENCE MATERIAL ---' || chr(10)
+        || 'about ' || row_idx || chr(10) || '--- END REFERENCE MATERIAL ---' || chr(10) || chr(10) || 'Label ' || name || '.' end as user_prompt,
+        case when row_idx % 4 <> 0 then 'notes' end as search_sources, case when row_idx % 4 <> 0 then 'u1 | u2' end as search_urls from fr""",
+    ),
+)
+def enriched_requests(spark, sf):
+    """Context joined to rows and put into their prompts."""
+    rows = good_rows(spark, sf)
+    notes = rows.where("row_idx % 4 <> 0").select("row_idx", F.concat(F.lit("about "), F.col("row_idx").cast("string")).alias("context"), F.array(F.lit("u1"), F.lit("u2")).alias("urls"))
+    made = prompts(rows, DEFAULT_REGISTRY, ["sovereign"], "multiple", user_template="Label {name}.")
+    out = C.enrich_prompts(made, C.tiered_context(rows, [("notes", notes)]))
+    return out.select("row_idx", "user_prompt", "search_sources", "search_urls")
+
+
+_CHECKED = """iv as (select row_idx, indicator, max(case when sc_idx = 0 then prediction end) as p, max(case when sc_idx = 0 then reasoning end) as reasoning,
+    max(case when sc_idx = 0 then confidence end) as confidence from votes3 where indicator in ('sovereign', 'assembly') and row_idx in (select row_idx from fr) group by 1, 2)"""
+
+
+@query(
+    "checked_labels",
+    with_ctes(
+        [VOTES, RULERS, FILLED, _CHECKED,
+         """dd as (select *, case when p is null then null when row_idx % 3 = 0 then '1' else p end as final from iv)"""],
+        """select row_idx, max(final) filter (where indicator = 'sovereign') as sovereign_prediction, max(reasoning) filter (where indicator = 'sovereign') as sovereign_reasoning,
+        max(confidence) filter (where indicator = 'sovereign') as sovereign_confidence, max(final) filter (where indicator = 'assembly') as assembly_prediction,
+        max(reasoning) filter (where indicator = 'assembly') as assembly_reasoning, max(confidence) filter (where indicator = 'assembly') as assembly_confidence from dd group by 1""",
+    ),
+)
+def checked_labels(spark, sf):
+    """Questions asked, answers weighed, labels revised: the whole check with stand-in answers."""
+    rows = good_rows(spark, sf)
+    votes = VOTES.df(spark, sf).where("indicator in ('sovereign', 'assembly')").join(rows.select("row_idx"), "row_idx", "left_semi")
+
+    def ask(questions):
+        return questions.withColumn("answer", F.concat(F.lit("on "), "indicator"))
+
+    def synthesise(asked):
+        # The evidence must have reached the prompt for the revision to happen.
+        seen = F.contains("user_prompt", F.concat(F.lit("A: on "), F.col("indicator")))
+        revised = F.when(seen & (F.col("row_idx") % 3 == 0), F.lit("1")).otherwise(F.col("prediction"))
+        return asked.withColumn("text", F.concat(F.lit('{"decision": "CONTRADICTED", "final_prediction": "'), revised, F.lit('"}')))
+
+    names = ["sovereign", "assembly"]
+    verify = P.chain(P.none, P.by_questions(rows, DEFAULT_REGISTRY, names, row_slots(), ask, synthesise))
+    out = P.wide_verified(verify(votes), votes, names)
+    return out.select("row_idx", *[f"{i}_{f}" for i in names for f in ("prediction", "reasoning", "confidence")])

@@ -122,3 +122,16 @@ def self_consistency(spark, sf):
     long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[])
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "source")
     return attach_results(rows, wide_results(long, ["sovereign", "assembly"], 2))
+
+
+@query(
+    "wide_plain",
+    with_ctes(
+        [VOTES],
+        "select row_idx, " + ", ".join(f"max({f}) filter (where indicator = '{i}') as {i}_{f}" for i in ("sovereign", "assembly") for f in ("prediction", "reasoning", "confidence"))
+        + " from votes3 where sc_idx = 0 group by 1",
+    ),
+)
+def wide_plain(spark, sf):
+    """One call per row, no vote."""
+    return wide_results(VOTES.df(spark, sf), ["sovereign", "assembly"], 0)

@@ -36,10 +36,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) a local temporary folder is taken.
+    Only where the session names none on a single machine (tests) a local temporary folder is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -40,7 +40,7 @@ def save_results(df: DataFrame, folder: str, formats: Sequence[str] = FORMATS, o
 
 
 def save_request_chunks(
-    requests: DataFrame, folder: str, cap_bytes: int = MAX_CHUNK_BYTES, n_shards: int = 64, shard: Column | None = None
+    requests: DataFrame, folder: str, cap_bytes: int = MAX_CHUNK_BYTES, n_shards: int | None = None, shard: Column | None = None
 ) -> None:
     """Requests as JSON Lines in one folder per chunk, each chunk at most `cap_bytes`.
 
@@ -52,6 +52,11 @@ def save_request_chunks(
     packed.select("value", "chunk").write.mode("overwrite").partitionBy("chunk").text(folder)
 
 
+def save_requests(requests: DataFrame, folder: str) -> None:
+    """Requests as JSON Lines without a size cap (retry requests); no shuffle."""
+    requests.select(request_line(requests).alias("value")).write.mode("overwrite").text(folder)
+
+
 def save_for_reprocessing(failed: DataFrame, folder: str, columns: Sequence[str] | None = None) -> None:
     out = require_columns(failed, columns).select(*columns) if columns else failed.drop("failed_checks")
     out.write.mode("overwrite").option("header", True).csv(folder)

@@ -87,6 +87,12 @@ def test_request_files(spark, tmp_path):
         tables.load_requests(spark, f"{tmp_path}/req", 3)
 
 
+def test_retry_requests_are_whole_lines(spark, tmp_path):
+    docs = documents(spark).where("row_idx = 3")
+    sinks.save_requests(docs, f"{tmp_path}/retry")
+    assert tables.load_requests(spark, f"{tmp_path}/retry", 1).count() == docs.count() == 4
+
+
 def test_indicator_lists_from_requests(spark):
     """Combined answers whose indicator list comes from the request table, next to prompts of their own."""
     docs = documents(spark).where("row_idx < 3")
