@@ -84,10 +84,12 @@ def slot_pivot(
 
     The slots are named, so the schema is fixed and no job is run to find them.
     """
-    aggs = [
-        F.max(F.when(F.col(slot) == i, F.col(f))).alias(f"{f}_SC{i + 1}") for f in fields for i in range(n_slots)
-    ]
-    return votes.groupBy(*keys).agg(*aggs)
+    if len(fields) == 1:
+        f = fields[0]
+        return votes.groupBy(*keys).agg(*[F.max(F.when(F.col(slot) == i, F.col(f))).alias(f"{f}_SC{i + 1}") for i in range(n_slots)])
+    # Fields of a slot travel together, so that they stem from one sample and there is one buffer per slot.
+    side = votes.groupBy(*keys).agg(*[F.max(F.when(F.col(slot) == i, F.struct(*fields))).alias(f"_s{i}") for i in range(n_slots)])
+    return side.select(*keys, *[F.col(f"_s{i}")[f].alias(f"{f}_SC{i + 1}") for f in fields for i in range(n_slots)])
 
 
 def unpivot_slots(wide: DataFrame, n_slots: int, keys: Sequence[str] = KEYS, field: str = "prediction") -> DataFrame:

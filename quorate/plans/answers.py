@@ -101,26 +101,29 @@ def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, rea
     in one bounded buffer and the vote is arithmetic on the row, so vote and pivot share a single shuffle.
     """
     slots = n_samples + 1
+    title = {"document_name": "constitution_document_name", "constitution_year": "constitution_year", "document_types": "constitution_document_types"}
+    text_fields = ["reasoning"] if reasoning else []
     aggs, outs = [], [F.col("row_idx")]
-
-    def slot(ind: str, field: str, i: int, name: str) -> Column:
-        aggs.append(F.max(F.when((F.col("indicator") == ind) & (F.col("sc_idx") == i), F.col(field))).alias(name))
-        return F.col(f"`{name}`")
-
-    for ind in indicators:
-        fields = list(DOCUMENT_FIELDS) if ind == DOCUMENTS else (["reasoning"] if reasoning else []) + ["confidence"]
-        title = {"document_name": "constitution_document_name", "constitution_year": "constitution_year", "document_types": "constitution_document_types"}
+    for n, ind in enumerate(indicators):
+        documents = list(DOCUMENT_FIELDS) if ind == DOCUMENTS else []
+        if n_samples == 0:
+            fields = [*text_fields, "confidence", *documents]
+        else:
+            fields = documents or [*text_fields, "confidence"]
+        # Fields of a slot travel together, so that they stem from one answer and there is one buffer per slot.
+        for i in range(slots):
+            mine = (F.col("indicator") == ind) & (F.col("sc_idx") == i)
+            aggs.append(F.max(F.when(mine, F.struct("prediction", *fields))).alias(f"_{n}_{i}"))
+        slot = [F.col(f"_{n}_{i}") for i in range(slots)]
         if n_samples == 0:
-            outs.append(slot(ind, "prediction", 0, f"{ind}_prediction"))
-            plain = (["reasoning"] if reasoning else []) + ["confidence"] + (list(DOCUMENT_FIELDS) if ind == DOCUMENTS else [])
-            outs += [slot(ind, f, 0, title.get(f, f"{ind}_{f}")) for f in plain]
+            outs.append(slot[0]["prediction"].alias(f"{ind}_prediction"))
+            outs += [slot[0][f].alias(title.get(f, f"{ind}_{f}")) for f in fields]
             continue
-        votes = [slot(ind, "prediction", i, f"{ind}_SC{i + 1}") for i in range(slots)]
-        verdict = slot_verdict(votes)
+        verdict = slot_verdict([s["prediction"] for s in slot])
         outs.append(verdict["prediction"].alias(f"{ind}_prediction"))
-        outs += votes
+        outs += [s["prediction"].alias(f"{ind}_SC{i + 1}") for i, s in enumerate(slot)]
         for f in fields:
-            outs += [slot(ind, f, i, f"{title.get(f, f'{ind}_{f}')}_SC{i + 1}") for i in range(slots)]
+            outs += [s[f].alias(f"{title.get(f, f'{ind}_{f}')}_SC{i + 1}") for i, s in enumerate(slot)]
         outs.append(verdict["agreement"].alias(f"{ind}_agreement"))
         outs.append(verdict["uncertainty"].alias(f"{ind}_uncertainty"))
     return long.groupBy("row_idx").agg(*aggs).select(*outs)

@@ -29,7 +29,6 @@ class Fixture:
     columns: dict[str, str]
     indicators: bool = False
     samples: int = 0
-    where: str | None = None
     heavy: bool = False
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +40,6 @@ class Fixture:
             out = out.select("*", F.inline(pairs))
         if self.samples:
             out = out.select("*", F.explode(F.array(*[F.lit(i) for i in range(self.samples)])).alias("sc_idx"))
-        if self.where:
-            out = out.where(self.where)
         return out.selectExpr(*[f"{e} as {a}" for a, e in self.columns.items()])
 
     @property
@@ -54,8 +51,7 @@ class Fixture:
         if self.samples:
             dims += f" cross join (select unnest(range(0, {self.samples})) as sc_idx) smp"
         cols = ", ".join(f"{e} as {a}" for a, e in self.columns.items())
-        cond = f" where {self.where}" if self.where else ""
-        return f"{self.name} as (select {cols} from {self.source}{dims}{cond})"
+        return f"{self.name} as (select {cols} from {self.source}{dims})"
 
 
 def with_ctes(fixtures, body: str) -> str:
@@ -183,7 +179,7 @@ DOCUMENTS_WIDE = Fixture(
         "row_idx": "doc_id",
         "constitution_prediction": "case doc_id % 5 when 0 then '0' when 1 then '1' when 2 then '2.0' when 3 then null else '2' end",
         "constitution_confidence": "case doc_id % 11 when 0 then null when 1 then -1 when 2 then 20 else cast(doc_id % 100 as int) end",
-        "constitution_reasoning": "case when doc_id % 13 = 0 then null else substr(source, 1, cast(n_chars % 12 as int)) end",
+        "constitution_reasoning": "case when doc_id % 13 = 0 then null when n_chars % 3 = 0 then lang else source || ' ' || lang end",
         "constitution_document_name": _NAMES,
         "constitution_year": _YEARS,
         "constitution_document_types": _TYPES,
@@ -199,10 +195,10 @@ REPROCESSED = Fixture(
         "row_idx": "doc_id",
         "attempt": "sc_idx",
         "sovereign_prediction": "cast((doc_id + sc_idx) % 2 as string)",
-        "sovereign_confidence": "case when doc_id % 14 = 0 and sc_idx = 1 then -1 else cast(90 + sc_idx as int) end",
+        "sovereign_confidence": "case when doc_id % 5 = 0 or (doc_id + sc_idx) % 3 = 0 then -1 when n_chars % 7 = 0 then null else cast(90 + sc_idx as int) end",
         "sovereign_note": "source || ' again ' || cast(sc_idx as string)",
     },
-    samples=2, where="doc_id % 7 = 0 and (sc_idx = 0 or doc_id % 21 = 0 or doc_id % 14 = 0)",
+    samples=2,
 )
 RULERS = Fixture(
     "rulers", "customer",
@@ -278,8 +274,8 @@ TIERS = Fixture(
     "tier_rows", "documents",
     {
         "row_idx": "doc_id",
-        "one": "case when doc_id % 3 = 0 then null else substr(text, 1, cast(doc_id % 300 as int)) end",
-        "two": "case when doc_id % 4 = 0 then '' else substr(text, 20, cast(n_chars % 250 as int)) end",
-        "three": "substr(text, 5, 90)",
+        "one": "case doc_id % 3 when 0 then null when 1 then source || ' ' || lang else text end",
+        "two": "case doc_id % 4 when 0 then '' when 1 then lang else text end",
+        "three": "text",
     },
 )

@@ -14,7 +14,7 @@ from quorate.registry import DEFAULT_REGISTRY
 
 IND = ["constitution", "sovereign", "assembly"]
 FILLED = """fr as (select row_idx, coalesce(polity_name, 'Unknown Polity') as polity, coalesce(leader_name, 'Unknown Leader') as name,
-    leader_first_year as s, coalesce(cast(leader_last_year as varchar), 'present') as e from rulers where leader_first_year is not null)"""
+    leader_first_year as s, coalesce(cast(leader_last_year as varchar), 'present') as e, polity_region as region from rulers where leader_first_year is not null)"""
 TEMPLATE = "Label {indicator} for {name} of {polity}, {period}. Write {{}} only."
 _TEXT = "'Label ' || {0} || ' for ' || name || ' of ' || polity || ', ' || s || '-' || e || '. Write {{}} only.'"
 

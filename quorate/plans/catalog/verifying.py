@@ -137,7 +137,7 @@ _LINES = "'Q: ' || row_idx || ' on ' || source || ' ' || {0} || chr(10) || 'A: '
     """select row_idx, 'sovereign' as indicator, """
     + _LINES.format("0", "'yes ' || lang").replace("row_idx", "doc_id")
     + " || chr(10) || "
-    + _LINES.format("1", "case when doc_id % 3 = 0 then 'Error: no answer' else 'no' end").replace("row_idx", "doc_id")
+    + _LINES.format("1", "case when lang = 'de' then 'Error: no answer' else 'no' end").replace("row_idx", "doc_id")
     + " as evidence from (select doc_id as row_idx, * from documents)",
 )
 def check_evidence(spark, sf):
@@ -145,7 +145,7 @@ def check_evidence(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "source", "lang", F.explode(F.array(F.lit(0), F.lit(1))).alias("q_idx"))
     d = d.withColumn("indicator", F.lit("sovereign"))
     questions = d.select("row_idx", "indicator", "q_idx", F.concat(F.col("row_idx").cast("string"), F.lit(" on "), "source", F.lit(" "), F.col("q_idx").cast("string")).alias("question"))
-    answers = d.where((F.col("q_idx") == 0) | (F.col("row_idx") % 3 != 0)).select(
+    answers = d.where((F.col("q_idx") == 0) | (F.col("lang") != "de")).select(
         "row_idx", "indicator", "q_idx", F.when(F.col("q_idx") == 0, F.concat(F.lit("yes "), "lang")).otherwise(F.lit("no")).alias("answer")
     )
     return V.gather_answers(questions, answers, 2)
@@ -180,15 +180,15 @@ def check_decision(spark, sf):
     "enriched_requests",
     with_ctes(
         [RULERS, FILLED],
-        f"""select row_idx, case when row_idx % 4 = 0 then 'Label ' || name || '.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '--- REFERENCE MATERIAL ---' || chr(10)
+        f"""select row_idx, case when region = 'BUILDING' then 'Label ' || name || '.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '--- REFERENCE MATERIAL ---' || chr(10)
         || 'about ' || row_idx || chr(10) || '--- END REFERENCE MATERIAL ---' || chr(10) || chr(10) || 'Label ' || name || '.' end as user_prompt,
-        case when row_idx % 4 <> 0 then 'notes' end as search_sources, case when row_idx % 4 <> 0 then 'u1 | u2' end as search_urls from fr""",
+        case when region <> 'BUILDING' then 'notes' end as search_sources, case when region <> 'BUILDING' then 'u1 | u2' end as search_urls from fr""",
     ),
 )
 def enriched_requests(spark, sf):
     """Context joined to rows and put into their prompts."""
     rows = good_rows(spark, sf)
-    notes = rows.where("row_idx % 4 <> 0").select("row_idx", F.concat(F.lit("about "), F.col("row_idx").cast("string")).alias("context"), F.array(F.lit("u1"), F.lit("u2")).alias("urls"))
+    notes = rows.where("polity_region <> 'BUILDING'").select("row_idx", F.concat(F.lit("about "), F.col("row_idx").cast("string")).alias("context"), F.array(F.lit("u1"), F.lit("u2")).alias("urls"))
     made = prompts(rows, DEFAULT_REGISTRY, ["sovereign"], "multiple", user_template="Label {name}.")
     out = C.enrich_prompts(made, C.tiered_context(rows, [("notes", notes)]))
     return out.select("row_idx", "user_prompt", "search_sources", "search_urls")

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from quorate.operators import votes as V
-from quorate.plans.answers import answers_long, attach_results, wide_results
+from quorate.plans.answers import attach_results, self_consistency, wide_results
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import EVENT_VOTES, RESPONSES, VOTES, table, with_ctes
+from quorate.plans.catalog.parsing import ANSWERS_CTE, JSON
 from quorate.registry import DEFAULT_REGISTRY
 
 
@@ -90,25 +91,22 @@ def single_sample(spark, sf):
     return no_verification(VOTES.df(spark, sf)).drop("sc_idx")
 
 
-_WIDE = ", ".join(
-    [f"max(case when v.indicator = '{i}' then d.prediction end) as {i}_prediction" for i in ("sovereign", "assembly")]
-    + [
-        f"max(case when v.indicator = '{i}' and v.sc_idx = {k} then v.{f} end) as {i}{n}_SC{k + 1}"
-        for i in ("sovereign", "assembly")
-        for f, n in (("prediction", ""), ("reasoning", "_reasoning"), ("confidence", "_confidence"))
-        for k in range(3)
-    ]
-    + [f"max(case when v.indicator = '{i}' then d.{f} end) as {i}_{f}" for i in ("sovereign", "assembly") for f in ("agreement", "uncertainty")]
-)
+def wide_sql(votes: str) -> str:
+    """Wide columns of two indicators over `votes` v and `verdict` d."""
+    names = ("sovereign", "assembly")
+    cols = [f"max(case when v.indicator = '{i}' then d.prediction end) as {i}_prediction" for i in names]
+    for i in names:
+        for f, n in (("prediction", ""), ("reasoning", "_reasoning"), ("confidence", "_confidence")):
+            cols += [f"max(case when v.indicator = '{i}' and v.sc_idx = {k} then v.{f} end) as {i}{n}_SC{k + 1}" for k in range(3)]
+        cols += [f"max(case when v.indicator = '{i}' then d.{f} end) as {i}_{f}" for f in ("agreement", "uncertainty")]
+    return f"select v.row_idx, {', '.join(cols)} from {votes} v join verdict d on v.row_idx = d.row_idx and v.indicator = d.indicator group by 1"
 
 
 @query(
     "wide_results",
     with_ctes(
         [VOTES, majority_sql("votes3")],
-        f"""select t.doc_id as row_idx, t.lang, w.* exclude (row_idx) from documents t left join (
-        select v.row_idx, {_WIDE} from votes3 v join verdict d on v.row_idx = d.row_idx and v.indicator = d.indicator
-        group by 1) w on t.doc_id = w.row_idx""",
+        f"select t.doc_id as row_idx, t.lang, w.* exclude (row_idx) from documents t left join ({wide_sql('votes3')}) w on t.doc_id = w.row_idx",
     ),
 )
 def wide_result_table(spark, sf):
@@ -116,12 +114,17 @@ def wide_result_table(spark, sf):
     return attach_results(rows, wide_results(VOTES.df(spark, sf), ["sovereign", "assembly"], 2))
 
 
-@query("self_consistency")
-def self_consistency(spark, sf):
-    """Answer texts to wide voted labels (its parts are checked one by one against SQL)."""
-    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[])
+@query(
+    "self_consistency",
+    with_ctes(
+        [RESPONSES, JSON, ANSWERS_CTE, majority_sql("ans")],
+        f"select t.doc_id as row_idx, t.source, w.* exclude (row_idx) from documents t left join ({wide_sql('ans')}) w on t.doc_id = w.row_idx",
+    ),
+)
+def self_consistency_job(spark, sf):
+    """Answer texts to wide voted labels, next to the input."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "source")
-    return attach_results(rows, wide_results(long, ["sovereign", "assembly"], 2))
+    return self_consistency(rows, RESPONSES.df(spark, sf), DEFAULT_REGISTRY, ["sovereign", "assembly"], 2, ["sovereign", "assembly"], alone=[])
 
 
 @query(
