@@ -79,18 +79,18 @@ def with_prices(df: DataFrame, prices: Prices = PRICES) -> DataFrame:
     return keyed.select(*df.columns, price_of("_key", prices).alias("_p")).select(*df.columns, "_p.*")
 
 
-def cost_usd(batch_discount: float = 1.0, tokens: Mapping[str, str] | None = None) -> Column:
-    """Cost from token and price columns; thinking tokens are billed at the output rate.
+def micro_usd() -> Column:
+    """Cost in millionths of a dollar from token and price columns; thinking tokens are billed at the output rate.
 
-    Tokens x price is exact in decimals; the one division comes last.
+    Tokens x price is exact in decimals, and so are sums of it; the one division comes last (`dollars`).
     """
-    t = {k: F.coalesce(F.col((tokens or {}).get(k, k)), F.lit(0)).cast("decimal(19,0)") for k in TOKENS}
-    micro = (
-        (t["input_tokens"] * F.col("input_price")).cast("decimal(32,4)")
-        + (t["output_tokens"] * F.col("output_price")).cast("decimal(32,4)")
-        + (t["thinking_tokens"] * F.col("output_price")).cast("decimal(32,4)")
-        + (t["cached_tokens"] * F.col("cached_price")).cast("decimal(32,4)")
-    )
+    t = {k: F.coalesce(F.col(k), F.lit(0)).cast("decimal(19,0)") for k in TOKENS}
+    rate = {"input_tokens": "input_price", "output_tokens": "output_price", "thinking_tokens": "output_price", "cached_tokens": "cached_price"}
+    parts = [(t[k] * F.col(p)).cast("decimal(32,4)") for k, p in rate.items()]
+    return (parts[0] + parts[1] + parts[2] + parts[3]).cast("decimal(34,4)")
+
+
+def dollars(micro: Column, batch_discount: float = 1.0) -> Column:
     return micro.cast("double") * batch_discount / 1_000_000
 
 
@@ -98,7 +98,7 @@ def price_usage(usage: DataFrame, prices: Prices = PRICES, batch_discount: float
     """Cost per call; map-only with a price list. With a price table it is looked up for distinct models only."""
     return (
         with_prices(usage, prices)
-        .withColumn("cost_usd", cost_usd(batch_discount))
+        .withColumn("cost_usd", dollars(micro_usd(), batch_discount))
         .drop("model_prefix", "input_price", "output_price", "cached_price")
     )
 
@@ -110,17 +110,17 @@ def _sums() -> list[Column]:
 def usage_totals(usage: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0) -> DataFrame:
     """Totals per model, and one overall row whose model is null."""
     per_model = usage.groupBy("model").agg(*_sums())
-    priced = with_prices(per_model, prices).withColumn("cost_usd", cost_usd(batch_discount))
+    priced = with_prices(per_model, prices).withColumn("_micro", micro_usd())
     return priced.rollup("model").agg(
-        F.sum("calls").alias("calls"), *[F.sum(t).alias(t) for t in TOKENS], F.sum("cost_usd").alias("cost_usd")
+        F.sum("calls").alias("calls"), *[F.sum(t).alias(t) for t in TOKENS], dollars(F.sum("_micro"), batch_discount).alias("cost_usd")
     )
 
 
 def indicator_costs(usage: DataFrame, prices: Prices = PRICES, batch_discount: float = 1.0) -> DataFrame:
     """Cost per indicator; calls without an indicator are left out."""
     named = usage.where(F.col("indicator").isNotNull()).groupBy("indicator", "model").agg(*_sums())
-    priced = with_prices(named, prices).withColumn("cost_usd", cost_usd(batch_discount))
-    return priced.groupBy("indicator").agg(F.sum("cost_usd").alias("cost_usd"), F.sum("calls").alias("calls"))
+    priced = with_prices(named, prices).withColumn("_micro", micro_usd())
+    return priced.groupBy("indicator").agg(dollars(F.sum("_micro"), batch_discount).alias("cost_usd"), F.sum("calls").alias("calls"))
 
 
 def split_prompt_cost(usage: DataFrame, indicators: str = "indicators") -> DataFrame:
@@ -147,7 +147,7 @@ def estimate_run(
         F.lit(0).cast("bigint").alias("thinking_tokens"),
     )
     priced = with_prices(planned, prices)
-    return priced.select("model", "calls", "input_tokens", "output_tokens", cost_usd(batch_discount).alias("cost_usd"))
+    return priced.select("model", "calls", "input_tokens", "output_tokens", dollars(micro_usd(), batch_discount).alias("cost_usd"))
 
 
 def progress(df: DataFrame, status: str = "status", by: Sequence[str] = ()) -> DataFrame:

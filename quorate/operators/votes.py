@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quorate.registry import string_array
 
 KEYS = ("row_idx", "indicator")
+MAX_PAIRED_SLOTS = 8
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -101,13 +102,23 @@ def unpivot_slots(wide: DataFrame, n_slots: int, keys: Sequence[str] = KEYS, fie
 
 
 def slot_verdict(slots: Sequence[Column]) -> dict[str, Column]:
-    """Vote over slots that stand in one row: prediction, agreement, uncertainty."""
-    counts = [
-        reduce(lambda a, b: a + b, [F.coalesce((other == own).cast("int"), F.lit(0)) for other in slots]) for own in slots
-    ]
+    """Vote over slots that stand in one row: prediction, agreement, uncertainty.
+
+    Few slots are compared pair by pair, which compiles to plain arithmetic; many go through array functions, so
+    that the expression does not grow with the square of their number.
+    """
     total = reduce(lambda a, b: a + b, [s.isNotNull().cast("int") for s in slots])
-    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    winner = F.coalesce(*[F.when(c == top, s) for s, c in zip(slots, counts)])
+    if len(slots) <= MAX_PAIRED_SLOTS:
+        counts = [
+            reduce(lambda a, b: a + b, [F.coalesce((other == own).cast("int"), F.lit(0)) for other in slots]) for own in slots
+        ]
+        top = F.greatest(*counts) if len(counts) > 1 else counts[0]
+        winner = F.coalesce(*[F.when(c == top, s) for s, c in zip(slots, counts)])
+    else:
+        votes = F.array_compact(F.array(*slots))
+        counts = F.transform(votes, lambda own: F.size(F.filter(votes, lambda other: other == own)))
+        top = F.coalesce(F.array_max(counts), F.lit(0))
+        winner = F.get(votes, F.array_position(counts, top).cast("int") - 1)
     return {
         "prediction": winner,
         "agreement": F.coalesce(top.cast("double") / F.nullif(total, F.lit(0)), F.lit(0.0)),

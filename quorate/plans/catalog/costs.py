@@ -17,8 +17,6 @@ _PRICED = f"""pm as (select mk.model, p.prefix as model_prefix, coalesce(p.i, {_
     coalesce(p.c, {_D[2]}) as cached_price from mk left join lateral (
     select * from prices where starts_with(lower(mk.id), lower(prefix)) order by length(prefix) desc, (prefix = mk.id) desc limit 1) p on true)"""
 BASE = [USAGE, _PRICES, _KEYED, _PRICED]
-_COST = "cast({n} as double) * {d} / 1000000"
-
 
 def micro(s: str = "") -> str:
     f = "sum" if s else ""
@@ -44,7 +42,7 @@ def usage_cost(spark, sf):
 
 _PER_MODEL = f"""um as (select usage.model, count(*) calls, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens,
     cast(sum(cached_tokens) as bigint) cached_tokens, cast(sum(thinking_tokens) as bigint) thinking_tokens,
-    cast({micro('sum')} as double) / 1000000 as cost_usd from usage join pm using (model) group by usage.model, input_price, output_price, cached_price)"""
+    {micro('sum')} as micro from usage join pm using (model) group by usage.model, input_price, output_price, cached_price)"""
 
 
 @query(
@@ -52,24 +50,24 @@ _PER_MODEL = f"""um as (select usage.model, count(*) calls, cast(sum(input_token
     with_ctes(
         [*BASE, _PER_MODEL],
         """select model, cast(sum(calls) as bigint) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens,
-        cast(sum(cached_tokens) as bigint) as cached_tokens, cast(sum(thinking_tokens) as bigint) as thinking_tokens, round(sum(cost_usd), 6) as cost_usd
+        cast(sum(cached_tokens) as bigint) as cached_tokens, cast(sum(thinking_tokens) as bigint) as thinking_tokens, cast(sum(micro) as double) * 1.0 / 1000000 as cost_usd
         from um group by rollup (model)""",
     ),
 )
 def usage_rollup(spark, sf):
-    return C.usage_totals(USAGE.df(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return C.usage_totals(USAGE.df(spark, sf))
 
 
 @query(
     "cost_per_indicator",
     with_ctes(
         BASE,
-        f"""select indicator, round(sum(cast({micro()} as double) / 1000000), 6) as cost_usd, count(*) as calls
+        f"""select indicator, cast(sum({micro()}) as double) * 1.0 / 1000000 as cost_usd, count(*) as calls
         from usage join pm using (model) where indicator is not null group by 1""",
     ),
 )
 def cost_per_indicator(spark, sf):
-    return C.indicator_costs(USAGE.df(spark, sf)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return C.indicator_costs(USAGE.df(spark, sf))
 
 
 @query(

@@ -49,6 +49,7 @@ def test_rule(spark):
     want = {k: expected(v) for k, v in CASES.items()}
     assert got(V.majority_vote(frame(spark, CASES))) == want
     assert got(V.slot_vote(frame(spark, CASES), 4)) == want
+    assert got(V.slot_vote(frame(spark, CASES), 12)) == want
     lettered = {k: v for k, v in CASES.items() if k != 9}
     assert got(V.slot_vote(frame(spark, lettered), 4, ["0", "1", "2", "3"])) == {k: expected(v) for k, v in lettered.items()}
 
