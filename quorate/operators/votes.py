@@ -12,7 +12,6 @@ Two plans for two shapes of data:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,28 +100,28 @@ def unpivot_slots(wide: DataFrame, n_slots: int, keys: Sequence[str] = KEYS, fie
     return wide.select(*keys, F.inline(slots))
 
 
-def slot_verdict(slots: Sequence[Column]) -> dict[str, Column]:
+def slot_verdict(slots: Sequence[str]) -> dict[str, Column]:
     """Vote over slots that stand in one row: prediction, agreement, uncertainty.
 
-    Few slots are compared pair by pair, which compiles to plain arithmetic; many go through array functions, so
-    that the expression does not grow with the square of their number.
+    Slots are SQL texts (column names or expressions). Few slots are compared pair by pair, which compiles to plain
+    arithmetic; many go through array functions, so that the text does not grow with the square of their number.
     """
-    total = reduce(lambda a, b: a + b, [s.isNotNull().cast("int") for s in slots])
+    total = " + ".join(f"cast({s} is not null as int)" for s in slots)
     if len(slots) <= MAX_PAIRED_SLOTS:
-        counts = [
-            reduce(lambda a, b: a + b, [F.coalesce((other == own).cast("int"), F.lit(0)) for other in slots]) for own in slots
-        ]
-        top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-        winner = F.coalesce(*[F.when(c == top, s) for s, c in zip(slots, counts)])
+        counts = ["(" + " + ".join(f"coalesce(cast({other} = {own} as int), 0)" for other in slots) + ")" for own in slots]
+        top = f"greatest({', '.join(counts)})" if len(counts) > 1 else counts[0]
+        winner = "coalesce(" + ", ".join(f"case when {c} = {top} then {s} end" for s, c in zip(slots, counts)) + ")"
     else:
-        votes = F.array_compact(F.array(*slots))
-        counts = F.transform(votes, lambda own: F.size(F.filter(votes, lambda other: other == own)))
-        top = F.coalesce(F.array_max(counts), F.lit(0))
-        winner = F.get(votes, F.array_position(counts, top).cast("int") - 1)
+        votes = f"array_compact(array({', '.join(slots)}))"
+        counts = f"transform({votes}, own -> size(filter({votes}, other -> other = own)))"
+        top = f"coalesce(array_max({counts}), 0)"
+        winner = f"get({votes}, cast(array_position({counts}, {top}) as int) - 1)"
     return {
-        "prediction": winner,
-        "agreement": F.coalesce(top.cast("double") / F.nullif(total, F.lit(0)), F.lit(0.0)),
-        "uncertainty": uncertainty_of(top, total),
+        "prediction": F.expr(winner),
+        "agreement": F.expr(f"coalesce(cast({top} as double) / nullif({total}, 0), cast(0 as double))"),
+        "uncertainty": F.expr(
+            f"case when {total} = 0 then 'high' when {top} = {total} then 'none' when {top} >= 2 then 'low' else 'high' end"
+        ),
     }
 
 
@@ -141,14 +140,13 @@ def slot_vote(
     """
     if labels is None:
         wide = slot_pivot(votes, n_slots, keys, (vote,), slot)
-        cols = [F.when(F.col(f"{vote}_SC{i + 1}") != "", F.col(f"{vote}_SC{i + 1}")) for i in range(n_slots)]
-        verdict = slot_verdict(cols)
+        verdict = slot_verdict([f"nullif(`{vote}_SC{i + 1}`, '')" for i in range(n_slots)])
     else:
         known = string_array(labels)
         place = F.array_position(known, F.col(vote))
         coded = votes.select(*keys, slot, F.when(place > 0, place.cast("int")).alias("_code"))
         wide = slot_pivot(coded, n_slots, keys, ("_code",), slot)
-        verdict = slot_verdict([F.col(f"_code_SC{i + 1}") for i in range(n_slots)])
+        verdict = slot_verdict([f"_code_SC{i + 1}" for i in range(n_slots)])
         verdict["prediction"] = F.try_element_at(known, verdict["prediction"])
     return wide.select(
         *keys,

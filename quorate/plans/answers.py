@@ -11,7 +11,7 @@ from quorate.functions import answers as A
 from quorate.functions.values import request_id_parts
 from quorate.operators.requests import COMBINED
 from quorate.operators.votes import slot_verdict
-from quorate.registry import Registry, string_array
+from quorate.registry import Registry, quoted, string_array
 
 DOCUMENTS = "constitution"
 DOCUMENT_FIELDS = ("document_name", "constitution_year", "document_types")
@@ -111,19 +111,19 @@ def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, rea
         else:
             fields = documents or [*text_fields, "confidence"]
         # Fields of a slot travel together, so that they stem from one answer and there is one buffer per slot.
+        # SQL text keeps the many columns cheap to build.
         for i in range(slots):
-            mine = (F.col("indicator") == ind) & (F.col("sc_idx") == i)
-            aggs.append(F.max(F.when(mine, F.struct("prediction", *fields))).alias(f"_{n}_{i}"))
-        slot = [F.col(f"_{n}_{i}") for i in range(slots)]
+            mine = f"indicator = {quoted(ind)} and sc_idx = {i}"
+            aggs.append(F.expr(f"max(case when {mine} then struct(prediction, {', '.join(fields)}) end) as _{n}_{i}"))
+        names = {f: title.get(f, f"{ind}_{f}") for f in fields}
         if n_samples == 0:
-            outs.append(slot[0]["prediction"].alias(f"{ind}_prediction"))
-            outs += [slot[0][f].alias(title.get(f, f"{ind}_{f}")) for f in fields]
+            outs.append(F.expr(f"_{n}_0.prediction as `{ind}_prediction`"))
+            outs += [F.expr(f"_{n}_0.{f} as `{names[f]}`") for f in fields]
             continue
-        verdict = slot_verdict([s["prediction"] for s in slot])
+        verdict = slot_verdict([f"_{n}_{i}.prediction" for i in range(slots)])
         outs.append(verdict["prediction"].alias(f"{ind}_prediction"))
-        outs += [s["prediction"].alias(f"{ind}_SC{i + 1}") for i, s in enumerate(slot)]
-        for f in fields:
-            outs += [s[f].alias(f"{title.get(f, f'{ind}_{f}')}_SC{i + 1}") for i, s in enumerate(slot)]
+        outs += [F.expr(f"_{n}_{i}.prediction as `{ind}_SC{i + 1}`") for i in range(slots)]
+        outs += [F.expr(f"_{n}_{i}.{f} as `{names[f]}_SC{i + 1}`") for f in fields for i in range(slots)]
         outs.append(verdict["agreement"].alias(f"{ind}_agreement"))
         outs.append(verdict["uncertainty"].alias(f"{ind}_uncertainty"))
     return long.groupBy("row_idx").agg(*aggs).select(*outs)
