@@ -91,6 +91,34 @@ def upsert_long(original: DataFrame, reprocessed: DataFrame, failed: DataFrame,
     return upsert(original, allowed, order, ["row_idx", "indicator"], update, "confidence")
 
 
+def upsert_indicators(
+    original: DataFrame, fresh: DataFrame, indicators: Sequence[str], key: str = "row_idx", failed: str = "_failed_{}"
+) -> DataFrame:
+    """Per-indicator upsert on the wide table, all indicators in one join.
+
+    `fresh` holds new columns by row key and a flag per indicator that says whether it had failed on that row. Only
+    the columns of failed indicators are overwritten, and only where the new confidence is neither null nor -1.
+    """
+    groups = {i: indicator_columns(fresh.columns, i) for i in indicators}
+    moved = [failed.format(i) for i in indicators] + [c for cols in groups.values() for c in cols]
+    # One row per key; of several the same one is taken whatever the partitioning.
+    new = fresh.groupBy(key).agg(F.max(F.struct(*dict.fromkeys(moved))).alias("_new"))
+    joined = original.join(new, key, "left")
+    value, owner = F.col("_new"), {c: i for i, cols in groups.items() for c in cols}
+    good = {}
+    for i, cols in groups.items():
+        good[i] = F.coalesce(value[failed.format(i)] == 1, F.lit(False))
+        if f"{i}_confidence" in cols:
+            score = value[f"{i}_confidence"].try_cast("double")
+            good[i] = good[i] & F.coalesce(score != -1, F.lit(False))
+    out = [
+        F.when(good[owner[c]], value[c].try_cast(original.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in owner else F.col(c)
+        for c in original.columns
+    ]
+    out += [F.when(good[i], value[c]).alias(c) for c, i in owner.items() if c not in original.columns]
+    return joined.select(*out)
+
+
 def unanswered(requests: DataFrame, responses: DataFrame, key: str = "custom_id", text: str = "text") -> DataFrame:
     """Requests without a response, or with an empty one."""
     answered = responses.where(F.col(text) != "").select(key)

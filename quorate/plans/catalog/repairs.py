@@ -148,3 +148,31 @@ def combined_results(spark, sf):
     r = RESPONSES.df(spark, sf)
     later = r.where(F.col("custom_id").endswith("|1")).select("custom_id", F.lit("later").alias("text"))
     return P.later_wins([r, later])
+
+
+_AGAIN = """ag as (select row_idx, case when sovereign_prediction is null or sovereign_confidence = -1 then 1 else 0 end as fs,
+    case when constitution_prediction is null or constitution_confidence is null then 1 else 0 end as fc,
+    case when row_idx % 6 = 0 then -1 else 88 end as conf from documents_wide)"""
+
+
+@query(
+    "indicator_upsert",
+    with_ctes(
+        [DOCUMENTS_WIDE, _AGAIN],
+        """select w.row_idx, case when fs = 1 and conf <> -1 then '1' else sovereign_prediction end as sovereign_prediction,
+        case when fs = 1 and conf <> -1 then conf else sovereign_confidence end as sovereign_confidence,
+        case when fc = 1 then '2' else constitution_prediction end as constitution_prediction from documents_wide w join ag on w.row_idx = ag.row_idx""",
+    ),
+)
+def indicator_upsert(spark, sf):
+    """Wide table repaired for several indicators in one join, each only where it had failed."""
+    old = DOCUMENTS_WIDE.df(spark, sf).select("row_idx", "sovereign_prediction", "sovereign_confidence", "constitution_prediction", "constitution_confidence")
+    fresh = old.select(
+        "row_idx",
+        (F.col("sovereign_prediction").isNull() | (F.col("sovereign_confidence") == -1)).cast("int").alias("_failed_sovereign"),
+        (F.col("constitution_prediction").isNull() | F.col("constitution_confidence").isNull()).cast("int").alias("_failed_constitution"),
+        F.lit("1").alias("sovereign_prediction"),
+        F.when(F.col("row_idx") % 6 == 0, -1).otherwise(88).alias("sovereign_confidence"),
+        F.lit("2").alias("constitution_prediction"),
+    )
+    return P.upsert_indicators(old, fresh, ["sovereign", "constitution"]).drop("constitution_confidence")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.operators.quality import failures
-from quorate.operators.repair import indicator_columns, retry_requests, upsert
+from quorate.operators.repair import retry_requests, upsert_indicators
 from quorate.session import run_folder
 from quorate.sources.sinks import log_run
 
@@ -39,14 +39,7 @@ def repair_round(
     )
     reprocess(retry_requests(requests, by_row, key)).write.parquet(f"{folder}/reprocessed")
     fresh = spark.read.parquet(f"{folder}/reprocessed").join(by_row, key)
-    out = table
-    for i in indicators:
-        cols = indicator_columns(fresh.columns, i)
-        if not cols:
-            continue
-        mine = fresh.where(F.col(f"_failed_{i}") == 1).withColumn("_order", F.lit(0))
-        confidence = f"{i}_confidence" if f"{i}_confidence" in cols else None
-        out = upsert(out, mine.select(key, "_order", *cols), "_order", [key], cols, confidence)
+    out = upsert_indicators(table, fresh, indicators, key)
     if run_table:
         n = failed.groupBy("indicator").count().collect()  # one row per indicator
         log_run(spark, run_table, folder.rsplit("/", 1)[-1], "repair", {"round": round_no, **{r["indicator"]: r["count"] for r in n}})
