@@ -38,7 +38,11 @@ def stream_usage(spark, sf):
     folder = run_folder(spark, "stream-usage")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    usage = arriving.selectExpr(*[f"{e} as {a}" for a, e in USAGE.columns.items()]).withColumn("ts", F.col("ts").cast("timestamp"))
+    usage = arriving.selectExpr(*[f"{e} as {a}" for a, e in USAGE.columns.items()])
+    # The table's times carry no zone; read as UTC whatever the session's zone is.
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    usage = usage.withColumn("ts", F.timestamp_micros(micros))
     run_usage(usage, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "model", "calls", "input_tokens", "output_tokens")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86_400).cast("int")).cast("string")
+    return out.select(day.alias("day"), "model", "calls", "input_tokens", "output_tokens")
