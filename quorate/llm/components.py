@@ -34,13 +34,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def bucket_links(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str | None = None) -> DataFrame:
     """Links (a, b) that connect whatever the pairs within buckets connect.
 
-    `buckets` has (bucket, id, weight, further columns); `linked` keeps the true links of a frame (a, b).
+    `buckets` has (bucket, id, weight, further columns), best as a written table, for it is read several times; `linked` keeps the true links of a frame (a, b).
     `may_link` is an SQL condition over x.* and y.* that every link fulfils. First every member is held against the
     leader of its bucket (largest weight), which settles groups of near copies in one comparison each. Then pairs whose
     ends still lie in different components are compared, so no link is lost and no group of copies gives all its pairs.
     """
     cond = may_link or "true"
-    rows = stage(buckets, "buckets")
+    rows = buckets
     # The leader by an aggregate that is combined before the shuffle: a hot bucket sends one row per task.
     order = F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i"))
     others = [c for c in rows.columns if c not in ("bucket", "id", "weight")]

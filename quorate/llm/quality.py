@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.llm.common import stage
-from quorate.llm.stats import text_stats
+from quorate.llm.stats import COUNTS, SHARES, describe
 
 # Share of the pooled covariance in each class covariance, and of the pooled variances added to its diagonal.
 SHRINK, RIDGE = 0.2, 0.1
@@ -26,15 +28,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def features(s: str = "stats") -> dict[str, Column]:
-    """Transformed statistics that the discriminant works on, all finite for any text."""
-    col = lambda c: F.col(f"{s}.{c}")
-    out = {c: F.log(col(c) + FLOOR) for c in LOG_SHARES}
-    out["length"] = F.log(col("n_words") + 1.0)
-    out["distinct"] = F.log(col("distinct_share") + FLOOR) + 0.1 * F.log(col("n_words") + 1.0)
-    out["mean_word"] = F.log(col("mean_word") + 1.0)
-    out["line_words"] = F.log(col("words_per_line") + 1.0)
-    return {f"f_{c}": e for c, e in out.items()}
+FEATURES = (*LOG_SHARES, "length", "distinct", "mean_word", "line_words")
+
+
+def transform(stats: pd.DataFrame) -> np.ndarray:
+    """Transformed statistics that the discriminant works on, a row per text, all finite for any text."""
+    out = [np.log(stats[c].to_numpy(float) + FLOOR) for c in LOG_SHARES]
+    length = np.log(stats["n_words"].to_numpy(float) + 1.0)
+    # A long text repeats more of its words; the slope takes most of that out.
+    distinct = np.log(stats["distinct_share"].to_numpy(float) + FLOOR) + 0.1 * length
+    more = [length, distinct, np.log(stats["mean_word"].to_numpy(float) + 1.0), np.log(stats["words_per_line"].to_numpy(float) + 1.0)]
+    return np.stack([*out, *more], axis=1)
+
+
+def text_features(text: Column) -> Column:
+    """Array of FEATURES of a whole text; null counts as empty."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(transform(pd.DataFrame([describe(t) for t in texts], columns=[*COUNTS, *SHARES]))), dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(text)
 
 
 def known_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -49,47 +63,51 @@ class ClassModel:
     mean: np.ndarray
     whiten: np.ndarray  # inverse of the Cholesky factor of the class covariance
 
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        away = (x - self.mean) @ self.whiten.T
+        return self.log_weight - 0.5 * (away * away).sum(axis=1)
+
 
 @dataclass(frozen=True)
 class Discriminant:
     """Two class models, or none where the labels hold fewer than two classes; then every score is `constant`."""
 
-    names: tuple[str, ...]
     classes: tuple[ClassModel, ClassModel] | None
     constant: float
 
-    def score(self) -> Column:
-        """Score in 0..1 of a row with the feature columns; 0.5 where both classes are equally likely.
+    def score(self, x: Column) -> Column:
+        """Score in 0..1 of a feature array; 0.5 where both classes are equally likely.
 
         The log density difference is divided by the number of features before the logistic function. This keeps the
         order and the boundary, and far rows stay distinguishable.
         """
-        if self.classes is None:
+        classes = self.classes
+        if classes is None:
             return F.lit(self.constant)
-        margin = _log_density(self.names, self.classes[1]) - _log_density(self.names, self.classes[0])
-        return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-600.0), F.least(F.lit(600.0), margin / float(len(self.names))))))
 
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for rows in batches:
+                if len(rows):
+                    data = np.stack(rows.to_list())
+                    margin = (classes[1].log_density(data) - classes[0].log_density(data)) / data.shape[1]
+                    yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(margin, -600, 600))))
+                else:
+                    yield pd.Series([], dtype=float)
 
-def _log_density(names: tuple[str, ...], model: ClassModel) -> Column:
-    total = F.lit(0.0)
-    for i, row in enumerate(model.whiten):
-        part = F.lit(float(-(row @ model.mean)))
-        for j in range(i + 1):
-            part = part + float(row[j]) * F.col(names[j])
-        total = total + part * part
-    return F.lit(model.log_weight) - 0.5 * total
+        return F.pandas_udf(run, "double")(x)
 
 
-def fit(rows: DataFrame, names: list[str], label: str = "label", shrink: float = SHRINK, ridge: float = RIDGE) -> Discriminant:
-    """Fit on all labelled rows by one aggregation: counts, sums and cross products per class, combined before the
+def fit(rows: DataFrame, d: int = len(FEATURES), shrink: float = SHRINK, ridge: float = RIDGE) -> Discriminant:
+    """Fit on all rows (label, x) by one aggregation: counts, sums and cross products per class, combined before the
     shuffle. The driver gets two rows of d * d numbers and factors them once."""
-    d = len(names)
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)]
-    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
-    found = {r["label"]: r for r in rows.where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect()}
+    x = [F.get("x", F.lit(i)) for i in range(d)]
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
+    products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
+    rows = rows.where(F.col("label").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    found = {r["label"]: r for r in rows.collect()}
     counts = [found[k]["n"] if k in found else 0 for k in (0, 1)]
     if min(counts) < 2:
-        return Discriminant(tuple(names), None, (counts[1] + 1) / (sum(counts) + 2))
+        return Discriminant(None, (counts[1] + 1) / (sum(counts) + 2))
     means, scatters = [], []
     for k in (0, 1):
         r = found[k]
@@ -108,7 +126,7 @@ def fit(rows: DataFrame, names: list[str], label: str = "label", shrink: float =
         factor = np.linalg.cholesky((cov + cov.T) / 2)
         log_det = 2 * float(np.log(np.diag(factor)).sum())
         models.append(ClassModel(math.log(counts[k] / sum(counts)) - log_det / 2, means[k], np.linalg.inv(factor)))
-    return Discriminant(tuple(names), (models[0], models[1]), 0.5)
+    return Discriminant((models[0], models[1]), 0.5)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -119,10 +137,21 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     from. Without both classes among the labels the score is the smoothed share of label 1, 0.5 without labels.
     Repeated rows are scored each. An empty table gives no rows. Extra columns are left out.
     """
-    stats = docs.select(F.col(doc_id).alias("doc_id"), text_stats(F.col(text)).alias("stats"))
-    columns = features()
-    rows = stage(stats.select("doc_id", *[e.alias(c) for c, e in columns.items()]), "features")
-    learn = rows.where(~held_out(F.col("doc_id"))).join(known_labels(labels, doc_id, label), "doc_id")
-    model = fit(learn, list(columns))
-    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    rows, model = train(docs, labels, doc_id, text, label)
+    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[DataFrame, Discriminant]:
+    """(doc_id, x) of all documents, as a written table, and the discriminant learned from those with a label."""
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), text_features(F.col(text)).alias("x")), "features")
+    return rows, fit(rows.where(~held_out(F.col("doc_id"))).join(known_labels(labels, doc_id, label), "doc_id"))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The documents with their columns whose score is 0.5 or more; see `classify`.
+
+    The score is computed again on the row itself, which costs a second pass over the texts and spares a shuffle of them.
+    """
+    _, model = train(docs, labels, doc_id, text, label)
+    return docs.where(model.score(text_features(F.col(text))) >= 0.5)
