@@ -35,6 +35,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A written table of at most so many narrow rows goes to every executor; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The table, marked for broadcast if it is counted (by rows, or by the sum of `weight`) to be small."""
+    n = table.agg(F.coalesce(F.sum(weight), F.lit(0)) if weight is not None else F.count(F.lit(1))).first()[0]
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """A column name that clashes with none of `taken` (Spark compares names without case)."""
     have = {c.lower() for c in taken}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorate.llm.common import free_name, stage
+from quorate.llm.common import free_name, small_side, stage
 from quorate.llm.components import bucket_links, connected_components
 
 # Characters per shingle; lines link from this Jaccard similarity of their shingle sets.
@@ -165,8 +165,8 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
     buckets = stage(bands.where("lo < hi").select("bucket", "id", F.lit(0).alias("weight")).distinct(), "bands")
     # One text that holds the line serves for each line in a shared bucket.
     holders = places.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("tkey").alias("tkey"))
-    wanted = holders.groupBy("tkey").agg(F.collect_list("id").alias("ids"))
-    lines = stage(wanted_lines(docs.join(wanted, "tkey")).dropDuplicates(["id"]), "candidate-lines")
+    wanted = stage(holders.groupBy("tkey").agg(F.collect_list("id").alias("ids")), "wanted")
+    lines = stage(wanted_lines(docs.join(small_side(wanted, F.size("ids")), "tkey")).dropDuplicates(["id"]), "candidate-lines")
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
@@ -196,6 +196,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     stays = first.groupBy("component").agg(F.min("first").alias("stays"))
     fate = places.join(first.join(stays, "component").select("id", "stays"), "id")
     gone = fate.where(~place.eqNullSafe(F.col("stays"))).groupBy("doc_id", "tkey").agg(F.collect_set("line_no").alias("gone"))
+    gone = small_side(stage(gone, "gone"), F.size("gone"))
     rows = docs.withColumn(key, F.xxhash64(text)).alias("d").join(
         gone.alias("g"), F.col(f"d.{doc_id}").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key}") == F.col("g.tkey")), "left"
     ).select("d.*", F.col("g.gone").alias(drops))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorate.llm.common import free_name, stage
+from quorate.llm.common import free_name, small_side, stage
 from quorate.llm.components import bucket_links, connected_components
 
 # Sets up to this size may be enumerated; where the boundary lies below it is decided by counted costs.
@@ -23,6 +23,8 @@ LIGHT_MAX = 40
 SKETCH_BITS = 18
 # A shingle counted this often has its list dealt over several tasks.
 HOT_COUNT, HOT_PARTS = 10_000, 64
+# 64-bit words of the parity bits of a set.
+PARITY = 16
 CACHED_WORDS = 200_000
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -87,8 +89,17 @@ def set_name(tokens: np.ndarray) -> int:
     return int(mix(mix(tokens + A).sum(dtype=np.uint64)[None] + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """PARITY longs; each bit is the parity of the shingles that fall on it.
+
+    The xor of two sets' bits has at most as many ones as the sets differ in shingles, so it refutes links exactly.
+    """
+    spot = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(spot.astype(np.uint8)).view(np.int64)
+
+
 def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
-    """Rows (row: doc_id, n, sid, tkey, tokens if small) and, in the same pass, rows (chunk, counts) of a sketch.
+    """Rows (row: doc_id, n, sid, tkey, tokens if small, bits) and, in the same pass, rows (chunk, counts) of a sketch.
 
     The sketch counts shingles by the leading bits of their names; each task sends its counters once, in chunks.
     """
@@ -103,16 +114,16 @@ def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
                 t = shingles(text, k, seen)
                 n = len(t)
                 np.add.at(total, (t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                out.append((n, set_name(t) if n else None, t.view(np.int64).tolist() if 0 < n <= LIGHT_MAX else None))
-            rows = pd.DataFrame(out, columns=["n", "sid", "tokens"])
+                out.append((n, set_name(t) if n else None, t.view(np.int64).tolist() if 0 < n <= LIGHT_MAX else None, parity_bits(t) if n else None))
+            rows = pd.DataFrame(out, columns=["n", "sid", "tokens", "bits"])
             rows["sid"] = rows["sid"].astype("Int64")
-            yield rows.assign(doc_id=pdf["doc_id"], tkey=pdf["tkey"], chunk=None, counts=None)[["doc_id", "tkey", "n", "sid", "tokens", "chunk", "counts"]]
+            yield rows.assign(doc_id=pdf["doc_id"], tkey=pdf["tkey"], chunk=None, counts=None)[["doc_id", "tkey", "n", "sid", "tokens", "bits", "chunk", "counts"]]
         if total.any():
             parts = total.reshape(chunks, -1)
-            yield pd.DataFrame({"doc_id": None, "tkey": None, "n": None, "sid": None, "tokens": None, "chunk": range(chunks), "counts": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"doc_id": None, "tkey": None, "n": None, "sid": None, "tokens": None, "bits": None, "chunk": range(chunks), "counts": [p.tobytes() for p in parts]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, tkey long, n long, sid long, tokens array<long>, chunk int, counts binary")
+    return docs.mapInPandas(run, f"doc_id {kind}, tkey long, n long, sid long, tokens array<long>, bits array<long>, chunk int, counts binary")
 
 
 def read_sketch(described: DataFrame) -> np.ndarray:
@@ -227,7 +238,7 @@ def _components(docs: DataFrame, join: Join, doc_id: str, text: str) -> tuple[Da
     """The rows with their sets, and (id, component) of sets that link with another."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
     described = stage(describe_sets(rows, join), "sets")
-    sets = described.where("chunk is null").select("doc_id", "tkey", "n", "sid", "tokens")
+    sets = described.where("chunk is null").select("doc_id", "tkey", "n", "sid", "tokens", "bits")
     return sets, connected_components(_links(rows, sets, read_sketch(described), join))
 
 
@@ -267,13 +278,20 @@ def _links(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) ->
     reach = "least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)"
     may_link = f"greatest(x.n, y.n) > {light} and {join.num + join.den} * ({reach}) >= {join.num} * (x.n + y.n)"
     # One text stands for each class.
-    chosen = sets.where("sid is not null").groupBy("sid").agg(F.min("tkey").alias("tkey"))
+    chosen = sets.where("sid is not null").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    chosen = stage(chosen, "classes")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(chosen, "sid").select("tkey")
-        found = stage(read_sets(rows.join(ids, "tkey", "left_semi"), join).dropDuplicates(["sid"]), "compared")
+        known = lambda c: chosen.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+        sizes = F.col("a_n") + F.col("b_n")
+        near = pairs.join(known("a"), "a").join(known("b"), "b").where((join.num + join.den) * apart <= (join.den - join.num) * sizes)
+        near = stage(near.select("a", "b"), "near")
+        ids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(chosen, "sid").select("tkey").distinct()
+        texts = rows.join(small_side(stage(ids, "wanted")), "tkey", "left_semi")
+        found = stage(read_sets(texts, join).dropDuplicates(["sid"]), "compared")
         side = lambda c: found.select(F.col("sid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = near.join(side("a"), "a").join(side("b"), "b")
         inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
         return both.where(join.links(inter, F.size("a_tokens"), F.size("b_tokens"))).select("a", "b")
 
