@@ -20,11 +20,11 @@ from quorate.llm.components import bucket_links, connected_components
 # Sets up to this size may be enumerated; where the boundary lies below it is decided by counted costs.
 LIGHT_MAX = 40
 # Counters of the sketch that orders shingles by frequency. Any order gives the same links; a better one, shorter lists.
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 # A shingle counted this often has its list dealt over several tasks.
 HOT_COUNT, HOT_PARTS = 10_000, 64
 # 64-bit words of the parity bits of a set.
-PARITY = 16
+PARITY = 8
 CACHED_WORDS = 200_000
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -107,7 +107,7 @@ def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
@@ -130,13 +130,13 @@ def read_sketch(described: DataFrame) -> np.ndarray:
     """The summed sketch, a fixed number of counters whatever the input."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0)
+        total = np.sum([np.frombuffer(c, np.int32) for c in pdf["counts"]], axis=0, dtype=np.int64).clip(max=2**31 - 1).astype(np.int32)
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
     rows = described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
+    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int32)
     for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
     return out.ravel()
 
 
@@ -274,19 +274,21 @@ def _links(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) ->
     small = sets.where(F.col("tokens").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     count = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
     light = light_boundary(join, count, cost)
+    # One text stands for each class. The parity bits go with the list entries, so that pairs which cannot link are
+    # refused where lists are joined and never become rows.
+    chosen = sets.where("sid is not null").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("bits").alias("bits"))
+    chosen = stage(chosen.select("sid", "tkey", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]), "classes")
     buckets = shared.where(F.col("n") >= join.least_size(light + 1)).select("bucket", "id", "weight", "n", "pos")
+    buckets = stage(buckets.join(chosen.drop("tkey").withColumnRenamed("sid", "id"), "id"), "buckets")
     reach = "least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)"
-    may_link = f"greatest(x.n, y.n) > {light} and {join.num + join.den} * ({reach}) >= {join.num} * (x.n + y.n)"
-    # One text stands for each class.
-    chosen = sets.where("sid is not null").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    chosen = stage(chosen, "classes")
+    apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
+    may_link = (
+        f"greatest(x.n, y.n) > {light} and {join.num + join.den} * ({reach}) >= {join.num} * (x.n + y.n)"
+        f" and {join.num + join.den} * ({apart}) <= {join.den - join.num} * (x.n + y.n)"
+    )
 
     def linked(pairs: DataFrame) -> DataFrame:
-        known = lambda c: chosen.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
-        apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-        sizes = F.col("a_n") + F.col("b_n")
-        near = pairs.join(known("a"), "a").join(known("b"), "b").where((join.num + join.den) * apart <= (join.den - join.num) * sizes)
-        near = stage(near.select("a", "b"), "near")
+        near = stage(pairs, "near")
         ids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(chosen, "sid").select("tkey").distinct()
         texts = rows.join(small_side(stage(ids, "wanted")), "tkey", "left_semi")
         found = stage(read_sets(texts, join).dropDuplicates(["sid"]), "compared")
