@@ -31,22 +31,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", "component")
 
 
-def bucket_links(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str | None = None) -> DataFrame:
-    """Links (a, b) that connect whatever the pairs within buckets connect.
+def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str = "true", more: DataFrame | None = None) -> DataFrame:
+    """(id, component) of ids that link with another: whatever the pairs within buckets, and links `more`, connect.
 
     `buckets` has (bucket, id, weight, further columns), best as a written table, for it is read several times; `linked` keeps the true links of a frame (a, b).
     `may_link` is an SQL condition over x.* and y.* that every link fulfils. First every member is held against the
     leader of its bucket (largest weight), which settles groups of near copies in one comparison each. Then pairs whose
     ends still lie in different components are compared, so no link is lost and no group of copies gives all its pairs.
     """
-    cond = may_link or "true"
     rows = buckets
     # The leader by an aggregate that is combined before the shuffle: a hot bucket sends one row per task.
     order = F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i"))
     others = [c for c in rows.columns if c not in ("bucket", "id", "weight")]
     lead = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "weight", *others), order).alias("y")).select("bucket", "y.*")
     to_leader = (
-        rows.alias("x").join(lead.alias("y"), "bucket").where("x.id <> y.id").where(cond)
+        rows.alias("x").join(lead.alias("y"), "bucket").where("x.id <> y.id").where(may_link)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     tried = stage(to_leader, "tried")
@@ -58,7 +57,17 @@ def bucket_links(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], m
     open_rows = stage(named.join(mixed, "bucket", "left_semi"), "open")
     rest = (
         open_rows.alias("x").join(open_rows.alias("y"), F.expr("x.bucket = y.bucket and x.component <> y.component and x.id < y.id"))
-        .where(cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        .where(may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    return first.unionByName(linked(rest))
+    second = linked(rest)
+    second = stage(second if more is None else second.unionByName(more), "linked")
+    if not second.head(1):
+        return comps
+    # The second links join components of the first.
+    named_end = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    joined = second.join(named_end("a"), "a", "left").join(named_end("b"), "b", "left")
+    over = connected_components(joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")))
+    ids = comps.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id")))
+    top = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return ids.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))

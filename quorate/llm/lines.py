@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorate.llm.common import free_name, small_side, stage
-from quorate.llm.components import bucket_links, connected_components
+from quorate.llm.components import bucket_components
 
 # Characters per shingle; lines link from this Jaccard similarity of their shingle sets.
 CHARS, THRESHOLD = 7, 0.8
@@ -20,6 +20,8 @@ CHARS, THRESHOLD = 7, 0.8
 BANDS, ROWS = 12, 4
 # Characters hashed at once: the permuted values of a block stay in the processor's cache.
 BLOCK = 1 << 16
+# 64-bit words of the parity bits of a line.
+PARITY = 8
 
 _rng = np.random.default_rng(20_240_701)
 MULTIPLIERS = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -49,6 +51,18 @@ def shingle_set(line: str) -> set[str]:
     return {line[i: i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
+def parity_bits(line: str) -> list[int]:
+    """PARITY longs; each bit is the parity of the distinct shingles that fall on it. The xor of two lines' bits has at
+    most as many ones as their sets differ in shingles, so it refutes links exactly."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = min(CHARS, len(code))
+    value = np.zeros(len(code) - width + 1, np.uint64)
+    for i in range(width):
+        value = value * A + code[i: len(code) - width + 1 + i]
+    spot = np.bincount((mix(np.unique(value)) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(spot.astype(np.uint8)).view(np.int64).tolist()
+
+
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) keys; lines with equal rows of a band's minima share its key."""
     texts = [x.decode("utf-8", "surrogatepass") for x in lines]
@@ -127,7 +141,7 @@ def line_bands(docs: DataFrame) -> DataFrame:
 
 
 def wanted_lines(docs: DataFrame) -> DataFrame:
-    """(id, line) for the lines named by the array `ids` of each row."""
+    """(id, line, n, bits) for the lines named by the array `ids` of each row; n is the number of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -137,10 +151,11 @@ def wanted_lines(docs: DataFrame) -> DataFrame:
                 for x in normal_lines(text):
                     if x and (i := line_id(x)) in want:
                         want.discard(i)
-                        out.append((i, x.decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["id", "line"])
+                        line = x.decode("utf-8", "surrogatepass")
+                        out.append((i, line, len(shingle_set(line)), parity_bits(line)))
+            yield pd.DataFrame(out, columns=["id", "line", "n", "bits"])
 
-    return docs.select("text", "ids").mapInPandas(run, "id long, line string")
+    return docs.select("text", "ids").mapInPandas(run, "id long, line string, n int, bits array<long>")
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -172,7 +187,10 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
         side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
         return similar(pairs.join(side("a"), "a").join(side("b"), "b"), threshold)
 
-    return connected_components(bucket_links(buckets, linked))
+    signs = lines.select("id", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)])
+    apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
+    may_link = f"({apart}) <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
+    return bucket_components(stage(buckets.join(signs, "id"), "signed"), linked, may_link)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorate.llm.common import free_name, small_side, stage
-from quorate.llm.components import bucket_links, connected_components
+from quorate.llm.components import bucket_components
 
 # Sets up to this size may be enumerated; where the boundary lies below it is decided by counted costs.
 LIGHT_MAX = 40
@@ -239,7 +239,7 @@ def _components(docs: DataFrame, join: Join, doc_id: str, text: str) -> tuple[Da
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
     described = stage(describe_sets(rows, join), "sets")
     sets = described.where("chunk is null").select("doc_id", "tkey", "n", "sid", "tokens", "bits")
-    return sets, connected_components(_links(rows, sets, read_sketch(described), join))
+    return sets, _linked_sets(rows, sets, read_sketch(described), join)
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     return rows.where(wordless | (F.col(ours).isNotNull() & (F.col(nth) == 1))).select(*docs.columns)
 
 
-def _links(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) -> DataFrame:
+def _linked_sets(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) -> DataFrame:
     entries = inverted_entries(rows, join, sketch)
     # Lists of one set say nothing. Hot lists are dealt over tasks and kept as they are.
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(0)
@@ -297,10 +297,8 @@ def _links(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) ->
         inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
         return both.where(join.links(inter, F.size("a_tokens"), F.size("b_tokens"))).select("a", "b")
 
-    links = bucket_links(buckets, linked, may_link)
-    if light:
-        links = links.unionByName(subset_links(small.where(F.col("n") <= light), join, light))
-    return links
+    more = subset_links(small.where(F.col("n") <= light), join, light) if light else None
+    return bucket_components(buckets, linked, may_link, more)
 
 
 def read_sets(texts: DataFrame, join: Join) -> DataFrame:
