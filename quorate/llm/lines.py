@@ -114,8 +114,10 @@ def line_places(docs: DataFrame) -> DataFrame:
             flat = np.array([p for x in lines for p in x], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].repeat(n).to_numpy(), "tkey": pdf["tkey"].repeat(n).to_numpy(), "line_no": flat[:, 0], "id": flat[:, 1]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, tkey long, line_no int, id long")
+    # Ids travel as text: pandas would turn integers with nulls into floats.
+    kind = docs.schema["doc_id"].dataType
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, tkey long, line_no int, id long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def line_bands(docs: DataFrame) -> DataFrame:

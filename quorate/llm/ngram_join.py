@@ -115,15 +115,17 @@ def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
                 n = len(t)
                 np.add.at(total, (t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 out.append((n, set_name(t) if n else None, t.view(np.int64).tolist() if 0 < n <= LIGHT_MAX else None, parity_bits(t) if n else None))
-            rows = pd.DataFrame(out, columns=["n", "sid", "tokens", "bits"])
-            rows["sid"] = rows["sid"].astype("Int64")
+            n, sid, tokens, bits = zip(*out) if out else ((), (), (), ())
+            rows = pd.DataFrame({"n": n, "sid": pd.array(sid, "Int64"), "tokens": pd.Series(tokens, dtype=object), "bits": pd.Series(bits, dtype=object)})
             yield rows.assign(doc_id=pdf["doc_id"], tkey=pdf["tkey"], chunk=None, counts=None)[["doc_id", "tkey", "n", "sid", "tokens", "bits", "chunk", "counts"]]
         if total.any():
             parts = total.reshape(chunks, -1)
             yield pd.DataFrame({"doc_id": None, "tkey": None, "n": None, "sid": None, "tokens": None, "bits": None, "chunk": range(chunks), "counts": [p.tobytes() for p in parts]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, tkey long, n long, sid long, tokens array<long>, bits array<long>, chunk int, counts binary")
+    # Ids travel as text: pandas would turn integers with nulls into floats.
+    kind = docs.schema["doc_id"].dataType
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, tkey long, n long, sid long, tokens array<long>, bits array<long>, chunk int, counts binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def read_sketch(described: DataFrame) -> np.ndarray:
@@ -236,7 +238,7 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_
 
 def _components(docs: DataFrame, join: Join, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The rows with their sets, and (id, component) of sets that link with another."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tkey"))
     described = stage(describe_sets(rows, join), "sets")
     sets = described.where("chunk is null").select("doc_id", "tkey", "n", "sid", "tokens", "bits")
     return sets, _linked_sets(rows, sets, read_sketch(described), join)

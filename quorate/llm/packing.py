@@ -105,7 +105,7 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
     A document longer than `capacity` is cut into full pieces, each a bin of its own, and a rest. Rests and short
     documents are packed: no bin holds two pieces of one source or of one duplicate cluster. Documents are dealt to
     tasks by a hash, so a hot source is spread evenly and a task's memory is bounded; within a task pieces come by
-    falling size, then id, cluster and source. bin_id names task and bin and is the same in every run.
+    falling size, then id (as text), cluster and source. bin_id names task and bin and is the same in every run.
 
     Null sizes count 0; documents of size 0 are one piece of size 0 and take no room, but keep to the conflicts. A
     null source or cluster conflicts with nothing. Null ids are kept; repeated rows are pieces of their own. An empty
@@ -119,7 +119,8 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("long")
     rest = F.when(F.col("total") > 0, (F.col("total") - 1) % capacity + 1).otherwise(0).cast("long")
     rows = rows.withColumns({"n_pieces": n_pieces, "rest": rest, "task": F.pmod(F.xxhash64("doc_id", "total", "cluster"), F.lit(n_tasks)).cast("long")})
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    # Ids travel as text: pandas would turn integers with nulls into floats.
+    kind = rows.schema["doc_id"].dataType
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rest", "doc_id", "cluster", "source", "total"], ascending=[False, True, True, True, True], kind="stable")
@@ -132,7 +133,8 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
         out["bin"], out["offset"] = [f"{pdf['task'].iloc[0]}-{b}" for b in bins], offset
         return out
 
-    packed = rows.groupBy("task").applyInPandas(run, f"doc_id {kind}, total long, n_pieces long, rest long, bin string, offset long")
+    named = rows.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("task")
+    packed = named.applyInPandas(run, "doc_id string, total long, n_pieces long, rest long, bin string, offset long").withColumn("doc_id", F.col("doc_id").cast(kind))
     # Full pieces fill a bin each; the rest is the last piece.
     each = packed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)))
     last = F.col("piece") == F.col("n_pieces") - 1
