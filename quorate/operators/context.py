@@ -23,14 +23,16 @@ def tiered_context(
 ) -> DataFrame:
     """(key, context, context_sources, context_urls) for every row.
 
-    Each tier is a table (key, context, urls) with one row per key. A tier is joined on the key and on "text so far
+    Each tier is a table (key, context, urls). Of several rows of a key the first in the order of (context, urls) among
+    those with a context counts, so a row never multiplies. A tier is joined on the key and on "text so far
     is short", so it only counts for rows that still need it. All joins use the same key: the rows are shuffled
     once and each tier once.
     """
     empty = F.array().cast("array<string>")
     out = rows.select(key, empty.alias("_texts"), empty.alias("_names"), empty.alias("_urls"))
     for name, table in tiers:
-        tier = table.select(F.col(key).alias("_k"), F.col("context").alias("_c"), F.col("urls").alias("_u"))
+        one = F.min(F.struct(F.col("context").alias("_c"), F.col("urls").alias("_u"))).alias("_one")
+        tier = table.where("context <> ''").groupBy(F.col(key).alias("_k")).agg(one).select("_k", "_one.*")
         short = F.length(F.array_join("_texts", "\n")) < min_chars
         hit = F.coalesce(F.col("_c") != "", F.lit(False))
         out = out.join(tier, (F.col(key) == F.col("_k")) & short, "left").select(

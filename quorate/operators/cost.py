@@ -25,7 +25,6 @@ def model_key(model: Column) -> Column:
 
 Prices = Mapping[str, tuple[float, float, float]] | DataFrame
 PRICE_COLUMNS = ("input_price", "output_price", "cached_price")
-MAX_LISTED = 500
 
 
 def _default_struct(default: tuple) -> Column:
@@ -39,8 +38,6 @@ def price_of(key: str, prices: Mapping[str, tuple] = PRICES, default: tuple = DE
     `key` names a column with lower-case model ids. A price list is short, so this is a plain CASE on the row and
     needs no join. An exact id is its own longest prefix.
     """
-    if len(prices) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} prices: pass them as a table")
     def row(prefix: str | None, values: tuple) -> str:
         money = ", ".join(f"'{n}', cast({v!r} as {MONEY})" for n, v in zip(PRICE_COLUMNS, map(str, values)))
         return f"named_struct('model_prefix', {'cast(null as string)' if prefix is None else quoted(prefix)}, {money})"

@@ -17,6 +17,19 @@ DOCUMENTS = "constitution"
 DOCUMENT_FIELDS = ("document_name", "constitution_year", "document_types")
 
 
+def latest_responses(responses: DataFrame, order: str = "received_at") -> DataFrame:
+    """(custom_id, text) with one answer per request id: the latest by `order` where the table has that column; ties,
+    and tables without it, go to the greatest text. Ids answered twice must not vote twice."""
+    by = [order] if order in responses.columns else []
+    last = F.max(F.struct(*by, F.coalesce("text", F.lit("")).alias("text"))).alias("_last")
+    return responses.groupBy("custom_id").agg(last).select("custom_id", F.col("_last.text").alias("text"))
+
+
+def unreadable_ids(responses: DataFrame) -> DataFrame:
+    """The answers whose request id names no row; `answers_long` cannot place them, and they are not lost silently."""
+    return responses.where(request_id_parts(F.col("custom_id"))["row_idx"].isNull())
+
+
 def answers_long(
     responses: DataFrame,
     registry: Registry,
@@ -35,6 +48,8 @@ def answers_long(
 
     Values that several rules look at are columns of an earlier step, so they are computed once.
     """
+    if not responses.isStreaming:  # a stream is appended to; its table is made distinct when it is read
+        responses = latest_responses(responses)
     parts = request_id_parts(F.col("custom_id"))
     keyed = responses.select(
         "custom_id",

@@ -223,7 +223,7 @@ def quick_eval(spark, sf):
         [WIDE, f"rl as (select case when region_v1 = 'en' then 'a' else 'b' end as dataset, indicator, truth, prediction from ({_LONG}))",
          counts_sql("rl", "dataset, indicator"), classes_sql("dataset, indicator")],
         f"""select dataset, indicator, accuracy, n_samples, observed_macro_f1 as f1_macro, weighted_f1 as f1_weighted
-        from ({summary_sql("dataset, indicator")}) where n_classes <> 2""",
+        from ({summary_sql("dataset, indicator")}) where indicator = 'assembly'""",
     ),
 )
 def compare_runs_multiclass(spark, sf):

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.sources.tables import spread
 
 INDICATORS = (("sovereign", 2), ("assembly", 4), ("entry", 11))
 
@@ -29,12 +28,9 @@ class Fixture:
     columns: dict[str, str]
     indicators: bool = False
     samples: int = 0
-    heavy: bool = False
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
         out = table(spark, sf, self.source)
-        if self.heavy:
-            out = spread(out)
         if self.indicators:
             pairs = F.array(*[F.struct(F.lit(i).alias("indicator"), F.lit(n).alias("n")) for i, n in INDICATORS])
             out = out.select("*", F.inline(pairs))
@@ -145,7 +141,7 @@ RESPONSES = Fixture(
         "custom_id": "cast(doc_id as string) || '|single|' || cast(sc_idx as string)",
         "text": _WRAPPED,
     },
-    samples=3, heavy=True,
+    samples=3,
 )
 RESPONSE_INDICATORS = ("sovereign", "assembly")
 
@@ -171,7 +167,6 @@ DOCUMENT_RESPONSES = Fixture(
         "source": "source",
         "score": "doc_id % 130",
     },
-    heavy=True,
 )
 DOCUMENTS_WIDE = Fixture(
     "documents_wide", "documents",
@@ -187,7 +182,6 @@ DOCUMENTS_WIDE = Fixture(
         "sovereign_confidence": "case when doc_id % 10 = 0 then -1 else cast(n_chars % 100 as int) end",
         "sovereign_reasoning": "source",
     },
-    heavy=True,
 )
 REPROCESSED = Fixture(
     "reprocessed", "documents",
@@ -268,7 +262,7 @@ PROBE_RESPONSES = Fixture(
         "when 1 then '{\"years\": ' || cast(c_custkey % 36 as string) || '}' "
         "else '{\"name\": \"' || case when c_custkey % 2 = 0 then lower(c_name) else 'someone' end || '\"}' end",
     },
-    samples=6, heavy=True,
+    samples=6,
 )
 TIERS = Fixture(
     "tier_rows", "documents",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators import metrics as M
 from quorate.operators.rows import filter_range
-from quorate.registry import Registry
+from quorate.registry import DEFAULT_REGISTRY, Registry
 
 
 def find_columns(columns: Sequence[str], indicator: str, prediction_suffix: str = "", truth_suffix: str = "") -> tuple[str, str] | None:
@@ -36,15 +36,19 @@ def quick_eval(df: DataFrame, indicators: Sequence[str], ranges: Mapping[str, tu
     }
 
 
-def compare_runs(runs: Mapping[str, DataFrame], indicators: Sequence[str]) -> dict[str, DataFrame]:
-    """Several runs measured in one job; two-class and many-class indicators in tables of their own."""
+def compare_runs(runs: Mapping[str, DataFrame], indicators: Sequence[str], registry: Registry = DEFAULT_REGISTRY) -> dict[str, DataFrame]:
+    """Several runs measured in one job; two-class and many-class indicators in tables of their own.
+
+    The registry's labels decide which table an indicator is in, whatever classes a run happens to show.
+    """
+    two = F.col("indicator").isin([i for i in indicators if len(registry.labels(i)) == 2])
     long = {n: M.stack_indicators(df, indicators) for n, df in runs.items()}
     keys = ("dataset", "indicator")
     s = M.summary(M.pair_counts(M.stack_datasets(long), keys), keys)
     base = [*keys, "accuracy", "n_samples"]
     return {
-        "binary": s.where("n_classes = 2").select(*base, F.col("binary_f1").alias("f1"), F.col("binary_precision").alias("precision"), F.col("binary_recall").alias("recall")),
-        "multiclass": s.where("n_classes <> 2").select(*base, F.col("observed_macro_f1").alias("f1_macro"), F.col("weighted_f1").alias("f1_weighted")),
+        "binary": s.where(two).select(*base, F.col("binary_f1").alias("f1"), F.col("binary_precision").alias("precision"), F.col("binary_recall").alias("recall")),
+        "multiclass": s.where(~two).select(*base, F.col("observed_macro_f1").alias("f1_macro"), F.col("weighted_f1").alias("f1_weighted")),
     }
 
 

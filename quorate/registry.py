@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_INDICATORS = 1_000
-MAX_LABELS = 200
 
 # Label sets per indicator.
 INDICATOR_LABELS = {
@@ -110,18 +108,12 @@ class Indicator:
     multi_select: bool = False
     questions: tuple[str, ...] = GENERIC_QUESTIONS
 
-    def __post_init__(self):
-        if len(self.labels) > MAX_LABELS:
-            raise ValueError(f"{self.name}: more than {MAX_LABELS} labels")
-
 
 class Registry:
-    """An ordered, size-checked set of indicators."""
+    """An ordered set of indicators."""
 
     def __init__(self, indicators: Iterable[Indicator]):
         self._by_name = {i.name: i for i in indicators}
-        if len(self._by_name) > MAX_INDICATORS:
-            raise ValueError(f"more than {MAX_INDICATORS} indicators")
 
     def __getitem__(self, name: str) -> Indicator:
         if name not in self._by_name:

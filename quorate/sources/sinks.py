@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quorate.operators.requests import MAX_CHUNK_BYTES, pack_chunks, request_line
 from quorate.operators.rows import require_columns
@@ -63,8 +64,10 @@ def save_for_reprocessing(failed: DataFrame, folder: str, columns: Sequence[str]
 
 
 def append_new(rows: DataFrame, table_folder: str, key: str = "row_idx") -> None:
-    """Append the rows whose key is not in the stored table yet."""
+    """Append the rows whose key is not in the stored table yet, one per key: the first by its JSON text."""
     spark = rows.sparkSession
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.to_json(F.struct(*rows.columns))))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     if _exists(spark, table_folder):
         rows = rows.join(spark.read.parquet(table_folder).select(key), key, "left_anti")
     rows.write.mode("append").parquet(table_folder)
@@ -76,8 +79,11 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     try:
         spark.read.parquet(folder).schema
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        # Any other fault of the stored table must not look like an absent one.
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def log_run(spark: SparkSession, folder: str, run_id: str, kind: str, facts: dict) -> None:

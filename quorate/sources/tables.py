@@ -29,16 +29,21 @@ RESPONSES = "custom_id string, text string"
 CORRUPT = "_corrupt_record"
 
 
-def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV, JSON Lines or Parquet by file ending; an empty table is an error.
+# Quoted fields may hold line breaks and doubled quotes. Such a file cannot be split; Parquet is the format for scale.
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
-    Give a schema where you can: without one Spark reads the file twice to infer it.
+
+def load_table(spark: SparkSession, path: str, schema: str | None = None, infer: bool = True) -> DataFrame:
+    """CSV, JSON Lines or Parquet by file ending; an empty table is an error, and so is a malformed CSV row.
+
+    Give a schema where you can: without one Spark reads the file twice to infer it. With infer=False the columns of
+    a CSV are text.
     """
     low = path.lower().rstrip("/")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if low.endswith(".csv"):
-        reader = reader.option("header", True).option("multiLine", False).option("escape", '"')
-        df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
+        reader = reader.options(**CSV_OPTIONS).option("mode", "FAILFAST")
+        df = (reader if schema is not None else reader.option("inferSchema", infer)).csv(path)
     elif low.endswith((".jsonl", ".json", ".ndjson")):
         # A bad line fails the read; blank lines are skipped by the reader.
         df = reader.option("mode", "FAILFAST").json(path)
@@ -51,16 +56,6 @@ def load_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return df
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than there are cores.
-
-    For steps that are heavy per row (parsing, rendering) on a few small or unsplittable files. A scan with enough
-    splits is returned as it is; column pruning and filters still pass below the repartition.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def load_jsonl_split(spark: SparkSession, path: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, unreadable lines) of a JSON Lines source."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -71,10 +66,12 @@ def load_jsonl_split(spark: SparkSession, path: str | Sequence[str], schema: str
 
 def load_rulers(spark: SparkSession, path: str) -> DataFrame:
     """Ruler table with its columns checked against the file and its types imposed."""
-    df = load_table(spark, path)
+    df = load_table(spark, path, infer=False)
     require_columns(df, ["polity_name", "leader_name", "leader_first_year"])
     typed = dict(part.split() for part in RULERS.split(", "))
-    return df.select(*[F.col(c).try_cast(typed[c]).alias(c) if c in typed else F.col(c) for c in df.columns])
+    # "3.5" in an int column reads as 3, as a number would; other texts read as null.
+    read = lambda c: F.col(c).try_cast("double").try_cast("int") if typed[c] == "int" else F.col(c).try_cast(typed[c])
+    return df.select(*[read(c).alias(c) if c in typed else F.col(c) for c in df.columns])
 
 
 def load_polities(spark: SparkSession, path: str) -> DataFrame:
@@ -104,9 +101,9 @@ def load_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def convert_charset(spark: SparkSession, paths: str | Sequence[str], charset: str, out: str) -> None:
-    """CSV files in a named charset to UTF-8 CSV."""
-    df = spark.read.option("header", True).option("encoding", charset).csv(paths)
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(out)
+    """CSV files in a named charset to UTF-8 CSV; line breaks and quotes inside fields are kept."""
+    df = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST").option("encoding", charset).csv(paths)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(out)
 
 
 def csv_to_jsonl(spark: SparkSession, path: str, out: str, schema: str | None = None) -> None:

@@ -164,17 +164,22 @@ def test_stream_usage_drops_late_rows(spark, tmp_path, rows_of):
     assert batch.count() == 4
 
 
-def test_spread(spark):
-    narrow = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    wide = tables.spread(narrow)
-    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables.spread(wide) is wide
-    assert "ReadSchema: struct<doc_id:bigint>" in wide.select("doc_id")._jdf.queryExecution().executedPlan().toString()
-
-
 def test_shared_folder_follows_the_session(spark):
     from quorate import session
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = session.run_folder(spark, "x")
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and (named is None or folder.startswith(named.rstrip("/")))
+
+
+def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path, rows_of):
+    src = put(tmp_path / "latin.csv", 'a,b\n"x\ny","say ""hé"", ok"\n', "ISO-8859-1")
+    tables.convert_charset(spark, [src], "ISO-8859-1", f"{tmp_path}/utf8.csv")
+    assert rows_of(tables.load_table(spark, f"{tmp_path}/utf8.csv")) == [("x\ny", 'say "hé", ok')]
+
+
+def test_append_takes_one_row_per_key(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "row_idx int, v string")
+    sinks.append_new(frame, f"{tmp_path}/t")
+    sinks.append_new(frame, f"{tmp_path}/t")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "a"), (2, "c")]

@@ -473,3 +473,28 @@ def test_analysis_tables(spark):
     df = spark.createDataFrame([(1, "1", "0"), (2, "1", "1")], "row_idx int, sovereign string, sovereign_prediction string")
     out = analysis_tables(df, DEFAULT_REGISTRY, ["sovereign"])
     assert out["confusion"].count() == 4 and out["summary"].first()["accuracy"] == 0.5 and out["classes"].count() == 2
+
+
+def test_large_registry_and_price_list():
+    from quorate.registry import Indicator, Registry
+
+    many = Registry([Indicator("country", tuple(str(i) for i in range(300)))])
+    assert len(many.labels("country")) == 300
+
+
+def test_duplicate_answers_vote_once(spark):
+    from quorate.plans.answers import latest_responses, unreadable_ids
+
+    frame = spark.createDataFrame([("1|single|0", "a", 2), ("1|single|0", "b", 1), ("nonsense", "c", 1)], "custom_id string, text string, received_at int")
+    assert {tuple(r) for r in latest_responses(frame).collect()} == {("1|single|0", "a"), ("nonsense", "c")}
+    assert {tuple(r) for r in latest_responses(frame.drop("received_at")).collect()} == {("1|single|0", "b"), ("nonsense", "c")}
+    assert [r["custom_id"] for r in unreadable_ids(frame).collect()] == ["nonsense"]
+
+
+def test_context_tier_with_two_rows_per_key(spark):
+    from quorate.operators.context import tiered_context
+
+    rows = spark.createDataFrame([(1,), (2,)], "row_idx int")
+    tier = spark.createDataFrame([(1, "b", ["u"]), (1, "a", ["v"]), (1, "", None)], "row_idx int, context string, urls array<string>")
+    got = sorted(tuple(r) for r in tiered_context(rows, [("w", tier)]).collect())
+    assert len(got) == 2 and got[0][1] == "a"
