@@ -48,6 +48,15 @@ def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFram
         rows.alias("x").join(lead.alias("y"), "bucket").where("x.id <> y.id").where(may_link)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
+    return tried_components(rows, to_leader, linked, may_link, more=more)
+
+
+def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str,
+                     signed: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """The same from the pairs (a, b) that hold every member against its leader.
+
+    `signed` adds to the rows of buckets that are still open what `may_link` needs; the other rows never carry it.
+    """
     tried = stage(to_leader, "tried")
     first = stage(linked(tried), "linked")
     comps = connected_components(first)
@@ -55,6 +64,8 @@ def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFram
     # Only buckets that still hold several components matter.
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     open_rows = stage(named.join(mixed, "bucket", "left_semi"), "open")
+    if signed is not None:
+        open_rows = stage(signed(open_rows), "signed")
     rest = (
         open_rows.alias("x").join(open_rows.alias("y"), F.expr("x.bucket = y.bucket and x.component <> y.component and x.id < y.id"))
         .where(may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

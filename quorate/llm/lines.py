@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorate.llm.common import free_name, small_side, stage
-from quorate.llm.components import bucket_components
+from quorate.llm.components import tried_components
 
 # Characters per shingle; lines link from this Jaccard similarity of their shingle sets.
 CHARS, THRESHOLD = 7, 0.8
@@ -22,6 +23,8 @@ BANDS, ROWS = 12, 4
 BLOCK = 1 << 16
 # 64-bit words of the parity bits of a line.
 PARITY = 8
+# Lines whose shingle sets a task remembers while it compares pairs.
+CACHED_LINES = 256
 
 _rng = np.random.default_rng(20_240_701)
 MULTIPLIERS = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -143,7 +146,7 @@ def line_bands(docs: DataFrame) -> DataFrame:
 
 
 def wanted_lines(docs: DataFrame) -> DataFrame:
-    """(id, line, n, bits) for the lines named by the array `ids` of each row; n is the number of shingles."""
+    """(id, line) for the lines named by the array `ids` of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,24 +154,39 @@ def wanted_lines(docs: DataFrame) -> DataFrame:
             for text, ids in zip(pdf["text"], pdf["ids"]):
                 want = set(ids)
                 for x in normal_lines(text):
+                    if not want:
+                        break
                     if x and (i := line_id(x)) in want:
                         want.discard(i)
-                        line = x.decode("utf-8", "surrogatepass")
-                        out.append((i, line, len(shingle_set(line)), parity_bits(line)))
-            yield pd.DataFrame(out, columns=["id", "line", "n", "bits"])
+                        out.append((i, x.decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(out, columns=["id", "line"])
 
-    return docs.select("text", "ids").mapInPandas(run, "id long, line string, n int, bits array<long>")
+    return docs.select("text", "ids").mapInPandas(run, "id long, line string")
+
+
+def line_signs(lines: DataFrame) -> DataFrame:
+    """(id, n, bits) of lines (id, line); n is the number of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(shingle_set(x)) for x in pdf["line"]], "bits": [parity_bits(x) for x in pdf["line"]]})
+
+    return lines.select("id", "line").mapInPandas(run, "id long, n int, bits array<long>")
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, a_line, b_line) whose shingle sets reach the threshold, exactly."""
+    """Pairs (a, b, a_line, b_line) whose shingle sets reach the threshold, exactly.
+
+    A line mostly comes in several pairs in a row; the sets of CACHED_LINES lines are remembered.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = lru_cache(CACHED_LINES)(shingle_set)
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["a_line"], pdf["b_line"]):
-                s, t = shingle_set(x), shingle_set(y)
-                both = len(s & t)
+                s, t = shingles(x), shingles(y)
+                both = len(s & t) if min(len(s), len(t)) >= threshold * max(len(s), len(t)) - 1e-9 else 0
                 keep.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
             yield pdf.loc[keep, ["a", "b"]]
 
@@ -179,7 +197,8 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
     """(id, component) of lines that link with another line."""
     over = Window.partitionBy("bucket")
     bands = line_bands(docs).select("bucket", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"))
-    buckets = stage(bands.where("lo < hi").select("bucket", "id", F.lit(0).alias("weight")).distinct(), "bands")
+    # The smallest line of a bucket leads it.
+    buckets = stage(bands.where("lo < hi").select("bucket", "id", "lo").distinct(), "bands")
     # One text that holds the line serves for each line in a shared bucket.
     holders = places.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("tkey").alias("tkey"))
     wanted = stage(holders.groupBy("tkey").agg(F.collect_list("id").alias("ids")), "wanted")
@@ -189,10 +208,14 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
         side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
         return similar(pairs.join(side("a"), "a").join(side("b"), "b"), threshold)
 
-    signs = lines.select("id", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)])
+    def signed(rows: DataFrame) -> DataFrame:
+        signs = line_signs(lines.join(rows.select("id").distinct(), "id", "left_semi"))
+        return rows.join(signs.select("id", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]), "id")
+
     apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
     may_link = f"({apart}) <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
-    return bucket_components(stage(buckets.join(signs, "id"), "signed"), linked, may_link)
+    to_leader = buckets.where("lo <> id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    return tried_components(buckets.select("bucket", "id"), to_leader, linked, may_link, signed)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
