@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -26,6 +28,8 @@ HOT_COUNT, HOT_PARTS = 10_000, 64
 # 64-bit words of the parity bits of a set.
 PARITY = 8
 CACHED_WORDS = 200_000
+# Texts whose shingle sets a task remembers while it compares pairs.
+CACHED_SETS = 64
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -101,7 +105,7 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
 def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
     """Rows (row: doc_id, n, sid, tkey, tokens if small, bits) and, in the same pass, rows (chunk, counts) of a sketch.
 
-    The sketch counts shingles by the leading bits of their names; each task sends its counters once, in chunks.
+    The sketch counts shingles by the leading bits of their names; each task sends its counters once, in packed chunks.
     """
     k, size, chunks = join.words, 1 << SKETCH_BITS, 64
 
@@ -120,7 +124,7 @@ def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
             yield rows.assign(doc_id=pdf["doc_id"], tkey=pdf["tkey"], chunk=None, counts=None)[["doc_id", "tkey", "n", "sid", "tokens", "bits", "chunk", "counts"]]
         if total.any():
             parts = total.reshape(chunks, -1)
-            yield pd.DataFrame({"doc_id": None, "tkey": None, "n": None, "sid": None, "tokens": None, "bits": None, "chunk": range(chunks), "counts": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"doc_id": None, "tkey": None, "n": None, "sid": None, "tokens": None, "bits": None, "chunk": range(chunks), "counts": [pack_counts(p) for p in parts]})
 
     # Ids travel as text: pandas would turn integers with nulls into floats.
     kind = docs.schema["doc_id"].dataType
@@ -128,17 +132,30 @@ def describe_sets(docs: DataFrame, join: Join) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counters byte by byte, so that the high bytes, mostly zeros, lie together."""
+    return zlib.compress(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def read_sketch(described: DataFrame) -> np.ndarray:
     """The summed sketch, a fixed number of counters whatever the input."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, np.int32) for c in pdf["counts"]], axis=0, dtype=np.int64).clip(max=2**31 - 1).astype(np.int32)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for chunk, packed in zip(pdf["chunk"], pdf["counts"]):
+                total[chunk] = total.get(chunk, 0) + unpack_counts(packed).astype(np.int64)
+        out = [(c, pack_counts(x.clip(max=2**31 - 1))) for c, x in total.items()]
+        yield pd.DataFrame(out, columns=["chunk", "counts"])
 
-    rows = described.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
+    chunks = described.where("chunk is not null").select("chunk", "counts").repartition("chunk")
     out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int32)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    for r in chunks.mapInPandas(add, "chunk int, counts binary").collect():
+        out[r["chunk"]] = unpack_counts(r["counts"])
     return out.ravel()
 
 
@@ -291,32 +308,29 @@ def _linked_sets(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Joi
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = stage(pairs, "near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(chosen, "sid").select("tkey").distinct()
-        texts = rows.join(small_side(stage(ids, "wanted")), "tkey", "left_semi")
-        found = stage(read_sets(texts, join).dropDuplicates(["sid"]), "compared")
-        side = lambda c: found.select(F.col("sid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-        both = near.join(side("a"), "a").join(side("b"), "b")
-        inter = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        return both.where(join.links(inter, F.size("a_tokens"), F.size("b_tokens"))).select("a", "b")
+        ids = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(chosen, "sid").select("sid", "tkey")
+        # Texts travel, not their sets: names of shingles take several times the room and do not compress.
+        texts = rows.select("tkey", "text").join(small_side(stage(ids, "wanted")), "tkey").select("sid", "text")
+        found = stage(texts.dropDuplicates(["sid"]), "compared")
+        side = lambda c: found.select(F.col("sid").alias(c), F.col("text").alias(f"{c}_text"))
+        return compare_texts(near.join(side("a"), "a").join(side("b"), "b"), join)
 
     more = subset_links(small.where(F.col("n") <= light), join, light) if light else None
     return bucket_components(buckets, linked, may_link, more)
 
 
-def read_sets(texts: DataFrame, join: Join) -> DataFrame:
-    """(sid, tokens) of texts; a task gives a set that it meets again only once."""
+def compare_texts(pairs: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of (a, b, a_text, b_text) whose sets link, exactly; a text mostly comes in several pairs in a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        met: set[int] = set()
+        sets = lru_cache(CACHED_SETS)(lambda text: shingles(text, join.words, seen))
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                out = []
-                for text in pdf["text"].iloc[at: at + 200]:
-                    t = shingles(text, join.words, seen)
-                    if len(t) and (sid := set_name(t)) not in met:
-                        met.add(sid)
-                        out.append((sid, t.view(np.int64)))
-                yield pd.DataFrame(out, columns=["sid", "tokens"])
-
-    return texts.select("text").mapInPandas(run, "sid long, tokens array<long>")
+            keep = []
+            for x, y in zip(pdf["a_text"], pdf["b_text"]):
+                s, t = sets(x), sets(y)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append((join.num + join.den) * both >= join.num * (len(s) + len(t)))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return pairs.select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
