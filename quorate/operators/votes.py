@@ -23,9 +23,13 @@ MAX_PAIRED_SLOTS = 8
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Keep the row with the highest `order` of each key."""
+    """Keep the row with the highest `order` of each key; ties go to the greatest values of the other columns.
+
+    Maps have no order and decide no tie.
+    """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    ties = [c for c in rest if c != order and "map<" not in df.schema[c].dataType.simpleString()]
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *ties)).alias("_last"))
     return picked.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 

@@ -35,12 +35,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by spark.checkpoint.dir.
 
-    A session that names none (tests) gets a folder in its warehouse, which executors share as well.
+    For a session that names none (tests) it is a folder in its warehouse, which executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from quorate.operators.requests import MAX_CHUNK_BYTES, pack_chunks, request_line
 from quorate.operators.rows import require_columns
 from quorate.registry import local_frame
+from quorate.sources.tables import KEEP_BLANKS
 
 FORMATS = ("parquet", "csv", "json")
 
@@ -35,7 +36,7 @@ def save_results(df: DataFrame, folder: str, formats: Sequence[str] = FORMATS, o
             else (F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "map") else F.col(f.name))
             for f in stored.schema.fields
         ]
-        stored.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(f"{folder}/csv")
+        stored.select(*flat).write.mode(mode).options(header=True, escape='"', **KEEP_BLANKS).csv(f"{folder}/csv")
     if "json" in formats:
         stored.write.mode(mode).option("ignoreNullFields", "false").json(f"{folder}/json")
 
@@ -54,13 +55,15 @@ def save_request_chunks(
 
 
 def save_requests(requests: DataFrame, folder: str) -> None:
-    """Requests as JSON Lines without a size cap (retry requests); no shuffle."""
-    requests.select(request_line(requests).alias("value")).write.mode("overwrite").text(folder)
+    """Requests as JSON Lines without a size cap (retry requests); no shuffle. Requests read from files are written
+    byte for byte as they were."""
+    line = F.col("line") if "line" in requests.columns else request_line(requests)
+    requests.select(line.alias("value")).write.mode("overwrite").text(folder)
 
 
 def save_for_reprocessing(failed: DataFrame, folder: str, columns: Sequence[str] | None = None) -> None:
     out = require_columns(failed, columns).select(*columns) if columns else failed.drop("failed_checks")
-    out.write.mode("overwrite").option("header", True).csv(folder)
+    out.write.mode("overwrite").options(header=True, escape='"', **KEEP_BLANKS).csv(folder)
 
 
 def append_new(rows: DataFrame, table_folder: str, key: str = "row_idx") -> None:

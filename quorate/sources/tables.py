@@ -30,16 +30,18 @@ CORRUPT = "_corrupt_record"
 
 
 # Quoted fields may hold line breaks and doubled quotes. Such a file cannot be split; Parquet is the format for scale.
+KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def load_table(spark: SparkSession, path: str, schema: str | None = None, infer: bool = True) -> DataFrame:
-    """CSV, JSON Lines or Parquet by file ending; an empty table is an error, and so is a malformed CSV row.
+def load_table(spark: SparkSession, path: str, schema: str | None = None, infer: bool = True, kind: str | None = None) -> DataFrame:
+    """CSV, JSON Lines or Parquet by file ending, or by `kind` (csv, json, parquet) for folders without one; an empty
+    table is an error, and so is a malformed CSV row.
 
     Give a schema where you can: without one Spark reads the file twice to infer it. With infer=False the columns of
     a CSV are text.
     """
-    low = path.lower().rstrip("/")
+    low = f".{kind}" if kind else path.lower().rstrip("/")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if low.endswith(".csv"):
         reader = reader.options(**CSV_OPTIONS).option("mode", "FAILFAST")
@@ -80,8 +82,12 @@ def load_polities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_requests(spark: SparkSession, paths: str | Sequence[str], n_samples: int | None = None) -> DataFrame:
-    """Requests of one or many files with their typed key columns; the sample count is checked on all rows."""
-    df = spark.read.schema(REQUESTS).option("mode", "FAILFAST").json(paths)
+    """Requests of one or many files with their typed key columns; the sample count is checked on all rows.
+
+    `line` is the request as it stands in the file, with fields that the schema does not know.
+    """
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    df = lines.select("value", F.from_json("value", REQUESTS, {"mode": "FAILFAST"}).alias("read")).select("read.*", F.col("value").alias("line"))
     cid = F.col("metadata.custom_id")
     parts = request_id_parts(cid)
     out = df.select(
@@ -89,7 +95,7 @@ def load_requests(spark: SparkSession, paths: str | Sequence[str], n_samples: in
         parts["row_idx"].alias("row_idx"),
         parts["indicator"].alias("prompt_key"),
         parts["sc_idx"].alias("sc_idx"),
-        "contents", "config", "metadata",
+        "contents", "config", "metadata", "line",
     )
     return out if n_samples is None else check_sample_count(out, n_samples)
 
@@ -103,9 +109,9 @@ def load_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def convert_charset(spark: SparkSession, paths: str | Sequence[str], charset: str, out: str) -> None:
     """CSV files in a named charset to UTF-8 CSV; line breaks and quotes inside fields are kept."""
     df = spark.read.options(**CSV_OPTIONS).option("mode", "FAILFAST").option("encoding", charset).csv(paths)
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(out)
+    df.write.mode("overwrite").options(header=True, escape='"', encoding="UTF-8", **KEEP_BLANKS).csv(out)
 
 
-def csv_to_jsonl(spark: SparkSession, path: str, out: str, schema: str | None = None) -> None:
+def csv_to_jsonl(spark: SparkSession, path: str, out: str, schema: str | None = None, kind: str | None = None) -> None:
     """CSV to JSON Lines; null fields are written, not dropped."""
-    load_table(spark, path, schema).write.mode("overwrite").option("ignoreNullFields", "false").json(out)
+    load_table(spark, path, schema, kind=kind).write.mode("overwrite").option("ignoreNullFields", "false").json(out)
