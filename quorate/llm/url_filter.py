@@ -123,7 +123,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataF
 
     The longest rule that fits decides. Without one the page is blocked if its host or a parent domain is in `listed`
     (a frame with one column `key` of lower-case domains), else allowed. The key universe of the cascade is every host
-    of the corpus; hosts under a listed domain are its listed keys. Membership is then a look into the filters, without
+    of the corpus but the empty one, which it is not asked for; hosts under a listed domain are its listed keys. Membership is then a look into the filters, without
     a join over the pages; only a list whose filter would outgrow `max_bits` is matched by a join of the hosts.
 
     Null urls and urls without :// have an empty host and path, fit no rule and are allowed. Repeated rows stay.
@@ -138,7 +138,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataF
         rows = rows.join(known.select(F.col("key").alias("host"), F.lit(True).alias("on_list")).distinct(), "host", "left")
         on_list = F.coalesce(F.col("on_list"), F.lit(False))
     else:
-        on_list = cascade.holds(F.col("host"))
+        # The empty host is on no list and outside the universe, where the filters may be wrong.
+        on_list = (F.col("host") != "") & cascade.holds(F.col("host"))
     rule, verdict = rule_verdicts(F.col("host"), F.col("path"), rules)
     judged = F.coalesce(verdict, F.when(on_list, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", rule.alias("rule"), judged.alias("verdict"))

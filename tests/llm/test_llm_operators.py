@@ -259,6 +259,20 @@ def test_urls(spark):
     assert url_filter.judge(frame.limit(0), rule, listed).count() == 0
 
 
+def test_empty_host_is_on_no_list(spark):
+    """The level 1 filter of these four hosts has all bits of the empty string."""
+    hosts = ["www.adult-x.example.net", "m.adult-x.example.net", "blog.adult-x.example.net", "blog.ads-track.example.net"]
+    universe = spark.createDataFrame([(h,) for h in hosts], "key string")
+    empty = spark.createDataFrame([("",)], "key string")
+    assert empty.where(url_filter.build_cascade(universe, universe).holds(F.col("key"))).count() == 1
+    urls = [f"http://{h}/p" for h in hosts] + [None, "no scheme", "", "http:///p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("adult-x.example.net",), ("ads-track.example.net",)], "key string")
+    for bits in (url_filter.MAX_FILTER_BITS, 1):
+        got = [r["verdict"] for r in url_filter.judge(pages, (), listed, max_bits=bits).orderBy("page_id").collect()]
+        assert got == ["block"] * 4 + ["allow"] * 4
+
+
 def test_chats(spark):
     say = lambda c, *turns: [(c, i, r, t, "x") for i, (r, t) in enumerate(turns)]
     u, a = ("user", "hi"), ("assistant", "yo")
