@@ -126,6 +126,20 @@ def failed_row_ids(failed: DataFrame, row: str = "row_idx") -> DataFrame:
     return failed.select(row).distinct()
 
 
-def null_predictions(answers: DataFrame, row: str = "row_idx") -> DataFrame:
-    """Rows where a requested indicator ended without a label (long table of final labels)."""
-    return answers.groupBy(row).agg(F.count_if(F.col("prediction").isNull()).alias("n_null")).where(F.col("n_null") > 0)
+def null_predictions(answers: DataFrame, row: str = "row_idx", requests: DataFrame | None = None) -> DataFrame:
+    """Rows where a requested indicator ended without a label (long table of final labels).
+
+    Without `requests` only answer rows that exist are seen. With them (an array column `indicators` next to the row, as
+    `requests.prompts` and `expand_samples` make it) each (row, indicator) asked for counts as null if it has no answer
+    row, by sample where both tables have `sc_idx`; answers to what was not asked for do not count.
+    """
+    if requests is None:
+        return answers.groupBy(row).agg(F.count_if(F.col("prediction").isNull()).alias("n_null")).where(F.col("n_null") > 0)
+    keys = [row, "indicator", *(["sc_idx"] if "sc_idx" in requests.columns and "sc_idx" in answers.columns else [])]
+    asked = requests.select("*", F.explode("indicators").alias("_asked")).drop("indicator").withColumnRenamed("_asked", "indicator")
+    # One aggregation in place of a join: null keys meet, and repeated requests count once.
+    both = asked.select(*keys, F.lit(True).alias("asked"), F.lit(0).alias("n"), F.lit(0).alias("null")).unionByName(
+        answers.select(*keys, F.lit(False).alias("asked"), F.lit(1).alias("n"), F.col("prediction").isNull().cast("int").alias("null"))
+    )
+    slots = both.groupBy(*keys).agg(F.bool_or("asked").alias("asked"), F.sum("n").alias("n"), F.sum("null").alias("null")).where("asked")
+    return slots.groupBy(row).agg(F.sum(F.when(F.col("n") == 0, 1).otherwise(F.col("null"))).alias("n_null")).where(F.col("n_null") > 0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quorate.operators import quality as Q
 from quorate.operators import repair as P
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import DOCUMENTS_WIDE, REPROCESSED, RESPONSES, VOTES, table, with_ctes
+from quorate.plans.catalog.fixtures import DOCUMENTS_WIDE, INDICATORS, REPROCESSED, RESPONSES, VOTES, table, with_ctes
 
 MISSING = "('', 'nan', 'none', 'n/a', 'na', 'null', '<na>')"
 
@@ -81,6 +81,17 @@ def null_predictions(spark, sf):
     return Q.null_predictions(VOTES.df(spark, sf))
 
 
+_LOST = "row_idx % 50 = 7 or (row_idx + sc_idx) % 10 = 3 or (indicator = 'entry' and row_idx % 20 = 11)"
+
+
+@query("null_requested", with_ctes([VOTES], f"select row_idx, count(*) as n_null from votes3 where prediction is null or {_LOST} group by 1"))
+def null_requested(spark, sf):
+    """Some requests have no answer row: whole rows, samples and single indicators."""
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.array(*[F.lit(i) for i, _ in INDICATORS]).alias("indicators"))
+    requests = asked.select("*", F.explode(F.array(*[F.lit(i) for i in range(VOTES.samples)])).alias("sc_idx"))
+    return Q.null_predictions(VOTES.df(spark, sf).where(f"not ({_LOST})"), requests=requests)
+
+
 @query("missing_responses", with_ctes([RESPONSES], "select custom_id from responses where text = ''"))
 def missing_responses(spark, sf):
     r = RESPONSES.df(spark, sf)

@@ -498,3 +498,13 @@ def test_context_tier_with_two_rows_per_key(spark):
     tier = spark.createDataFrame([(1, "b", ["u"]), (1, "a", ["v"]), (1, "", None)], "row_idx int, context string, urls array<string>")
     got = sorted(tuple(r) for r in tiered_context(rows, [("w", tier)]).collect())
     assert len(got) == 2 and got[0][1] == "a"
+
+
+def test_null_predictions_sees_missing_answers(spark, rows_of):
+    asked = spark.createDataFrame([(r, s, ["a", "b"]) for r in (1, 2, 3, None) for s in (0, 1)] + [(1, 0, ["a"])], "row_idx int, sc_idx int, indicators array<string>")
+    full = [(1, s, i, "0") for s in (0, 1) for i in "ab"]
+    rows = full + [(2, 0, "a", "1"), (2, 0, "b", None), (2, 1, "a", "1"), (4, 0, "a", None), (None, 0, "a", "1"), (None, 0, "b", "1"), (None, 1, "b", "1")]
+    answers = spark.createDataFrame(rows, "row_idx int, sc_idx int, indicator string, prediction string")
+    assert rows_of(Q.null_predictions(answers)) == [(2, 1), (4, 1)]
+    assert rows_of(Q.null_predictions(answers, requests=asked)) == [(2, 2), (3, 4), (None, 1)]
+    assert rows_of(Q.null_predictions(answers.drop("sc_idx"), requests=asked)) == [(2, 1), (3, 2)]
