@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import RESPONSES, USAGE, Fixture, with_ctes
+from quorate.plans.catalog.fixtures import RESPONSES, USAGE, Fixture, table, with_ctes
 from quorate.plans.catalog.parsing import ANSWERS_CTE, JSON
 from quorate.registry import DEFAULT_REGISTRY
 from quorate.session import run_folder
 from quorate.streaming.responses import run_parse
-from quorate.streaming.usage import run_usage
+from quorate.streaming.usage import run_usage, with_open_windows
 
 
 @query("stream_parse", with_ctes([RESPONSES, JSON, ANSWERS_CTE], "select custom_id, indicator, prediction, confidence from ans"))
@@ -24,25 +24,48 @@ def stream_parse(spark, sf):
     return spark.read.parquet(out).select("custom_id", "indicator", "prediction", "confidence")
 
 
+_WINDOWS = """w as (select time_bucket(interval '1 day', ts, timestamp '1970-01-01') as window_start, model, count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens,
+        cast(sum(output_tokens) as bigint) as output_tokens from usage group by 1, 2)"""
+
+
+def usage_of(events):
+    usage = events.selectExpr(*[f"{e} as {a}" for a, e in USAGE.columns.items()])
+    # The table's times carry no zone; read as UTC whatever the session's zone is.
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return usage.withColumn("ts", F.timestamp_micros(micros))
+
+
+def streamed_usage(spark, sf):
+    """The windows that the stream has written when it stops."""
+    folder = run_folder(spark, "stream-usage")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    run_usage(usage_of(arriving), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def daily(out):
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86_400).cast("int")).cast("string")
+    return out.select(day.alias("day"), "model", "calls", "input_tokens", "output_tokens")
+
+
 @query(
     "stream_usage",
     with_ctes(
-        [USAGE, """w as (select time_bucket(interval '1 day', ts, timestamp '1970-01-01') as window_start, model, count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens,
-        cast(sum(output_tokens) as bigint) as output_tokens from usage group by 1, 2)"""],
+        [USAGE, _WINDOWS],
         """select strftime(window_start, '%Y-%m-%d') as day, model, calls, input_tokens, output_tokens from w
         where window_start + interval '1 day' <= (select max(ts) - interval '1 hour' from usage)""",
     ),
 )
 def stream_usage(spark, sf):
     """Daily totals per model; the last day is still open when the stream stops."""
-    folder = run_folder(spark, "stream-usage")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    usage = arriving.selectExpr(*[f"{e} as {a}" for a, e in USAGE.columns.items()])
-    # The table's times carry no zone; read as UTC whatever the session's zone is.
-    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    usage = usage.withColumn("ts", F.timestamp_micros(micros))
-    run_usage(usage, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    day = F.date_from_unix_date(F.floor(F.unix_seconds("window_start") / 86_400).cast("int")).cast("string")
-    return out.select(day.alias("day"), "model", "calls", "input_tokens", "output_tokens")
+    return daily(streamed_usage(spark, sf))
+
+
+@query(
+    "stream_usage_to_date",
+    with_ctes([USAGE, _WINDOWS], "select strftime(window_start, '%Y-%m-%d') as day, model, calls, input_tokens, output_tokens from w"),
+)
+def stream_usage_to_date(spark, sf):
+    """The same with the days still open: totals of all events."""
+    return daily(with_open_windows(streamed_usage(spark, sf), usage_of(table(spark, sf, "events"))))

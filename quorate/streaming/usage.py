@@ -30,3 +30,14 @@ def run_usage(usage: DataFrame, out: str, checkpoint: str, window: str = "1 day"
         .trigger(availableNow=True)
         .start()
     )
+
+
+def with_open_windows(final: DataFrame, usage: DataFrame, window: str = "1 day", time: str = "ts") -> DataFrame:
+    """What the stream has written plus the windows still open, totalled from the same source as a batch.
+
+    A window is open if it starts at the end of the last written one or later. Open totals are not written to the
+    stream's folder: a later run writes these windows when they are final. With nothing written all windows are open.
+    """
+    last = final.agg(F.unix_micros(F.max("window_end"))).first()[0]
+    rest = usage if last is None else usage.where(F.col(time) >= F.timestamp_micros(F.lit(last)))
+    return final.unionByName(usage_windows(rest, window, time=time))

@@ -9,7 +9,7 @@ from quorate.plans.answers import answers_long, self_consistency
 from quorate.registry import DEFAULT_REGISTRY
 from quorate.sources import sinks, tables
 from quorate.streaming.responses import run_parse
-from quorate.streaming.usage import run_usage, usage_windows
+from quorate.streaming.usage import run_usage, usage_windows, with_open_windows
 
 
 def put(path, text, encoding="utf-8"):
@@ -183,3 +183,22 @@ def test_append_takes_one_row_per_key(spark, tmp_path):
     sinks.append_new(frame, f"{tmp_path}/t")
     sinks.append_new(frame, f"{tmp_path}/t")
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "a"), (2, "c")]
+
+
+def test_stream_usage_keeps_open_windows(spark, tmp_path, rows_of):
+    schema = "ts timestamp, model string, input_tokens long, output_tokens long, cached_tokens long, thinking_tokens long"
+    (tmp_path / "in").mkdir()
+
+    def seen(name, *days):
+        lines = [json.dumps({"ts": f"2024-01-{d:02d}T{h}:00:00Z", "model": m, "input_tokens": 1, "output_tokens": 1, "cached_tokens": 0, "thinking_tokens": 0}) for d, h, m in days]
+        put(tmp_path / "in" / name, "\n".join(lines) + "\n")
+        run_usage(spark.readStream.schema(schema).json(str(tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        usage = spark.read.schema(schema).json(str(tmp_path / "in"))
+        both = with_open_windows(spark.read.schema(usage_windows(usage).schema).parquet(f"{tmp_path}/out"), usage)
+        assert both.columns == usage_windows(usage).columns
+        return rows_of(both.select(F.date_format("window_start", "dd").alias("d"), "model", "calls"))
+
+    assert seen("a.json", (1, 10, "m")) == [("01", "m", 1)]
+    assert seen("b.json", (2, 10, "m"), (2, 11, "n"), (4, 10, "m")) == [("01", "m", 1), ("02", "m", 1), ("02", "n", 1), ("04", "m", 1)]
+    # The late row of day 2 stays dropped; day 4 is written once it is final, not twice.
+    assert seen("c.json", (2, 12, "m"), (4, 12, "m"), (5, 10, "n")) == [("01", "m", 1), ("02", "m", 1), ("02", "n", 1), ("04", "m", 2), ("05", "n", 1)]
