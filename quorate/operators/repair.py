@@ -84,11 +84,11 @@ def upsert(
     return joined.select(*out)
 
 
-def upsert_long(original: DataFrame, reprocessed: DataFrame, failed: DataFrame, order: str) -> DataFrame:
-    """Per-indicator upsert on the long table: only (row, indicator) pairs that failed are touched."""
-    allowed = reprocessed.join(failed.select("row_idx", "indicator"), ["row_idx", "indicator"], "left_semi")
-    update = [c for c in original.columns if c not in ("row_idx", "indicator") and c in reprocessed.columns]
-    return upsert(original, allowed, order, ["row_idx", "indicator"], update, "confidence")
+def upsert_long(original: DataFrame, reprocessed: DataFrame, failed: DataFrame, order: str, keys: Sequence[str] = ("row_idx", "indicator")) -> DataFrame:
+    """Per-indicator upsert on the long table: only (row, indicator) pairs that failed are touched; with `sc_idx` in `keys`, only failed samples."""
+    allowed = reprocessed.join(failed.select(*keys), list(keys), "left_semi")
+    update = [c for c in original.columns if c not in keys and c in reprocessed.columns]
+    return upsert(original, allowed, order, list(keys), update, "confidence")
 
 
 def upsert_indicators(

@@ -6,7 +6,7 @@ from quorate.operators import metrics as M
 from quorate.operators import rows as R
 from quorate.plans import evaluate as E
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import LABEL_RATERS, PAIRS, RATERS, WIDE, with_ctes
+from quorate.plans.catalog.fixtures import LABEL_RATERS, PAIRS, RATERS, WIDE, Fixture, with_ctes
 from quorate.registry import DEFAULT_REGISTRY
 
 NAMES = ["sovereign", "assembly", "entry"]
@@ -209,6 +209,19 @@ def compare_models(spark, sf):
     return E.compare_models(WIDE.df(spark, sf), "{}_prediction", "{}_c", ["sovereign"])["agreement"]
 
 
+_SECOND = {"collegiality_c": "case when n_chars % 5 = 0 then null else cast(doc_id % 2 as string) end", "assembly_c": "case when doc_id % 7 = 0 then '9' else cast(n_chars % 4 as string) end"}
+_WIDER = Fixture("wide_models", "documents", {**WIDE.columns, **_SECOND})
+_PLAIN = "coalesce(cast(cast(trunc(try_cast({0} as double)) as bigint) as varchar), {0})"
+_MODELS_ALL = "ma as (" + " union all ".join(
+    f"select row_idx, '{i}' as indicator, {_PLAIN.format(i + '_prediction')} as truth, {_PLAIN.format(i + '_c')} as prediction from wide_models" for i in _IND3
+) + ")"
+
+
+@query("compare_models_all", with_ctes([_WIDER, _MODELS_ALL, counts_sql("ma", "indicator"), classes_sql("indicator")], KAPPA))
+def compare_models_all(spark, sf):
+    return E.compare_models(_WIDER.df(spark, sf), "{}_prediction", "{}_c", _IND3)["agreement"]
+
+
 _QUICK = f"""ql as (select row_idx, indicator, truth, prediction from ({_LONG}) where start_year between -100 and 1400)"""
 
 

@@ -150,6 +150,22 @@ def selective_upsert(spark, sf):
     return P.upsert_long(labels, again, failed, "attempt")
 
 
+@query(
+    "selective_upsert_all",
+    with_ctes(
+        [VOTES],
+        """select row_idx, indicator, sc_idx, case when prediction is null and row_idx % 5 <> 0 then '9' else prediction end as prediction,
+        case when prediction is null and row_idx % 5 <> 0 then 77 else confidence end as confidence from votes3""",
+    ),
+)
+def selective_upsert_all(spark, sf):
+    """The same by sample: only the samples that failed are overwritten."""
+    keys = ["row_idx", "indicator", "sc_idx"]
+    votes = VOTES.df(spark, sf).select(*keys, "prediction", "confidence")
+    again = votes.select(*keys, F.lit("9").alias("prediction"), F.when(F.col("row_idx") % 5 == 0, -1).otherwise(77).alias("confidence"), F.lit(1).alias("attempt"))
+    return P.upsert_long(votes, again, votes.where(F.col("prediction").isNull()), "attempt", keys)
+
+
 @query(
     "combined_results",
     with_ctes([RESPONSES], "select custom_id, case when split_part(custom_id, '|', 3) = '1' then 'later' else text end as text from responses"),

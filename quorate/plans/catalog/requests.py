@@ -124,6 +124,19 @@ def chunk_sizes(spark, sf):
     )
 
 
+@query(
+    "chunks_by_size",
+    f"""select count(*) as n_requests, cast(sum(n_bytes) as bigint) as n_bytes, true as fits, greatest(1, cast(ceil(sum(n_bytes) / {4 * CAP}.0) as bigint)) as n_shards
+    from (select strlen(text) + 1 as n_bytes from documents)""",
+)
+def chunks_by_size(spark, sf):
+    """Shards as many as the total size asks for: all requests are in a chunk, none over the cap unless it is one request."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.lit(0).alias("sc_idx"), (F.octet_length("text") + 1).cast("bigint").alias("n_bytes"))
+    chunks = Q.pack_chunks(d, CAP).groupBy("chunk", "shard").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"))
+    fits = (F.col("n_bytes") <= CAP) | (F.col("n") == 1)
+    return chunks.agg(F.sum("n").alias("n_requests"), F.sum("n_bytes").alias("n_bytes"), F.bool_and(fits).alias("fits"), F.countDistinct("shard").alias("n_shards"))
+
+
 _OPEN = "coalesce(try_cast(assembly_prediction as double) = 2, false)"
 
 

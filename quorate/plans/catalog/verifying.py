@@ -11,7 +11,7 @@ from quorate.operators import verify as V
 from quorate.operators.requests import prompts, row_slots
 from quorate.plans import verification as P
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import RESPONSES, TIERS, VOTES, table, with_ctes
+from quorate.plans.catalog.fixtures import INDICATORS, RESPONSES, TIERS, VOTES, table, with_ctes
 from quorate.plans.catalog.requests import FILLED, RULERS, good_rows
 from quorate.registry import DEFAULT_REGISTRY, GENERIC_QUESTIONS
 
@@ -212,7 +212,28 @@ def checked_labels(spark, sf):
     """Questions asked, answers weighed, labels revised: the whole check with stand-in answers."""
     rows = good_rows(spark, sf)
     votes = VOTES.df(spark, sf).where("indicator in ('sovereign', 'assembly')").join(rows.select("row_idx"), "row_idx", "left_semi")
+    return checked(rows, votes, ["sovereign", "assembly"])
 
+
+@query(
+    "checked_labels_all",
+    with_ctes(
+        [VOTES],
+        "select row_idx, " + ", ".join(
+            f"max({e}) filter (where indicator = '{i}' and sc_idx = 0) as {i}_{f}" for i, _ in INDICATORS
+            for f, e in (("prediction", "case when prediction is null then null when row_idx % 3 = 0 then '1' else prediction end"), ("reasoning", "reasoning"), ("confidence", "confidence"))
+        ) + " from votes3 group by 1",
+    ),
+)
+def checked_labels_all(spark, sf):
+    """The same for all indicators and all rows of the votes."""
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id as row_idx", "coalesce(source, '') as polity_name", "coalesce(lang, '') as leader_name", "1 as leader_first_year", "2 as leader_last_year"
+    )
+    return checked(rows, VOTES.df(spark, sf), [i for i, _ in INDICATORS])
+
+
+def checked(rows, votes, names):
     def ask(questions):
         return questions.withColumn("answer", F.concat(F.lit("on "), "indicator"))
 
@@ -222,7 +243,6 @@ def checked_labels(spark, sf):
         revised = F.when(seen & (F.col("row_idx") % 3 == 0), F.lit("1")).otherwise(F.col("prediction"))
         return asked.withColumn("text", F.concat(F.lit('{"decision": "CONTRADICTED", "final_prediction": "'), revised, F.lit('"}')))
 
-    names = ["sovereign", "assembly"]
     verify = P.chain(P.none, P.by_questions(rows, DEFAULT_REGISTRY, names, row_slots(), ask, synthesise))
     out = P.wide_verified(verify(votes), votes, names)
     return out.select("row_idx", *[f"{i}_{f}" for i in names for f in ("prediction", "reasoning", "confidence")])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quorate.operators import votes as V
 from quorate.plans.answers import attach_results, self_consistency, wide_results
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import EVENT_VOTES, RESPONSES, VOTES, table, with_ctes
+from quorate.plans.catalog.fixtures import EVENT_VOTES, INDICATORS, RESPONSES, VOTES, table, with_ctes
 from quorate.plans.catalog.parsing import ANSWERS_CTE, JSON
 from quorate.registry import DEFAULT_REGISTRY
 
@@ -91,9 +91,8 @@ def single_sample(spark, sf):
     return no_verification(VOTES.df(spark, sf)).drop("sc_idx")
 
 
-def wide_sql(votes: str) -> str:
-    """Wide columns of two indicators over `votes` v and `verdict` d."""
-    names = ("sovereign", "assembly")
+def wide_sql(votes: str, names=("sovereign", "assembly")) -> str:
+    """Wide columns of some indicators over `votes` v and `verdict` d."""
     cols = [f"max(case when v.indicator = '{i}' then d.prediction end) as {i}_prediction" for i in names]
     for i in names:
         for f, n in (("prediction", ""), ("reasoning", "_reasoning"), ("confidence", "_confidence")):
@@ -114,6 +113,21 @@ def wide_result_table(spark, sf):
     return attach_results(rows, wide_results(VOTES.df(spark, sf), ["sovereign", "assembly"], 2))
 
 
+ALL = [i for i, _ in INDICATORS]
+
+
+@query(
+    "wide_results_all",
+    with_ctes(
+        [VOTES, majority_sql("votes3")],
+        f"select t.doc_id as row_idx, t.lang, w.* exclude (row_idx) from documents t left join ({wide_sql('votes3', ALL)}) w on t.doc_id = w.row_idx",
+    ),
+)
+def wide_results_all(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "lang")
+    return attach_results(rows, wide_results(VOTES.df(spark, sf), ALL, 2))
+
+
 @query(
     "self_consistency",
     with_ctes(
@@ -138,3 +152,16 @@ def self_consistency_job(spark, sf):
 def wide_plain(spark, sf):
     """One call per row, no vote."""
     return wide_results(VOTES.df(spark, sf), ["sovereign", "assembly"], 0)
+
+
+@query(
+    "wide_plain_all",
+    with_ctes(
+        [VOTES],
+        "select row_idx, " + ", ".join(f"max({f}) filter (where indicator = '{i}') as {i}_{f}" for i in ALL for f in ("prediction", "reasoning", "confidence"))
+        + " from votes3 where sc_idx = 0 group by 1",
+    ),
+)
+def wide_plain_all(spark, sf):
+    """One call per row and indicator, no vote."""
+    return wide_results(VOTES.df(spark, sf), ALL, 0)
