@@ -16,6 +16,8 @@ CAPACITY = 2048
 PIECES_PER_TASK = 40_000
 # Conflict keys carried by at least this share of a task's pieces have counts of compatible bins per residual.
 HOT_SHARE = 0.01
+# Equal rows numbered at a time.
+BLOCK = 10_000
 
 
 class Bins:
@@ -104,7 +106,8 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
 
     A document longer than `capacity` is cut into full pieces, each a bin of its own, and a rest. Rests and short
     documents are packed: no bin holds two pieces of one source or of one duplicate cluster. Documents are dealt to
-    tasks by a hash, so a hot source is spread evenly and a task's memory is bounded; within a task pieces come by
+    tasks by a hash, equal rows by their number, so a hot source or row is spread evenly and a task's memory is bounded;
+    the tightest bin is the tightest of one task. Within a task pieces come by
     falling size, then id (as text), cluster and source. bin_id names task and bin and is the same in every run.
 
     Null sizes count 0; documents of size 0 are one piece of size 0 and take no room, but keep to the conflicts. A
@@ -114,11 +117,15 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
     if capacity < 1:
         raise ValueError("capacity must be positive")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("total"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    rows = stage(rows, "pieces")
-    n_tasks = max(1, -(-rows.count() // pieces_per_task))
+    kept = ["doc_id", "total", "source", "cluster"]
+    counted = stage(rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("n")), "pieces")
+    n_tasks = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // pieces_per_task))
+    # Equal rows are numbered, so that they are spread as others are; blocks keep the arrays short.
+    blocks = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
+    rows = blocks.select(*kept, F.explode(F.expr(f"sequence(block * {BLOCK}, least(n, (block + 1) * {BLOCK}) - 1)")).alias("copy"))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("long")
     rest = F.when(F.col("total") > 0, (F.col("total") - 1) % capacity + 1).otherwise(0).cast("long")
-    rows = rows.withColumns({"n_pieces": n_pieces, "rest": rest, "task": F.pmod(F.xxhash64("doc_id", "total", "cluster"), F.lit(n_tasks)).cast("long")})
+    rows = rows.withColumns({"n_pieces": n_pieces, "rest": rest, "task": F.pmod(F.xxhash64(*kept, "copy"), F.lit(n_tasks)).cast("long")})
     # Ids travel as text: pandas would turn integers with nulls into floats.
     kind = rows.schema["doc_id"].dataType
 

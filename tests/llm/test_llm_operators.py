@@ -259,6 +259,15 @@ def test_urls(spark):
     assert url_filter.judge(frame.limit(0), rule, listed).count() == 0
 
 
+def test_packing_spreads_equal_rows(spark):
+    frame = docs_of(spark, [(None, "one text", "a")] * 300 + [(None, None, None)] * 100)
+    got = packing.pack(frame, n_words(F.col("text")), F.col("source"), F.md5("text"), capacity=16, pieces_per_task=50).collect()
+    slices = Counter(r["bin_id"].split("-")[0] for r in got)
+    assert len(got) == 400 and len(slices) == 8 and max(slices.values()) < 100
+    assert Counter(r["size"] for r in got) == {2: 300, 0: 100}
+    assert len({r["bin_id"] for r in got if r["size"] == 2}) == 300
+
+
 def test_empty_host_is_on_no_list(spark):
     """The level 1 filter of these four hosts has all bits of the empty string."""
     hosts = ["www.adult-x.example.net", "m.adult-x.example.net", "blog.adult-x.example.net", "blog.ads-track.example.net"]
