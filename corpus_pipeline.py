@@ -9,7 +9,7 @@ from quorate.llm import lines, mixing, ngram_join, packing, quality
 from quorate.llm.common import n_words, read, stage
 from quorate.llm.queries import text_cluster
 
-# The learned steps and the signatures have no SQL; tests hold each stage against a brute-force version.
+# The learned steps and the signatures have no SQL; tests/llm hold the operators against brute force and run the stages.
 ORACLE_SQL = None
 
 
