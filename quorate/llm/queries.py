@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import chats, embeddings, lines, mixing, ngram_join, packing, quality, rules, shards, url_filter
+from quorate.llm import chats, divergence, embeddings, lines, mixing, ngram_join, packing, quality, rules, shards, url_filter
 from quorate.llm.common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rules")
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+AUDIT_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as (select r, lang, source, unnest(ts) as term from d),
+v as (select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 10),
+l as (select lang, count(*) as v, sum(n) as n from v group by lang),
+g as (select distinct lang, source from d),
+c as (select g.lang, g.source, v.term, v.n as lang_n, coalesce(x.n, 0) as n from g join v on v.lang = g.lang
+      left join (select lang, source, term, count(*) as n from t group by 1, 2, 3) x on x.lang = g.lang and x.source = g.source and x.term = v.term),
+s as (select *, sum(n) over (partition by lang, source) as total from c),
+p as (select s.lang, s.source, s.term, s.n, (1 + 1000000000::hugeint * (s.n + 2) // (s.total + 2 * l.v))::bigint as p,
+             (1 + 1000000000::hugeint * (s.lang_n + 2) // (l.n + 2 * l.v))::bigint as q from s join l on l.lang = s.lang),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+allp as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+         left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where n > 0 and p > q),
+r as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from allp union all select * from terms))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+"""
+
+
+@query("op11_divergence", AUDIT_SQL)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
