@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import chats, divergence, embeddings, lines, mixing, ngram_join, packing, quality, rules, shards, url_filter
+from quorate.llm import chats, divergence, embeddings, lines, manifest, mixing, ngram_join, packing, quality, rules, shards, url_filter
 from quorate.llm.common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,46 @@ select lang, source, part, item, value, rank from r where part = 'pair' or rank
 @query("op11_divergence", AUDIT_SQL)
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def manifest_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels leaves, level by level; a tree that has come to one node stays as it is."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    row = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "list_transform(range(0, 8 * strlen(doc_id::varchar)), lambda i: case when i % 8 = 0 then ord(substr(doc_id::varchar, (i // 8 + 1)::int, 1)) else 0 end::bigint)"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))))"
+    parts = [f"""
+d as (select row_number() over () as r, doc_id, coalesce('+' || source, '') as tree, {row('text')} as leaf,
+             case when doc_id is not null and ({crc}) % 5 = 0 then {row(lower)} else {row('text')} end as seen from documents),
+a0 as (select tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, leaf as h, r from d),
+w0 as (select r, tree, i as spot, '' as proof from a0)"""]
+
+    def climb(a: str, w: str, to: str) -> None:
+        for k in range(levels):
+            parts.append(f"""
+{a}n{k} as (select tree, i, h, count(*) over (partition by tree) as n, i // 16 as run,
+  coalesce(string_agg(h, '') over (partition by tree, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(h, '') over (partition by tree, i // 16 order by i rows between 1 following and unbounded following), '') as g from {a}{k}),
+{w}{k + 1} as (select w.r, w.tree, case when n > 1 then spot // 16 else spot end as spot, case when n > 1 then proof || l || g else proof end as proof,
+  case when n > 1 then sha256(l || f || g) else f end as f from {w}{k}f w join {a}n{k} on {a}n{k}.tree = w.tree and {a}n{k}.i = w.spot),
+{w}{k + 1}f as (select * from {w}{k + 1}),
+{a}{k + 1} as (select tree, run as i, case when max(n) > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from {a}n{k} group by tree, run)""")
+
+    parts.append("\nw0f as (select w0.*, d.seen as f from w0 join d using (r))")
+    climb("a", "w", "sub")
+    parts.append(f"""
+b0 as (select '' as tree, row_number() over (order by tree) - 1 as i, h, tree as name from a{levels}),
+v0f as (select w.r, '' as tree, b0.i as spot, w.proof, w.f from w{levels} w join b0 on b0.name = w.tree)""")
+    climb("b", "v", "root")
+    return "with" + ",".join(parts) + f"""
+select d.doc_id, d.leaf, s.h as subroot, t.h as root, sha256(v.proof) as proof_sha256, v.f as folded_root, v.f = t.h as verified
+from d join v{levels} v on v.r = d.r join a{levels} s on s.tree = d.tree cross join b{levels} t"""
+
+
+@query("op12_manifest", manifest_sql())
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides the unsigned crc32 of the decimal id, the text is lower-cased after the manifest was made."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lowered = F.translate(F.col("text"), url_filter.UPPER, url_filter.LOWER)
+    return manifest.audit(read(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), "source", {"text": lowered}, tampered)
