@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import chats, divergence, embeddings, lines, manifest, mixing, ngram_join, packing, quality, rules, shards, url_filter
+from quorate.llm import chats, divergence, embeddings, langid, lines, manifest, mixing, ngram_join, packing, quality, rules, shards, url_filter
 from quorate.llm.common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,8 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     lowered = F.translate(F.col("text"), url_filter.UPPER, url_filter.LOWER)
     return manifest.audit(read(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), "source", {"text": lowered}, tampered)
+
+
+@query("op13_langid")
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
