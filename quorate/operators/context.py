@@ -14,8 +14,8 @@ from quorate.functions.values import strip
 MIN_CONTEXT_CHARS = 200
 
 PREAMBLE = "Background found for this case; it may be incomplete or wrong.\n\n"
-OPENING = "--- REFERENCE MATERIAL ---\n"
-CLOSING = "\n--- END REFERENCE MATERIAL ---\n\n"
+OPENING = "<<< notes from the context tables\n"
+CLOSING = "\nnotes end >>>\n\n"
 
 
 def tiered_context(

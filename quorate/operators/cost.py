@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quorate.functions.values import HOSTED_ARN
@@ -147,6 +147,33 @@ def estimate_run(
     return priced.select("model", "calls", "input_tokens", "output_tokens", dollars(micro_usd(), batch_discount).alias("cost_usd"))
 
 
+def observed_progress(df: DataFrame, groups: Sequence[str | None], status: str = "status", by: str = "indicator") -> tuple[DataFrame, Observation]:
+    """The frame, to be written in place of `df`, and an observation of its progress.
+
+    While the one write runs, every task counts its rows per group; no second pass, no shuffle. The groups have to be
+    known (a registry's indicators, and None for null); rows of others are counted in the total alone. Read it with
+    `progress_of` after the write.
+    """
+    seen = Observation()
+    metrics = []
+    for n, g in enumerate(groups):
+        mine = F.col(by).isNull() if g is None else F.coalesce(F.col(by) == g, F.lit(False))
+        metrics += [F.count_if(mine).alias(f"total_{n}"), F.count_if(mine & (F.col(status) == "ok")).alias(f"completed_{n}"),
+                    F.count_if(mine & (F.col(status) == "error")).alias(f"failed_{n}")]
+    return df.observe(seen, F.count(F.lit(1)).alias("total"), *metrics), seen
+
+
+def progress_of(seen: Observation, groups: Sequence[str | None]) -> list[tuple]:
+    """(group, total, completed, failed, success rate) per group that had rows, as `progress` gives them."""
+    got = seen.get
+    out = []
+    for n, g in enumerate(groups):
+        total, done, failed = (got[f"{k}_{n}"] for k in ("total", "completed", "failed"))
+        if total:
+            out.append((g, total, done, failed, done / (done + failed) if done + failed else None))
+    return out
+
+
 def progress(df: DataFrame, status: str = "status", by: Sequence[str] = ()) -> DataFrame:
     """Completed, failed and success rate."""
     done, failed = F.count_if(F.col(status) == "ok"), F.count_if(F.col(status) == "error")

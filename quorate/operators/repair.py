@@ -92,30 +92,34 @@ def upsert_long(original: DataFrame, reprocessed: DataFrame, failed: DataFrame,
 
 
 def upsert_indicators(
-    original: DataFrame, fresh: DataFrame, indicators: Sequence[str], key: str = "row_idx", failed: str = "_failed_{}"
+    original: DataFrame, fresh: DataFrame, indicators: Sequence[str], key: str = "row_idx", failed: str = "_failed_{}", order: str | None = None
 ) -> DataFrame:
     """Per-indicator upsert on the wide table, all indicators in one join.
 
     `fresh` holds new columns by row key and a flag per indicator that says whether it had failed on that row. Only
-    the columns of failed indicators are overwritten, and only where the new confidence is neither null nor -1.
+    the columns of failed indicators are overwritten, and only where the new confidence is neither null nor -1. A key
+    may be repaired several times: each indicator takes its own latest good repair by the column `order`; without it,
+    and among equal orders, the one with the greatest values. A failed repair never replaces or hides a good one.
     """
     groups = {i: indicator_columns(fresh.columns, i) for i in indicators}
-    moved = [failed.format(i) for i in indicators] + [c for cols in groups.values() for c in cols]
-    # One row per key; of several the same one is taken whatever the partitioning.
-    new = fresh.groupBy(key).agg(F.max(F.struct(*dict.fromkeys(moved))).alias("_new"))
-    joined = original.join(new, key, "left")
-    value, owner = F.col("_new"), {c: i for i, cols in groups.items() for c in cols}
-    good = {}
-    for i, cols in groups.items():
-        good[i] = F.coalesce(value[failed.format(i)] == 1, F.lit(False))
+    groups = {i: cols for i, cols in groups.items() if cols}
+    latest, owner = [], {c: i for i, cols in groups.items() for c in cols}
+    for n, (i, cols) in enumerate(groups.items()):
+        good = F.col(failed.format(i)) == 1
         if f"{i}_confidence" in cols:
-            score = value[f"{i}_confidence"].try_cast("double")
-            good[i] = good[i] & F.coalesce(score != -1, F.lit(False))
+            # A null score makes the condition null, and the row does not count.
+            good = good & (F.col(f"{i}_confidence").try_cast("double") != -1)
+        by = [] if order is None else [F.col(order).alias("_order")]
+        latest.append(F.max(F.when(good, F.struct(*by, *cols))).alias(f"_new_{n}"))
+    if not latest:
+        return original
+    joined = original.join(fresh.groupBy(key).agg(*latest), key, "left")
+    new = {i: F.col(f"_new_{n}") for n, i in enumerate(groups)}
     out = [
-        F.when(good[owner[c]], value[c].try_cast(original.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in owner else F.col(c)
+        F.when(new[owner[c]].isNotNull(), new[owner[c]][c].try_cast(original.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in owner else F.col(c)
         for c in original.columns
     ]
-    out += [F.when(good[i], value[c]).alias(c) for c, i in owner.items() if c not in original.columns]
+    out += [new[i][c].alias(c) for c, i in owner.items() if c not in original.columns]
     return joined.select(*out)
 
 

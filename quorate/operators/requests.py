@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from quorate.functions.templates import period_text, render
 from quorate.functions.values import request_id
+from quorate.operators.rows import with_row_index
 from quorate.registry import DEFAULT_SEQUENCE, Registry, string_array
+from quorate.session import run_folder
 
 # Shape of a request.
 COMBINED = "single"
@@ -20,6 +22,9 @@ DEFAULT_TOP_P = 0.95
 DEFAULT_MAX_TOKENS = 8192
 MAX_CHUNK_BYTES = 1_900 * 1024 * 1024
 
+# Positions that are summed up in one task; totals of blocks are one narrow row each.
+ROWS_PER_BLOCK = 100_000
+
 SYSTEM_TEMPLATE = "You label historical rulers. Answer with one JSON object only."
 USER_TEMPLATE = "Polity: {polity}\nRuler: {name}\nPeriod: {period}\nReturn one JSON object."
 
@@ -230,6 +235,67 @@ def pack_chunks(
     )
 
 
+def next_fit_chunks(
+    sized: DataFrame, cap_bytes: int = MAX_CHUNK_BYTES, order: Sequence[str] = ("row_idx", "sc_idx"), size: str = "n_bytes",
+) -> DataFrame:
+    """Chunk 0, 1, .. of every request as sequential next-fit cuts them: a chunk is closed by the first request that no
+    longer fits. A request above the cap stays alone. `order` must be a total order; null sizes count 0.
+
+    Next-fit looks sequential, but where a chunk that starts at a given request ends does not depend on the chunks before
+    it. So every request gets a pointer to the first one that a chunk started at it could not hold, found by an as-of
+    match on prefix sums inside byte ranges of one cap each. The starts are the requests on the path of pointers from
+    request 0; they are marked by pointer doubling, in as many rounds of narrow joins as the number of chunks has binary
+    digits. Needs no shards, unlike `pack_chunks`, which cuts at a stride and shuffles once.
+    """
+    spark = sized.sparkSession
+    folder = run_folder(spark, "next-fit")
+    spot, n_bytes, upto, chunk = "_spot", "_n_bytes", "_upto", "chunk"
+    placed = with_row_index(sized.withColumn(n_bytes, F.coalesce(F.col(size), F.lit(0)).cast("bigint")), order, spot)
+    # Running byte sums: inside blocks of positions, then over the sums of the blocks.
+    block = F.floor(F.col(spot) / ROWS_PER_BLOCK)
+    inside = Window.partitionBy("_block").orderBy(spot)
+    running = placed.withColumn("_block", block).withColumn("_in", F.sum(n_bytes).over(inside))
+    sums = placed.groupBy(block.alias("_block")).agg(F.sum(n_bytes).alias("_sum"))
+    # One row per block of positions, narrow.
+    offsets = sums.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_offset"))
+    running.join(offsets, "_block").withColumn(upto, F.col("_offset") + F.col("_in")).drop("_block", "_in", "_offset").write.parquet(f"{folder}/placed")
+    rows = spark.read.parquet(f"{folder}/placed")
+
+    # As-of match: for a start, the last request whose end lies within the cap behind the start's own beginning.
+    ends = rows.select(F.col(upto).alias("at"), F.lit(0).alias("kind"), F.col(spot).alias("i"))
+    limits = rows.select((F.col(upto) - F.col(n_bytes) + F.lit(cap_bytes)).alias("at"), F.lit(1).alias("kind"), F.col(spot).alias("i"))
+    points = ends.unionByName(limits).withColumn("range", F.floor(F.col("at") / F.lit(cap_bytes)))
+    so_far = Window.partitionBy("range").orderBy("at", "kind", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = points.withColumn("last", F.max(F.when(F.col("kind") == 0, F.col("i"))).over(so_far)).where("kind = 1")
+    # Ranges with no end before the limit take the last end of earlier ranges; one row per range of one cap.
+    tops = points.groupBy("range").agg(F.max(F.when(F.col("kind") == 0, F.col("i"))).alias("top"))
+    earlier = tops.select("range", F.max("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    reach = F.coalesce("last", "earlier", F.lit(-1))
+    pointers = here.join(earlier, "range").select("i", F.greatest(F.col("i"), reach).alias("end")).select("i", (F.col("end") + 1).alias("to"))
+    pointers.write.parquet(f"{folder}/jump-0")
+    # The path from request 0, doubled in length each round.
+    spark.range(1).select(F.col("id").alias("i")).write.parquet(f"{folder}/starts-0")
+    n = 0
+    while True:
+        jump, starts = spark.read.parquet(f"{folder}/jump-{n}"), spark.read.parquet(f"{folder}/starts-{n}")
+        more = starts.join(jump, "i").select(F.col("to").alias("i"))
+        # Beyond the last request there is nothing to point from.
+        more = more.join(rows.select(F.col(spot).alias("i")), "i", "left_semi")
+        starts.unionByName(more).distinct().write.parquet(f"{folder}/starts-{n + 1}")
+        if spark.read.parquet(f"{folder}/starts-{n + 1}").count() == starts.count():
+            break
+        twice = jump.select("i", F.col("to").alias("via")).join(jump.select(F.col("i").alias("via"), "to"), "via").select("i", "to")
+        twice.write.parquet(f"{folder}/jump-{n + 1}")
+        n += 1
+    marked = rows.join(spark.read.parquet(f"{folder}/starts-{n}").select(F.col("i").alias(spot), F.lit(1).alias("_start")), spot, "left")
+    # Chunk numbers: starts counted inside blocks of positions, then over blocks.
+    numbered = marked.withColumn("_block", block).withColumn("_in", F.count("_start").over(inside))
+    begun = marked.groupBy(block.alias("_block")).agg(F.count("_start").alias("_n"))
+    before = begun.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_offset"))
+    numbered = numbered.join(before, "_block").withColumn(chunk, F.col("_offset") + F.col("_in") - 1)
+    return numbered.drop("_block", "_in", "_offset", "_start", spot, n_bytes, upto)
+
+
 def uses_search(requests: DataFrame) -> DataFrame:
     """Whether any request asks for a search tool (all requests are looked at)."""
     fields = requests.schema["config"].dataType.names

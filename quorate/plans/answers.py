@@ -17,6 +17,28 @@ DOCUMENTS = "constitution"
 DOCUMENT_FIELDS = ("document_name", "constitution_year", "document_types")
 
 
+# What decides between two answers to one request, as far as the table has it.
+ARRIVAL = ("received_at", "arrived")
+ANSWER_KEYS = ("custom_id", "row_idx", "indicator", "sc_idx")
+
+
+def answer_order(columns: Sequence[str]) -> Column:
+    """Order of the answers to one request, narrow enough to travel with a label: the latest by `received_at`, then by
+    `arrived`, each where the table has it. Without them, and among ties, an answer with a text beats an empty one, and a
+    hash of the text decides the rest, so that all labels of a request come from one answer."""
+    known = [F.col(c).alias(c) for c in ARRIVAL if c in columns]
+    has_text = F.coalesce(F.col("text") != "", F.lit(False))
+    return F.struct(*known, has_text.alias("has_text"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"))
+
+
+def latest_answers(long: DataFrame) -> DataFrame:
+    """One row per request and indicator from a table with `answer_order`: the label that the latest answer gives, which
+    may be null. Labels are shuffled, not answer texts."""
+    rest = [c for c in long.columns if c not in (*ANSWER_KEYS, "answer_order")]
+    last = F.max_by(F.struct(*rest), F.col("answer_order")).alias("_last")
+    return long.groupBy(*ANSWER_KEYS).agg(last).select(*ANSWER_KEYS, "_last.*")
+
+
 def latest_responses(responses: DataFrame, order: str = "received_at") -> DataFrame:
     """(custom_id, text) with one answer per request id: the latest by `order` where the table has that column; ties,
     and tables without it, go to the greatest text. Ids answered twice must not vote twice."""
@@ -38,6 +60,7 @@ def answers_long(
     alone: Sequence[str] | None = None,
     dependent_invalid_as: str | None = None,
     extra: Callable[[Column], Column] | None = None,
+    once: bool = True,
 ) -> DataFrame:
     """(custom_id, row_idx, indicator, sc_idx, prediction, reasoning, confidence, document fields).
 
@@ -46,10 +69,12 @@ def answers_long(
     indicators that have prompts of their own; with it and `combined` the plan holds only the reading rules that
     are needed. `extra` builds one more column from the parsed map.
 
+    A request that was answered several times counts once, by `answer_order`. With once=False all answers stay, each with
+    its `answer_order`, and the next step decides: `wide_results` does so in the aggregation it has anyway. Use it too
+    where no request is answered twice. On a stream, which is appended to, once=False is the only way.
+
     Values that several rules look at are columns of an earlier step, so they are computed once.
     """
-    if not responses.isStreaming:  # a stream is appended to; its table is made distinct when it is read
-        responses = latest_responses(responses)
     parts = request_id_parts(F.col("custom_id"))
     keyed = responses.select(
         "custom_id",
@@ -57,6 +82,7 @@ def answers_long(
         parts["indicator"].alias("prompt_key"),
         parts["sc_idx"].alias("sc_idx"),
         F.when(F.col("text") != "", F.col("text")).alias("text"),
+        answer_order(responses.columns).alias("answer_order"),
     ).where(F.col("row_idx").isNotNull())
     if combined is not None:
         names = F.when(F.col("prompt_key") == COMBINED, string_array(combined)).otherwise(F.array("prompt_key"))
@@ -76,8 +102,8 @@ def answers_long(
 
     m, text, ind = F.col("_m"), F.col("text"), F.col("indicator")
     read = (
-        keyed.select("custom_id", "row_idx", "sc_idx", "text", A.parse_answer(text).alias("_raw"), F.explode(names).alias("indicator"))
-        .select("custom_id", "row_idx", "sc_idx", "text", "indicator", A.last_key_wins(F.col("_raw")).alias("_m"))
+        keyed.select("custom_id", "row_idx", "sc_idx", "answer_order", "text", A.parse_answer(text).alias("_raw"), F.explode(names).alias("indicator"))
+        .select("custom_id", "row_idx", "sc_idx", "answer_order", "text", "indicator", A.last_key_wins(F.col("_raw")).alias("_m"))
         .select("*", A.label_key(m, ind).alias("_key"), A.confidence_key(m, ind).alias("_ckey"), known.labels_of(ind).alias("_labels"))
         .select("*", A.get_key(m, F.col("_key")).alias("_value"), A.get_key(m, F.col("_ckey")).alias("_conf"))
     )
@@ -106,18 +132,20 @@ def answers_long(
     ]
     if extra is not None:
         cols.append(extra(m).alias("extra"))
-    return read.select("custom_id", "row_idx", "indicator", "sc_idx", *cols)
+    out = read.select(*ANSWER_KEYS, *cols, "answer_order")
+    return latest_answers(out) if once and not responses.isStreaming else out
 
 
 def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, reasoning: bool = True) -> DataFrame:
     """One row per input row with the columns of every indicator, in one aggregation by row.
 
-    n_samples = 0 gives plain columns, otherwise _SC1.._SCn slots with the vote over them. All slots of a row meet
+    Where the table has `answer_order`, the latest answer of a slot counts. n_samples = 0 gives plain columns, otherwise _SC1.._SCn slots with the vote over them. All slots of a row meet
     in one bounded buffer and the vote is arithmetic on the row, so vote and pivot share a single shuffle.
     """
     slots = n_samples + 1
     title = {"document_name": "constitution_document_name", "constitution_year": "constitution_year", "document_types": "constitution_document_types"}
     text_fields = ["reasoning"] if reasoning else []
+    lead = "answer_order, " if "answer_order" in long.columns else ""
     aggs, outs = [], [F.col("row_idx")]
     for n, ind in enumerate(indicators):
         documents = list(DOCUMENT_FIELDS) if ind == DOCUMENTS else []
@@ -129,7 +157,7 @@ def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, rea
         # SQL text keeps the many columns cheap to build.
         for i in range(slots):
             mine = f"indicator = {quoted(ind)} and sc_idx = {i}"
-            aggs.append(F.expr(f"max(case when {mine} then struct(prediction, {', '.join(fields)}) end) as _{n}_{i}"))
+            aggs.append(F.expr(f"max(case when {mine} then struct({lead}prediction, {', '.join(fields)}) end) as _{n}_{i}"))
         names = {f: title.get(f, f"{ind}_{f}") for f in fields}
         if n_samples == 0:
             outs.append(F.expr(f"_{n}_0.prediction as `{ind}_prediction`"))
@@ -154,5 +182,5 @@ def self_consistency(
     combined: Sequence[str] | None = None, requests: DataFrame | None = None, alone: Sequence[str] | None = None,
 ) -> DataFrame:
     """responses -> labels -> vote -> wide, attached to the input."""
-    long = answers_long(responses, registry, combined, requests, alone)
+    long = answers_long(responses, registry, combined, requests, alone, once=False)
     return attach_results(rows, wide_results(long, indicators, n_samples))

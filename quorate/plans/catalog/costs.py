@@ -1,12 +1,14 @@
 """Prices and costs."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quorate.functions.values import provider_of
 from quorate.operators import cost as C
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import USAGE, table, with_ctes
-from quorate.registry import DEFAULT_PRICE, PRICES, prices_df
+from quorate.registry import DEFAULT_PRICE, PRICES, local_frame, prices_df
+from quorate.session import run_folder
 
 _PRICES = "prices(prefix, i, o, c) as (values " + ", ".join(
     f"('{p}', cast('{a}' as decimal(10,4)), cast('{b}' as decimal(10,4)), cast('{c}' as decimal(10,4)))" for p, (a, b, c) in PRICES.items()
@@ -127,3 +129,20 @@ def run_progress(spark, sf):
 )
 def model_providers(spark, sf):
     return USAGE.df(spark, sf).groupBy(provider_of(F.col("model")).alias("provider")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query(
+    "observed_progress",
+    with_ctes(
+        [USAGE],
+        """select indicator, count(*) as total, count(*) filter (where status = 'ok') as completed, count(*) filter (where status = 'error') as failed,
+        cast(count(*) filter (where status = 'ok') as double) / count(*) as success_rate from usage group by 1""",
+    ),
+)
+def observed_progress(spark, sf):
+    """The same counts, gathered while the table is written."""
+    groups = [None, "sovereign", "assembly", "entry"]
+    counted, seen = C.observed_progress(USAGE.df(spark, sf), groups)
+    counted.write.parquet(run_folder(spark, "usage"))
+    kinds = {"indicator": pa.string(), "total": pa.int64(), "completed": pa.int64(), "failed": pa.int64(), "success_rate": pa.float64()}
+    return local_frame(spark, kinds, C.progress_of(seen, groups))

@@ -52,8 +52,8 @@ ANSWERS_CTE = f"ans as ({_answers()})"
 
 @query("parse_responses", with_ctes([RESPONSES, JSON, ANSWERS_CTE], "select * from ans"))
 def parse_responses(spark, sf):
-    """Fenced, wrapped, cut-off and empty answers to labels, reasoning and confidence."""
-    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[])
+    """Fenced, wrapped, cut-off and empty answers to labels, reasoning and confidence; no request is answered twice."""
+    long = answers_long(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, combined=["sovereign", "assembly"], alone=[], once=False)
     return long.select("custom_id", "row_idx", "indicator", "sc_idx", "prediction", "reasoning", "confidence")
 
 

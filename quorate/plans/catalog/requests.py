@@ -197,3 +197,18 @@ def open_stub():
 def annotate_user_fn(spark, sf):
     p = Q.prompts(good_rows(spark, sf), DEFAULT_REGISTRY, ["sovereign"], "multiple", user_template=TEMPLATE)
     return annotate(Q.expand_samples(p, [1.0]), open_stub).select("custom_id", "text", "status", "error", "input_tokens")
+
+
+@query(
+    "next_fit_chunks",
+    f"""with recursive s as (select doc_id as row_idx, strlen(text) + 1 as n_bytes, row_number() over (order by doc_id) - 1 as i,
+      sum(strlen(text) + 1) over (order by doc_id) as upto from documents),
+    nxt as materialized (select a.i, greatest(a.i, coalesce(b.i, -1)) + 1 as to_i from (select i, upto - n_bytes + {CAP} as reach from s) a asof left join s b on a.reach >= b.upto),
+    path as (select 0::bigint as i union all select n.to_i from path p join nxt n on n.i = p.i where n.to_i < (select count(*) from s)),
+    c as (select i, row_number() over (order by i) - 1 as chunk from path)
+    select s.row_idx, s.n_bytes::bigint as n_bytes, c.chunk::bigint as chunk from s asof join c on s.i >= c.i""",
+)
+def next_fit_chunks(spark, sf):
+    """Chunks as one pass in order would cut them."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.lit(0).alias("sc_idx"), (F.octet_length("text") + 1).cast("bigint").alias("n_bytes"))
+    return Q.next_fit_chunks(d, CAP).select("row_idx", "n_bytes", "chunk")

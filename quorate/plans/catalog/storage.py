@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorate.operators.repair import retry_requests
+from quorate.operators.rows import with_row_index
 from quorate.plans.catalog import query
-from quorate.plans.catalog.fixtures import RULERS, VOTES, Fixture, table, with_ctes
+from quorate.plans.catalog.fixtures import DOCUMENTS_WIDE, REPROCESSED, RULERS, VOTES, Fixture, table, with_ctes
 from quorate.session import run_folder
 from quorate.sources import sinks, tables
+from quorate.sources.ranged import read_ranged, save_ranged
+from quorate.sources.ranged import upsert_stored as upsert_stored_table
 
 # Whole texts with quotes, line breaks and blanks at the ends.
 NOTES = Fixture("notes", "documents", {"doc_id": "doc_id", "note": "' \"' || coalesce(text, '') || '\"' || chr(10) || source || ', '", "lang": "lang"})
@@ -103,3 +106,39 @@ def bucketed_votes(spark, sf):
     name = run_folder(spark, "votes").rsplit("/", 1)[1].replace("-", "_")
     sinks.save_bucketed(VOTES.df(spark, sf), name, ["row_idx"], 8)
     return spark.table(name).groupBy("row_idx", "indicator").agg(F.count("prediction").alias("n_votes"))
+
+
+@query("ordered_results", with_ctes([STORED], "select format, row_idx, row_number() over (partition by format order by row_idx) - 1 as place from stored cross join (values ('csv'), ('json')) f(format)"))
+def ordered_results(spark, sf):
+    """Text formats written in order: the place of each row counted through the files by name."""
+    folder = run_folder(spark, "ordered")
+    rows = STORED.df(spark, sf)
+    sinks.save_results(rows.repartition(5, "label"), folder, order="row_idx")
+    out = []
+    for kind, number in (("csv", r"^(\d+),"), ("json", r'"row_idx":(\d+)')):
+        place = tables.arrival()
+        lines = spark.read.text(f"{folder}/{kind}").select(place["file"].alias("file"), place["block"].alias("block"), place["line"].alias("line"), F.regexp_extract("value", number, 1).alias("n"))
+        placed = with_row_index(lines.where("n <> ''"), ["file", "block", "line"], "place")
+        out.append(placed.select(F.lit(kind).alias("format"), F.col("n").cast("bigint").alias("row_idx"), F.col("place").cast("bigint").alias("place")))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "upsert_stored",
+    with_ctes(
+        [DOCUMENTS_WIDE, REPROCESSED,
+         """best as (select * from (select *, row_number() over (partition by row_idx order by attempt desc) rn from reprocessed
+            where sovereign_confidence <> -1 and row_idx % 1000 < 400) where rn = 1)"""],
+        """select w.row_idx, w.constitution_prediction, case when b.row_idx is not null then b.sovereign_prediction else w.sovereign_prediction end as sovereign_prediction,
+        case when b.row_idx is not null then b.sovereign_confidence else w.sovereign_confidence end as sovereign_confidence
+        from documents_wide w left join best b on w.row_idx = b.row_idx""",
+    ),
+)
+def upsert_stored(spark, sf):
+    """A stored table repaired in some of its ranges; the files of the others stay."""
+    folder = run_folder(spark, "ranged")
+    old = DOCUMENTS_WIDE.df(spark, sf).select("row_idx", "constitution_prediction", "sovereign_prediction", "sovereign_confidence")
+    save_ranged(old, folder, width=200)
+    again = REPROCESSED.df(spark, sf).where("row_idx % 1000 < 400").select("row_idx", "attempt", "sovereign_prediction", "sovereign_confidence")
+    upsert_stored_table(spark, folder, again, "attempt", update=["sovereign_prediction", "sovereign_confidence"], confidence="sovereign_confidence")
+    return read_ranged(spark, folder)

@@ -43,8 +43,8 @@ def tiered_context_columns(spark, sf):
     "enriched_prompts",
     with_ctes(
         [TIERS],
-        f"""select row_idx, case when coalesce(one, '') = '' then 'Label it.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '--- REFERENCE MATERIAL ---' || chr(10) || one
-        || chr(10) || '--- END REFERENCE MATERIAL ---' || chr(10) || chr(10) || 'Label it.' end as user_prompt from tier_rows""",
+        f"""select row_idx, case when coalesce(one, '') = '' then 'Label it.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '<<< notes from the context tables' || chr(10) || one
+        || chr(10) || 'notes end >>>' || chr(10) || chr(10) || 'Label it.' end as user_prompt from tier_rows""",
     ),
 )
 def enriched_prompts(spark, sf):
@@ -180,8 +180,8 @@ def check_decision(spark, sf):
     "enriched_requests",
     with_ctes(
         [RULERS, FILLED],
-        f"""select row_idx, case when region = 'BUILDING' then 'Label ' || name || '.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '--- REFERENCE MATERIAL ---' || chr(10)
-        || 'about ' || row_idx || chr(10) || '--- END REFERENCE MATERIAL ---' || chr(10) || chr(10) || 'Label ' || name || '.' end as user_prompt,
+        f"""select row_idx, case when region = 'BUILDING' then 'Label ' || name || '.' else '{C.PREAMBLE.replace(chr(10), "' || chr(10) || '")}' || '<<< notes from the context tables' || chr(10)
+        || 'about ' || row_idx || chr(10) || 'notes end >>>' || chr(10) || chr(10) || 'Label ' || name || '.' end as user_prompt,
         case when region <> 'BUILDING' then 'notes' end as search_sources, case when region <> 'BUILDING' then 'u1 | u2' end as search_urls from fr""",
     ),
 )

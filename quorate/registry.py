@@ -1,7 +1,7 @@
 """Indicators, their labels, question texts and model prices.
 
-A registry is small driver-side data. Its size is checked when it is built, so what is derived from it
-(literal arrays, exploded rows, small frames) has a known bound.
+A registry is small driver-side data, written by hand. What is derived from it (literal arrays, exploded rows, small
+frames) is as large as the registry, whatever the data; there is no cap on labels, indicators or prices.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ def save_results(df: DataFrame, folder: str, formats: Sequence[str] = FORMATS, o
     """Result table in several formats under one folder; JSON is written as lines.
 
     Parquet is written first and the text formats are made from it, so the plan runs once. List columns become
-    "; " texts in CSV. `order` sorts at the sink (range sort, no single task).
+    "; " texts in CSV. `order` sorts at the sink (range sort, no single task): within a file rows ascend, and so do the
+    files of a format by name. Each format is sorted on its own, for a reader packs files into tasks by size.
     """
     unknown = set(formats) - set(FORMATS)
     if unknown:
@@ -29,6 +30,7 @@ def save_results(df: DataFrame, folder: str, formats: Sequence[str] = FORMATS, o
     out = df.orderBy(order) if order else df
     out.write.mode(mode).parquet(f"{folder}/parquet")
     stored = df.sparkSession.read.parquet(f"{folder}/parquet")
+    ordered = lambda frame: frame.orderBy(order) if order else frame
     if "csv" in formats:
         flat = [
             F.array_join(F.col(f.name).cast("array<string>"), "; ").alias(f.name)
@@ -36,9 +38,9 @@ def save_results(df: DataFrame, folder: str, formats: Sequence[str] = FORMATS, o
             else (F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "map") else F.col(f.name))
             for f in stored.schema.fields
         ]
-        stored.select(*flat).write.mode(mode).options(header=True, escape='"', **KEEP_BLANKS).csv(f"{folder}/csv")
+        ordered(stored).select(*flat).write.mode(mode).options(header=True, escape='"', **KEEP_BLANKS).csv(f"{folder}/csv")
     if "json" in formats:
-        stored.write.mode(mode).option("ignoreNullFields", "false").json(f"{folder}/json")
+        ordered(stored).write.mode(mode).option("ignoreNullFields", "false").json(f"{folder}/json")
 
 
 def save_request_chunks(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.functions.values import request_id_parts
@@ -100,10 +100,33 @@ def load_requests(spark: SparkSession, paths: str | Sequence[str], n_samples: in
     return out if n_samples is None else check_sample_count(out, n_samples)
 
 
-def load_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Responses by request id; error and missing text both read as an empty answer."""
-    df = spark.read.schema(f"{RESPONSES}, error string").json(paths)
-    return df.select("custom_id", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise("").alias("text"))
+def answer_text() -> Column:
+    """Error and missing text both read as an empty answer."""
+    return F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise("").alias("text")
+
+
+def arrival(line: Column | None = None) -> Column:
+    """Where an answer stands in the files of a source: change time and name of the file, block in it, line of the block.
+
+    A block is read by one task from top to bottom, so a running number in the task orders its lines.
+    """
+    meta = F.col("_metadata")
+    return F.struct(
+        F.unix_micros(meta["file_modification_time"]).alias("time"), meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"), (F.monotonically_increasing_id() if line is None else line).alias("line"),
+    )
+
+
+def load_responses(spark: SparkSession, paths: str | Sequence[str], received: str | None = None) -> DataFrame:
+    """(custom_id, text, arrived); of several answers to a request the one that arrived last counts.
+
+    `arrived` comes from the files and the place in them. Where the lines carry a time of their own, name it by
+    `received`; it then decides first (column received_at).
+    """
+    own = f", `{received}` timestamp" if received else ""
+    df = spark.read.schema(f"{RESPONSES}, error string{own}").json(paths)
+    times = [F.col(received).alias("received_at")] if received else []
+    return df.select("custom_id", answer_text(), *times, arrival().alias("arrived"))
 
 
 def convert_charset(spark: SparkSession, paths: str | Sequence[str], charset: str, out: str) -> None:

@@ -356,7 +356,7 @@ def test_context_tiers(spark):
 
 def test_enrich(spark):
     got = [r[0] for r in spark.createDataFrame([("c",), ("",), (None,)], "x string").coalesce(1).select(C.enrich(F.lit("P"), c("x"), "pre ")).collect()]
-    assert got == ["pre --- REFERENCE MATERIAL ---\nc\n--- END REFERENCE MATERIAL ---\n\nP", "P", "P"]
+    assert got == ["pre <<< notes from the context tables\nc\nnotes end >>>\n\nP", "P", "P"]
 
 
 def tokens_of(text, size):
