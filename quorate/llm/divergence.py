@@ -77,7 +77,8 @@ def block_sums(price: Callable[[np.ndarray, np.ndarray], np.ndarray]):
 
     Per slice, X has a row per term and an indicator column per (source, level); the columns of a source hold exactly
     one 1 in each row, level 0 included. X^T X is the joint table of levels for every pair of sources at once: its cells
-    count terms (at most SLICE, exact in single precision) and are priced once per cell, not per term.
+    count terms (at most SLICE, exact in single precision) and are priced once per cell, not per term. Terms that none of
+    the two tiles has are not here; `seen` is the number of those that are.
     """
 
     def one_hot(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def block_sums(price: Callable[[np.ndarray, np.ndarray], np.ndarray]):
             np.add.at(sums, (si[a], sj[b]), table[a, b].astype(np.int64) * price(pi[a], pj[b]))
         i, j = np.indices(sums.shape)
         keep = (i < j) if ti == tj else np.ones_like(i, bool)
-        return pd.DataFrame({"lang": lang, "a": (i + ti * TILE)[keep], "b": (j + tj * TILE)[keep], "value": sums[keep]})
+        return pd.DataFrame({"lang": lang, "a": (i + ti * TILE)[keep], "b": (j + tj * TILE)[keep], "value": sums[keep], "seen": int(row[-1]) + 1 if len(row) else 0})
 
     return run
 
@@ -158,18 +159,21 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, price
     priced = known.withColumn("p", scaled(F.col("n"), F.col("total"), F.col("terms")))
     at_block = F.pmod(F.xxhash64("term"), F.col("blocks"))
     body = priced.select("lang", at_block.alias("block"), "width", "g", F.lit(False).alias("head"), "term", "lang_n", "n", "p")
+    nothing = F.coalesce(scaled(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(1))
     heads = groups.select(
         "lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "width", "g", F.lit(True).alias("head"), F.lit(None).cast("string").alias("term"),
-        F.lit(0).cast("long").alias("lang_n"), F.lit(0).cast("long").alias("n"), F.coalesce(scaled(F.lit(0).cast("long"), F.col("total"), F.col("terms")), F.lit(1)).alias("p"),
+        F.lit(0).cast("long").alias("lang_n"), F.lit(0).cast("long").alias("n"), nothing.alias("p"),
     )
     tile = F.floor(F.col("g") / TILE)
     dealt = body.unionByName(heads).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("width") - 1) / TILE))))
     dealt = dealt.select("lang", "block", F.least(tile, "other").alias("ti"), F.greatest(tile, "other").alias("tj"), "g", "head", "term", "lang_n", "n", "p")
-    sums = dealt.groupBy("lang", "block", "ti", "tj").applyInPandas(block_sums(price), "lang string, a long, b long, value long")
-    half = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    both = half.unionByName(half.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    names = small_side(groups.select("lang", "g", "source"))
-    pairs = both.join(names.withColumnRenamed("g", "a"), ["lang", "a"]).join(names.select("lang", F.col("g").alias("b"), F.col("source").alias("item")), ["lang", "b"])
+    sums = dealt.groupBy("lang", "block", "ti", "tj").applyInPandas(block_sums(price), "lang string, a long, b long, value long, seen long")
+    half = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    both = half.unionByName(half.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value", "seen"))
+    names = small_side(groups.select("lang", "g", "source", "terms", nothing.alias("p")))
+    pairs = both.join(names.withColumnRenamed("g", "a"), ["lang", "a"]).join(names.select("lang", F.col("g").alias("b"), F.col("source").alias("item"), F.col("p").alias("q")), ["lang", "b"])
+    # All kept terms that neither of the two sources' tiles has lie in one cell of their joint table.
+    pairs = pairs.withColumn("value", F.col("value") + (F.col("terms") - F.col("seen")) * priced_column(price)(F.col("p"), F.col("q")))
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank"))
 
