@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +136,57 @@ def answers_long(
     return latest_answers(out) if once and not responses.isStreaming else out
 
 
+def wide_answers(responses: DataFrame, registry: Registry, indicators: Sequence[str], n_samples: int, reasoning: bool = True) -> DataFrame:
+    """`wide_results` straight from combined answers: all indicators of an answer are read in its row and travel together.
+
+    One row per answer reaches the exchange in place of one per answer and indicator, and one buffer per sample takes the
+    latest answer. For plain label indicators; documents and dependent labels go through `answers_long`.
+    """
+    parts = request_id_parts(F.col("custom_id"))
+    keyed = responses.select(
+        parts["row_idx"].alias("row_idx"), parts["indicator"].alias("prompt_key"), parts["sc_idx"].alias("sc_idx"),
+        F.when(F.col("text") != "", F.col("text")).alias("text"), answer_order(responses.columns).alias("answer_order"),
+    ).where((F.col("prompt_key") == COMBINED) & F.col("row_idx").isNotNull())
+    m, text = F.col("_m"), F.col("text")
+    fields = ["reasoning", "confidence"] if reasoning else ["confidence"]
+    read = keyed.select("row_idx", "sc_idx", "answer_order", "text", A.parse_answer(text).alias("_raw"))
+    read = read.select("row_idx", "sc_idx", "answer_order", "text", A.last_key_wins(F.col("_raw")).alias("_m"))
+    names = list(enumerate(indicators))
+    keys = [c for n, i in names for c in (A.label_key(m, F.lit(i)).alias(f"_k{n}"), A.confidence_key(m, F.lit(i)).alias(f"_c{n}"))]
+    read = read.select("*", *keys)
+    values = [A.get_key(m, F.col(f"_{k}{n}")).alias(f"_{k}v{n}") for n, _ in names for k in "kc"]
+    read = read.select("*", *values)
+    packed = []
+    for n, i in names:
+        cols = [A.read_label(F.col(f"_kv{n}"), string_array(registry.labels(i)), text, F.col(f"_k{n}")).alias("prediction")]
+        cols += [A.read_reasoning(m, F.lit(i)).alias("reasoning")] if reasoning else []
+        cols.append(A.read_score(F.col(f"_cv{n}"), text, F.col(f"_c{n}")).alias("confidence"))
+        packed.append(F.struct(*cols).alias(f"s{n}"))
+    slim = read.select("row_idx", "sc_idx", F.struct("answer_order", *packed).alias("_s"))
+    sides = [F.max(F.when(F.col("sc_idx") == i, F.col("_s"))).alias(f"_slot{i}") for i in range(n_samples + 1)]
+    wide = slim.groupBy("row_idx").agg(*sides)
+    wide = wide.select("row_idx", *[F.col(f"_slot{i}")[f"s{n}"].alias(f"_{n}_{i}") for n, _ in names for i in range(n_samples + 1)])
+    outs = [F.col("row_idx")]
+    for n, i in names:
+        outs += _wide_columns(n, i, fields, {f: f"{i}_{f}" for f in fields}, n_samples)
+    return wide.select(*outs)
+
+
+def _wide_columns(n: int, indicator: str, fields: Sequence[str], names: Mapping[str, str], n_samples: int) -> list[Column]:
+    """Output columns of the n-th indicator from its slot structs _n_0, _n_1, .."""
+    slots = n_samples + 1
+    if n_samples == 0:
+        return [F.expr(f"_{n}_0.prediction as `{indicator}_prediction`"), *[F.expr(f"_{n}_0.{f} as `{names[f]}`") for f in fields]]
+    verdict = slot_verdict([f"_{n}_{i}.prediction" for i in range(slots)])
+    return [
+        verdict["prediction"].alias(f"{indicator}_prediction"),
+        *[F.expr(f"_{n}_{i}.prediction as `{indicator}_SC{i + 1}`") for i in range(slots)],
+        *[F.expr(f"_{n}_{i}.{f} as `{names[f]}_SC{i + 1}`") for f in fields for i in range(slots)],
+        verdict["agreement"].alias(f"{indicator}_agreement"),
+        verdict["uncertainty"].alias(f"{indicator}_uncertainty"),
+    ]
+
+
 def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, reasoning: bool = True) -> DataFrame:
     """One row per input row with the columns of every indicator, in one aggregation by row.
 
@@ -159,16 +210,7 @@ def wide_results(long: DataFrame, indicators: Sequence[str], n_samples: int, rea
             mine = f"indicator = {quoted(ind)} and sc_idx = {i}"
             aggs.append(F.expr(f"max(case when {mine} then struct({lead}prediction, {', '.join(fields)}) end) as _{n}_{i}"))
         names = {f: title.get(f, f"{ind}_{f}") for f in fields}
-        if n_samples == 0:
-            outs.append(F.expr(f"_{n}_0.prediction as `{ind}_prediction`"))
-            outs += [F.expr(f"_{n}_0.{f} as `{names[f]}`") for f in fields]
-            continue
-        verdict = slot_verdict([f"_{n}_{i}.prediction" for i in range(slots)])
-        outs.append(verdict["prediction"].alias(f"{ind}_prediction"))
-        outs += [F.expr(f"_{n}_{i}.prediction as `{ind}_SC{i + 1}`") for i in range(slots)]
-        outs += [F.expr(f"_{n}_{i}.{f} as `{names[f]}_SC{i + 1}`") for f in fields for i in range(slots)]
-        outs.append(verdict["agreement"].alias(f"{ind}_agreement"))
-        outs.append(verdict["uncertainty"].alias(f"{ind}_uncertainty"))
+        outs += _wide_columns(n, ind, fields, names, n_samples)
     return long.groupBy("row_idx").agg(*aggs).select(*outs)
 
 
@@ -181,6 +223,12 @@ def self_consistency(
     rows: DataFrame, responses: DataFrame, registry: Registry, indicators: Sequence[str], n_samples: int,
     combined: Sequence[str] | None = None, requests: DataFrame | None = None, alone: Sequence[str] | None = None,
 ) -> DataFrame:
-    """responses -> labels -> vote -> wide, attached to the input."""
+    """responses -> labels -> vote -> wide, attached to the input.
+
+    Where all indicators share one prompt (`combined` names them, `alone` is empty), they are read in the answer's row.
+    """
+    together = combined is not None and requests is None and alone is not None and not alone and set(indicators) <= set(combined)
+    if together and DOCUMENTS not in indicators and not set(indicators) & set(registry.dependent):
+        return attach_results(rows, wide_answers(responses, registry, indicators, n_samples))
     long = answers_long(responses, registry, combined, requests, alone, once=False)
     return attach_results(rows, wide_results(long, indicators, n_samples))

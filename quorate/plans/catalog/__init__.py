@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from quorate.plans.catalog import costs, evaluation, jobs, parsing, repairs, requests, rollups, storage, streams, verifying, votes  # noqa: F401
+    from quorate.plans.catalog import costs, evaluation, jobs, parsing, repairs, requests, rollups, sinks_and_hooks, storage, streams, verifying, votes  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

@@ -7,6 +7,7 @@ from quorate.functions import values as X
 from quorate.plans.answers import answers_long
 from quorate.plans.catalog import query
 from quorate.plans.catalog.fixtures import DOCUMENT_RESPONSES, RESPONSES, VOTES, WIDE, YEARS, table, with_ctes
+from quorate.plans.variants import answer_types, labels_from_variants
 from quorate.registry import DEFAULT_REGISTRY, string_array
 
 OBJECT = r"\{([^{}]|\{[^{}]*\})*\}"
@@ -57,6 +58,32 @@ def parse_responses(spark, sf):
     return long.select("custom_id", "row_idx", "indicator", "sc_idx", "prediction", "reasoning", "confidence")
 
 
+@query("parse_variant", with_ctes([RESPONSES, JSON, ANSWERS_CTE], "select * from ans"))
+def parse_variant(spark, sf):
+    """The same labels read from VARIANT answers, each parsed once."""
+    return labels_from_variants(RESPONSES.df(spark, sf), DEFAULT_REGISTRY, ["sovereign", "assembly"])
+
+
+def _type_sql(i: str, field: str, key: str) -> str:
+    kind = f"json_type(j, '$.{key}')"
+    return f"""select '{i}' as indicator, '{field}' as field, case when {kind} = 'VARCHAR' then 'string' when {kind} = 'BOOLEAN' then 'boolean' when {kind} = 'NULL' then 'null'
+        when {kind} = 'ARRAY' then 'list' when {kind} = 'OBJECT' then 'object' when {kind} is not null then 'number' end as json_type from js"""
+
+
+@query(
+    "answer_types",
+    with_ctes(
+        [RESPONSES, JSON],
+        "select indicator, field, json_type, count(*) as n from (" + " union all ".join(
+            _type_sql(i, f, k) for i in ("sovereign", "assembly") for f, k in (("label", i), ("confidence", f"{i}_confidence"))
+        ) + ") group by 1, 2, 3",
+    ),
+)
+def answer_type_report(spark, sf):
+    """JSON types per indicator: models that quote labels, or leave them out."""
+    return answer_types(RESPONSES.df(spark, sf), ["sovereign", "assembly"])
+
+
 @query("extract_json", with_ctes([RESPONSES], f"select custom_id, coalesce(nullif(regexp_extract(text, '{OBJECT}'), ''), nullif(regexp_extract(text, '(?s)\\{{.*\\}}'), ''), text) as json_text from responses"))
 def extract_json(spark, sf):
     return RESPONSES.df(spark, sf).select("custom_id", A.extract_json_text(F.col("text")).alias("json_text"))

@@ -76,9 +76,9 @@ def load_rulers(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[read(c).alias(c) if c in typed else F.col(c) for c in df.columns])
 
 
-def load_polities(spark: SparkSession, path: str) -> DataFrame:
-    """Rollup output with nullable ints."""
-    return load_table(spark, path, POLITIES)
+def load_polities(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Rollup output with nullable ints; the columns stand in the order of POLITIES."""
+    return load_table(spark, path, POLITIES, kind=kind)
 
 
 def load_requests(spark: SparkSession, paths: str | Sequence[str], n_samples: int | None = None) -> DataFrame:
