@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorate.llm.common import free_name
+from quorate.llm.common import free_name, small_side, stage
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -47,6 +47,11 @@ def source_targets(totals: DataFrame, max_repeats: int = MAX_REPEATS, weights: t
     )
 
 
+def range_of(key: Column, n_ranges: int) -> Column:
+    """Which of n equal ranges a hexadecimal key lies in."""
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * n_ranges / F.lit(float(1 << 32))).cast("int")
+
+
 def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source",
         max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per document: (doc_id, source, size, source_size, target, taken); taken is in words, repeats counted.
@@ -67,7 +72,7 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     )
     n = rows.count()
     n_ranges = max(1, -(-n // rows_per_bucket))
-    rows = rows.withColumn("range", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges / F.lit(float(1 << 32))).cast("int"))
+    rows = rows.withColumn("range", range_of(F.col("key"), n_ranges))
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
@@ -89,28 +94,64 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 BEFORE_WORD = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
-def repeat_documents(docs: DataFrame, taken: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The mixed corpus: each document as often as it was taken, with the columns of `docs`.
+def repeat_documents(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                     max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The mixed corpus: each document as often as `mix` takes it, with the columns of `docs`.
+
+    A round that was cut inside a document carries its words up to the cut. Documents of which nothing is taken go, save
+    those without words, which cost nothing and stay once. `docs` has to give the same rows each time it is read.
 
-    `taken` has (doc_id, size, taken) as `mix` gives it for the same documents and the same `size`. A round that was cut
-    inside a document carries its words up to the cut. Documents of which nothing was taken go, save those without
-    words, which cost nothing and stay once. Rows equal in id and size are matched one to one, by text order.
+    No text is shuffled for it. Rounds are whole for every range of random keys but one per source, the one in which the
+    last round ends: rows of ranges before it are taken once more, rows behind it are not, and one row per source tells
+    which. Only rows of the one range are put in order, narrow, and joined back by a hash of the whole row. Rows equal in
+    key, id and size follow each other by that hash, so the result does not depend on partitioning; rows equal in all
+    columns are interchangeable. Nulls as in `mix`.
     """
-    own, words, got, turn, nth = (free_name(docs.columns, c) for c in ("mix_id", "mix_size", "mix_taken", "mix_turn", "mix_nth"))
-    counted = docs.withColumn(words, F.coalesce(size, F.lit(0)).cast("long"))
-    counted = counted.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, words).orderBy(text)))
-    plan = taken.select(
-        F.col("doc_id").alias(own), F.col("size").alias("plan_size"), F.col("taken").alias(got),
-        F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.col("taken").desc())).alias("plan_nth"),
-    )
-    joined = counted.alias("d").join(plan.alias("p"), F.col(f"d.{doc_id}").eqNullSafe(F.col(f"p.{own}"))
-                                     & (F.col(f"d.{words}") == F.col("p.plan_size")) & (F.col(f"d.{nth}") == F.col("p.plan_nth")))
-    picked = joined.where((F.col(f"p.{got}") > 0) | (F.col(f"d.{words}") == 0)).select("d.*", f"p.{got}")
-    copies = F.when(F.col(words) > 0, F.ceil(F.col(got) / F.col(words))).otherwise(1).cast("int")
+    names = ("mix_size", "mix_key", "mix_range", "mix_turns", "mix_cut", "mix_hash", "mix_nth", "mix_turn", "mix_plan", "mix_rest", "mix_took")
+    words, key, at, turns, cut, row, nth, turn, origin, rest, took = (free_name(docs.columns, c) for c in names)
+    counted = docs.withColumns({words: F.coalesce(size, F.lit(0)).cast("long"), key: F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))})
+    n_ranges = max(1, -(-docs.count() // rows_per_bucket))
+    ranged = counted.withColumn(at, range_of(F.col(key), n_ranges))
+    per_range = ranged.groupBy(F.col(source).alias("source"), F.col(at).alias("range")).agg(F.sum(words).alias("range_size"))
+    per_range = stage(per_range, "mix-ranges")
+    targets = source_targets(per_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), max_repeats, weights)
+    ends = per_range.withColumn("end", F.sum("range_size").over(Window.partitionBy("source").orderBy("range")))
+    budget = F.round("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.select(F.col("source").alias(origin), whole.alias("rounds"), (budget - whole * F.col("source_size")).alias("left"))
+    # The first range that the rest of the budget does not cover; its own part of the rest is what is left before it.
+    reached = ends.join(plan, ends["source"].eqNullSafe(plan[origin])).where(F.col("end") > F.col("left"))
+    reached = reached.groupBy(origin, "rounds", "left").agg(F.min(F.struct("range", (F.col("left") - F.col("end") + F.col("range_size")).alias("into"))).alias("cut"))
+    plan = plan.join(reached.select(F.col(origin).alias("known"), "cut"), F.col(origin).eqNullSafe(F.col("known")), "left").select(origin, "rounds", "cut")
+    plan = small_side(stage(plan, "mix-plan"))
+    told = ranged.join(plan, F.col(source).eqNullSafe(F.col(origin))).withColumns({
+        turns: F.col("rounds") + F.when(F.col(at) < F.coalesce(F.col("cut.range"), F.lit(0)), 1).otherwise(0),
+        cut: F.coalesce(F.col(at) == F.col("cut.range"), F.lit(False)), rest: F.coalesce(F.col("cut.into"), F.lit(0)),
+    }).select(*docs.columns, words, key, turns, cut, rest)
+
+    # Rows of the ranges that are taken whole.
+    plain = told.where(~F.col(cut)).withColumn(took, F.col(turns) * F.col(words))
+    # Rows of the one range per source: ordered without their texts, then joined back.
+    edge = told.where(cut).withColumn(row, F.xxhash64(*docs.columns))
+    order = [F.col(key), F.col(doc_id), F.col(words), F.col(row)]
+    narrow = edge.select(F.col(source).alias("s"), F.col(key), F.col(doc_id), F.col(words), F.col(row), F.col(turns), F.col(rest))
+    inside = Window.partitionBy("s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum(words).over(inside)
+    last = F.greatest(F.lit(0), F.least(F.col(words), F.col(rest) - (upto - F.col(words))))
+    same = Window.partitionBy("s", key, doc_id, words, row).orderBy(F.col("got").desc())
+    got = narrow.withColumn("got", F.col(turns) * F.col(words) + last).withColumn("n", F.row_number().over(same))
+    got = got.select(F.col("s"), F.col(key).alias("k"), F.col(row).alias("r"), F.col("n"), "got")
+    again = Window.partitionBy(source, key, row).orderBy(F.lit(0))
+    numbered = edge.withColumn(nth, F.row_number().over(again))
+    back = numbered.join(got, F.col(source).eqNullSafe(F.col("s")) & (F.col(key) == F.col("k")) & (F.col(row) == F.col("r")) & (F.col(nth) == F.col("n")))
+    back = back.withColumn(took, F.col("got")).select(*docs.columns, words, took)
+
+    picked = plain.select(*docs.columns, words, took).unionByName(back).where((F.col(took) > 0) | (F.col(words) == 0))
+    copies = F.when(F.col(words) > 0, F.ceil(F.col(took) / F.col(words))).otherwise(1).cast("int")
     out = picked.withColumn(turn, F.explode(F.sequence(F.lit(1), copies)))
-    part = (F.col(got) - (F.col(turn) - 1) * F.col(words)).cast("int")
+    part = (F.col(took) - (F.col(turn) - 1) * F.col(words)).cast("int")
     pieces = F.split(F.col(text), BEFORE_WORD)
     lead = F.when(F.col(text).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(part, F.lit(0)) + lead), "")
-    whole = (part >= F.col(words)) | (F.col(words) == 0)
-    return out.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*docs.columns)
+    words_to_cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(part, F.lit(0)) + lead), "")
+    full = (part >= F.col(words)) | (F.col(words) == 0)
+    return out.withColumn(text, F.when(full, F.col(text)).otherwise(words_to_cut)).select(*docs.columns)

@@ -272,14 +272,21 @@ def keep_one(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     classes = sets.where("sid is not null").groupBy("sid").agg(first)
     named = classes.join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     stays = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    key, nth, ours = (free_name(docs.columns, c) for c in ("keep_tkey", "keep_nth", "keep_ours"))
-    rows = docs.withColumn(key, F.xxhash64(text)).alias("d").join(
-        stays.select("doc_id", "tkey", F.lit(True).alias("ours")).alias("s"),
-        F.col(f"d.{doc_id}").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{key}") == F.col("s.tkey")), "left",
-    ).select("d.*", F.col("s.ours").alias(ours))
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id, key).orderBy(F.lit(0))))
+    key, row, ours = (free_name(docs.columns, c) for c in ("keep_tkey", "keep_row", "keep_ours"))
+    # Of rows equal in id and text the one with the smallest hash of all columns; narrow rows find it.
+    hashed = docs.withColumns({key: F.xxhash64(text), row: F.xxhash64(*docs.columns)})
+    one = hashed.where(F.col(key).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"), F.col(key).alias("tkey")).agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("n"))
+    wanted = stays.join(one, stays["doc_id"].eqNullSafe(one["doc_id"]) & (stays["tkey"] == one["tkey"])).select(stays["doc_id"], stays["tkey"], "row", "n")
+    wanted = stage(wanted, "keep")
+    rows = hashed.alias("d").join(
+        small_side(wanted).alias("s"),
+        F.col(f"d.{doc_id}").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{key}") == F.col("s.tkey")) & (F.col(f"d.{row}") == F.col("s.row")), "left",
+    ).select("d.*", F.col("s.n").alias(ours))
     wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return rows.where(wordless | (F.col(ours).isNotNull() & (F.col(nth) == 1))).select(*docs.columns)
+    single = rows.where(wordless | (F.col(ours) == 1)).select(*docs.columns)
+    # Rows equal in all columns cannot be told apart: one of them is kept by a plain distinct.
+    again = rows.where(~wordless & (F.col(ours) > 1)).select(*docs.columns).dropDuplicates()
+    return single.unionByName(again)
 
 
 def _linked_sets(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Join) -> DataFrame:

@@ -108,15 +108,33 @@ def test_targets_by_water_filling(spark):
     assert got == pytest.approx(want)
 
 
-def test_repeat_documents(spark):
+@pytest.mark.parametrize("per_bucket", [20_000, 11])
+def test_repeat_documents(spark, per_bucket):
+    """The corpus holds of each document what `mix` takes of it, whatever the partitioning."""
     rows = [(i, f" start {'w ' * (i % 9)}end", "ab"[i % 2]) for i in range(80)] + ODD
     docs = docs_of(spark, rows)
     size = n_words(F.col("text"))
-    taken = mixing.mix(docs, size)
-    out = mixing.repeat_documents(docs, taken, size)
+    taken = mixing.mix(docs, size, rows_per_bucket=per_bucket)
+    out = mixing.repeat_documents(docs, size, rows_per_bucket=per_bucket)
     assert out.columns == docs.columns
-    assert out.agg(F.sum(size)).first()[0] == taken.agg(F.sum("taken")).first()[0]
+    want = {(r[0], r[1]): r[2] for r in taken.groupBy("doc_id", "source").agg(F.sum("taken")).where("sum(taken) > 0").collect()}
+    assert {(r[0], r[1]): r[2] for r in out.groupBy("doc_id", "source").agg(F.sum(size).alias("n")).where("n > 0").collect()} == want
     assert out.where("text is null").count() == 1
+    got = sorted(map(str, out.collect()))
+    for n in (1, 3, 8):
+        assert sorted(map(str, mixing.repeat_documents(docs.repartition(n), size, rows_per_bucket=per_bucket).collect())) == got
+    assert mixing.repeat_documents(docs.limit(0), size).count() == 0
+
+
+def test_repeated_rows_in_other_columns(spark):
+    """Rows equal in id and text but not in source or size column: the same ones stay in any partitioning."""
+    rows = [(None, "x y z w", s) for s in "aabbbcd"] + [(7, "p q r", s) for s in "ab"] * 3
+    docs = docs_of(spark, rows)
+    size = n_words(F.col("text"))
+    runs = [sorted(map(str, mixing.repeat_documents(docs.repartition(n), size).collect())) for n in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2] and runs[0]
+    kept = [sorted(map(str, ngram_join.keep_one(docs.repartition(n), ngram_join.Join(2, 80, 100)).collect())) for n in (1, 3, 8)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
 
 
 @pytest.mark.parametrize("join", [ngram_join.Join(), ngram_join.Join(5, 80, 100), ngram_join.Join(1, 80, 100)])
