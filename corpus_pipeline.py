@@ -34,8 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask for."""
-    size = n_words(F.col("text"))
-    return mixing.repeat_documents(docs, stage(mixing.mix(docs, size), "mix"), size)
+    return mixing.repeat_documents(docs, n_words(F.col("text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
