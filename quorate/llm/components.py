@@ -52,33 +52,55 @@ def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFram
 
 
 def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str,
-                     signed: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
+                     signed: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None, few_buckets: bool = False) -> DataFrame:
     """The same from the pairs (a, b) that hold every member against its leader.
 
-    `signed` adds to the rows of buckets that are still open what `may_link` needs; the other rows never carry it.
+    `signed` adds to the rows of buckets that are still open what `may_link` needs; the other rows never carry it. With
+    `few_buckets` an id lies in a small, fixed number of buckets. Then two things keep the pairs few: one member stands for
+    each component of a bucket first, which joins most components by one comparison; and what is left is paired in the
+    first bucket that two ids share only, so that a pair is one row however many buckets it shares.
     """
     tried = stage(to_leader, "tried")
-    first = stage(linked(tried), "linked")
-    comps = connected_components(first)
-    named = rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # Only buckets that still hold several components matter.
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = stage(named.join(mixed, "bucket", "left_semi"), "open")
+    comps = connected_components(stage(linked(tried), "linked"))
+
+    def still_open(table: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components."""
+        named = table.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        return stage(named.join(mixed, "bucket", "left_semi"), "open")
+
+    open_rows = still_open(rows)
     if signed is not None:
         open_rows = stage(signed(open_rows), "signed")
-    rest = (
-        open_rows.alias("x").join(open_rows.alias("y"), F.expr("x.bucket = y.bucket and x.component <> y.component and x.id < y.id"))
-        .where(may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    second = linked(rest)
-    second = stage(second if more is None else second.unionByName(more), "linked")
-    if not second.head(1):
+    if not few_buckets:
+        second = linked(_pairs(open_rows, may_link).distinct().join(tried, ["a", "b"], "left_anti"))
+        return merged(comps, stage(second if more is None else second.unionByName(more), "linked"))
+    others = [c for c in open_rows.columns if c not in ("bucket", "component")]
+    stand_ins = open_rows.groupBy("bucket", "component").agg(F.min_by(F.struct(*others), "id").alias("r")).select("bucket", "component", "r.*")
+    chosen = stage(_pairs(stand_ins, may_link).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+    comps = stage(merged(comps, stage(linked(chosen), "linked")), "labels")
+    open_rows = still_open(open_rows.drop("component"))
+    homes = open_rows.groupBy("id").agg(F.collect_set("bucket").alias("homes"))
+    open_rows = stage(open_rows.join(homes, "id"), "open")
+    first_shared = "x.bucket = array_min(array_intersect(x.homes, y.homes))"
+    rest = _pairs(open_rows, f"({may_link}) and {first_shared}").join(tried.unionByName(chosen), ["a", "b"], "left_anti")
+    last = linked(rest)
+    return merged(comps, stage(last if more is None else last.unionByName(more), "linked"))
+
+
+def _pairs(rows: DataFrame, may_link: str) -> DataFrame:
+    """(a, b) of ids of one bucket in different components that may link."""
+    met = F.expr("x.bucket = y.bucket and x.component <> y.component and x.id < y.id")
+    return rows.alias("x").join(rows.alias("y"), met).where(may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links (a, b), a written table, have joined components or new ids."""
+    if not links.head(1):
         return comps
-    # The second links join components of the first.
     named_end = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
-    joined = second.join(named_end("a"), "a", "left").join(named_end("b"), "b", "left")
+    joined = links.join(named_end("a"), "a", "left").join(named_end("b"), "b", "left")
     over = connected_components(joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")))
-    ids = comps.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id")))
+    ids = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").withColumn("component", F.col("id")))
     top = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
     return ids.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))

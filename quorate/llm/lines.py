@@ -213,9 +213,9 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
         return rows.join(signs.select("id", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]), "id")
 
     apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
-    may_link = f"({apart}) <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
+    may_link = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6 and ({apart}) <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
     to_leader = buckets.where("lo <> id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    return tried_components(buckets.select("bucket", "id"), to_leader, linked, may_link, signed)
+    return tried_components(buckets.select("bucket", "id"), to_leader, linked, may_link, signed, few_buckets=True)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +237,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     first = places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left").where("n > 1 or component is not null")
     first = stage(first.withColumn("component", F.coalesce("component", "id")), "first-lines")
     stays = first.groupBy("component").agg(F.min("first").alias("stays"))
-    fate = places.join(first.join(stays, "component").select("id", "stays"), "id")
+    # A footer on a third of all documents is one id: the small side travels where it can, and no task gets all places of one.
+    fate = places.join(small_side(stage(first.join(stays, "component").select("id", "stays"), "stays")), "id")
     gone = fate.where(~place.eqNullSafe(F.col("stays"))).groupBy("doc_id", "tkey").agg(F.collect_set("line_no").alias("gone"))
     gone = small_side(stage(gone, "gone"), F.size("gone"))
     rows = docs.withColumn(key, F.xxhash64(text)).alias("d").join(
