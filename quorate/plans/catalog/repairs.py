@@ -179,27 +179,30 @@ def combined_results(spark, sf):
 
 _AGAIN = """ag as (select row_idx, case when sovereign_prediction is null or sovereign_confidence = -1 then 1 else 0 end as fs,
     case when constitution_prediction is null or constitution_confidence is null then 1 else 0 end as fc,
-    case when row_idx % 6 = 0 then -1 else 88 end as conf from documents_wide)"""
+    row_idx % 6 <> 0 as first_good, row_idx % 4 >= 2 as second_good from documents_wide)"""
 
 
 @query(
     "indicator_upsert",
     with_ctes(
         [DOCUMENTS_WIDE, _AGAIN],
-        """select w.row_idx, case when fs = 1 and conf <> -1 then '1' else sovereign_prediction end as sovereign_prediction,
-        case when fs = 1 and conf <> -1 then conf else sovereign_confidence end as sovereign_confidence,
-        case when fc = 1 then '2' else constitution_prediction end as constitution_prediction from documents_wide w join ag on w.row_idx = ag.row_idx""",
+        """select w.row_idx, case when fs = 1 and second_good then '0' when fs = 1 and first_good then '1' else sovereign_prediction end as sovereign_prediction,
+        case when fs = 1 and second_good then 91 when fs = 1 and first_good then 88 else sovereign_confidence end as sovereign_confidence,
+        case when fc = 1 then '1' else constitution_prediction end as constitution_prediction from documents_wide w join ag on w.row_idx = ag.row_idx""",
     ),
 )
 def indicator_upsert(spark, sf):
-    """Wide table repaired for several indicators in one join, each only where it had failed."""
+    """Wide table repaired for several indicators in one join, each only where it had failed. Every row is repaired twice,
+    and either repair may itself have failed: the later good one counts."""
     old = DOCUMENTS_WIDE.df(spark, sf).select("row_idx", "sovereign_prediction", "sovereign_confidence", "constitution_prediction", "constitution_confidence")
-    fresh = old.select(
-        "row_idx",
+    row, second = F.col("row_idx"), F.col("attempt") == 2
+    good = F.when(second, row % 4 >= 2).otherwise(row % 6 != 0)
+    fresh = old.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")).select(
+        "row_idx", "attempt",
         (F.col("sovereign_prediction").isNull() | (F.col("sovereign_confidence") == -1)).cast("int").alias("_failed_sovereign"),
         (F.col("constitution_prediction").isNull() | F.col("constitution_confidence").isNull()).cast("int").alias("_failed_constitution"),
-        F.lit("1").alias("sovereign_prediction"),
-        F.when(F.col("row_idx") % 6 == 0, -1).otherwise(88).alias("sovereign_confidence"),
-        F.lit("2").alias("constitution_prediction"),
+        F.when(second, "0").otherwise("1").alias("sovereign_prediction"),
+        F.when(~good, -1).when(second, 91).otherwise(88).alias("sovereign_confidence"),
+        F.when(second, "1").otherwise("2").alias("constitution_prediction"),
     )
-    return P.upsert_indicators(old, fresh, ["sovereign", "constitution"]).drop("constitution_confidence")
+    return P.upsert_indicators(old, fresh, ["sovereign", "constitution"], order="attempt").drop("constitution_confidence")
