@@ -55,8 +55,8 @@ def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[Da
                      signed: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None, few_buckets: bool = False) -> DataFrame:
     """The same from the pairs (a, b) that hold every member against its leader.
 
-    `signed` adds to the rows of buckets that are still open what `may_link` needs; the other rows never carry it. With
-    `few_buckets` an id lies in a small, fixed number of buckets. Then two things keep the pairs few: one member stands for
+    `signed` adds to rows with an `id` what `may_link` needs; only rows of buckets that are still open ever carry it. With
+    `few_buckets` `rows` is (bucket, id) and an id lies in a small, fixed number of buckets. Then two things keep the pairs few: one member stands for
     each component of a bucket first, which joins most components by one comparison; and what is left is paired in the
     first bucket that two ids share only, so that a pair is one row however many buckets it shares.
     """
@@ -70,20 +70,21 @@ def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[Da
         return stage(named.join(mixed, "bucket", "left_semi"), "open")
 
     open_rows = still_open(rows)
-    if signed is not None:
-        open_rows = stage(signed(open_rows), "signed")
     if not few_buckets:
+        if signed is not None:
+            open_rows = stage(signed(open_rows), "signed")
         second = linked(_pairs(open_rows, may_link).distinct().join(tried, ["a", "b"], "left_anti"))
         return merged(comps, stage(second if more is None else second.unionByName(more), "linked"))
-    others = [c for c in open_rows.columns if c not in ("bucket", "component")]
-    stand_ins = open_rows.groupBy("bucket", "component").agg(F.min_by(F.struct(*others), "id").alias("r")).select("bucket", "component", "r.*")
-    chosen = stage(_pairs(stand_ins, may_link).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+    # What `may_link` needs is kept once per id; rows take it along only into the shuffle that pairs them.
+    ids = open_rows.select("id").distinct()
+    signs = stage(ids if signed is None else signed(ids), "signed")
+    stand_ins = open_rows.groupBy("bucket", "component").agg(F.min("id").alias("id"))
+    chosen = stage(_pairs(stand_ins.join(signs, "id"), may_link).distinct().join(tried, ["a", "b"], "left_anti"), "tried")
     comps = stage(merged(comps, stage(linked(chosen), "linked")), "labels")
-    open_rows = still_open(open_rows.drop("component"))
-    homes = open_rows.groupBy("id").agg(F.collect_set("bucket").alias("homes"))
-    open_rows = stage(open_rows.join(homes, "id"), "open")
+    open_rows = still_open(open_rows.select("bucket", "id"))
+    homes = signs.join(open_rows.groupBy("id").agg(F.collect_set("bucket").alias("homes")), "id")
     first_shared = "x.bucket = array_min(array_intersect(x.homes, y.homes))"
-    rest = _pairs(open_rows, f"({may_link}) and {first_shared}").join(tried.unionByName(chosen), ["a", "b"], "left_anti")
+    rest = _pairs(open_rows.join(homes, "id"), f"({may_link}) and {first_shared}").join(tried.unionByName(chosen), ["a", "b"], "left_anti")
     last = linked(rest)
     return merged(comps, stage(last if more is None else last.unionByName(more), "linked"))
 

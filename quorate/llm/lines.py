@@ -22,7 +22,7 @@ BANDS, ROWS = 12, 4
 # Characters hashed at once: the permuted values of a block stay in the processor's cache.
 BLOCK = 1 << 16
 # 64-bit words of the parity bits of a line.
-PARITY = 8
+PARITY = 16
 # Lines whose shingle sets a task remembers while it compares pairs.
 CACHED_LINES = 256
 
