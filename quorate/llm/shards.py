@@ -20,20 +20,20 @@ LARGE = 64
 ROWS_PER_SLOT_BUCKET = 20_000
 
 
-def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """Shard 0..k-1 of each item by k-way differencing.
+def combine(start: np.ndarray) -> np.ndarray:
+    """k-way differencing of n partial partitions, given as rows of k falling sums; the shard of every slot, as (n, k).
 
-    Every item starts as a partial partition (size, 0, ..., 0). The two partial partitions with the largest spread are
-    combined, the larger sums of one meeting the smaller sums of the other, until one is left. Memory is O(items * k).
+    The two partial partitions with the largest spread are combined, the larger sums of one meeting the smaller sums of
+    the other, until one is left. Memory is O(n * k).
     """
-    n = len(sizes)
+    n, k = start.shape
     if n == 0:
-        return np.zeros(0, np.int32)
+        return np.zeros((0, k), np.int32)
     sums = np.zeros((2 * n - 1, k), np.int64)
-    sums[:n, 0] = sizes
+    sums[:n] = start - start[:, -1:]
     left, right = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
     order = np.zeros((n - 1, k), np.int16)
-    heap = [(-int(s), i) for i, s in enumerate(sizes)] if k > 1 else [(0, i) for i in range(n)]
+    heap = [(-int(s), i) for i, s in enumerate(sums[:n, 0])]
     heapq.heapify(heap)
     for node in range(n, 2 * n - 1):
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
@@ -51,13 +51,31 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
         at[order[node - n]] = place[node]
         place[left[node - n]] = at
         place[right[node - n]] = at[::-1]
-    return place[:n, 0].astype(np.int32)
+    return place[:n].astype(np.int32)
+
+
+def difference(sizes: np.ndarray, k: int) -> np.ndarray:
+    """Shard 0..k-1 of each item; every item starts as a partial partition (size, 0, ..., 0)."""
+    start = np.zeros((len(sizes), k), np.int64)
+    start[:, 0] = sizes
+    return combine(start)[:, 0]
 
 
 def _assign(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-        return pd.DataFrame({"task": pdf["task"], "item": pdf["item"], "size": pdf["size"], "part": difference(pdf["size"].to_numpy(np.int64), k)})
+        start = np.zeros((len(pdf), k), np.int64)
+        for i, sums in enumerate(pdf["sums"]):
+            start[i, : len(sums)] = sums
+        # By falling spread, then by item, whatever order the rows came in.
+        by = sorted(range(len(pdf)), key=lambda i: (-(start[i, 0] - start[i, -1]), pdf["item"].iloc[i]))
+        place = combine(start[by])
+        lengths = [len(pdf["sums"].iloc[i]) for i in by]
+        slots = np.concatenate([np.arange(n) for n in lengths])
+        rows = np.repeat(np.arange(len(by)), lengths)
+        return pd.DataFrame({
+            "task": pdf["task"].iloc[0], "item": pdf["item"].iloc[by].repeat(lengths).to_numpy(), "slot": slots,
+            "size": start[by][rows, slots], "part": place[rows, slots],
+        })
 
     return run
 
@@ -65,34 +83,43 @@ def _assign(k: int):
 def assign_items(items: DataFrame, n_shards: int = N_SHARDS, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """(item, shard) for a frame (item binary, size long) of unique, indivisible items.
 
-    One task can difference `items_per_task` items. With more, each task differences its own items into n_shards bundles
-    of near equal size, and the bundles are the items of the next level; large items skip the bundling, so that one
-    item above a whole shard is still evened out by all the others. The number of bundles falls by items_per_task /
-    n_shards with each level, so two or three levels serve any input.
+    One task can difference `items_per_task` items. With more, each task combines its own items into one partial
+    partition of n_shards sums, which the next level combines on with those of the other tasks, slot by slot, as
+    differencing does with any two. Large items skip the first level, so that one item above a whole shard is still evened
+    out by all the others, and so does an even share of the rest, half of what a task can take, which fills what the
+    large ones leave uneven. The number of partial partitions falls by items_per_task with each level, so two or three
+    levels serve any input.
     """
     total, n = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if not items_per_task > n_shards:
         raise ValueError("items_per_task must exceed the number of shards")
     large = max(1, total // (n_shards * LARGE))
-    schema = "task int, item binary, size long, part int"
+    schema = "task int, item binary, slot int, size long, part int"
     levels: list[DataFrame] = []
-    current = items
+    current = items.select("item", F.array("size").alias("sums"))
+    spread = F.get("sums", F.lit(0)) - F.coalesce(F.get("sums", F.lit(n_shards - 1)), F.lit(0)) if n_shards > 1 else F.lit(0)
     while n > items_per_task + n_shards * LARGE:
         tasks = -(-n // items_per_task)
-        small = current.where(F.col("size") < large).withColumn("task", F.pmod(F.xxhash64("item"), F.lit(tasks)).cast("int"))
+        single = (F.size("sums") == 1) & (F.pmod(F.xxhash64(F.lit("single"), "item"), F.lit(1 << 30)) < int((1 << 30) * items_per_task / 2 / n))
+        alone = ~(spread < large) | single
+        small = current.where(~alone).withColumn("task", F.pmod(F.xxhash64("item"), F.lit(tasks)).cast("int"))
         bundled = stage(small.groupBy("task").applyInPandas(_assign(n_shards), schema), "bundles")
-        name = F.concat(F.encode(F.lit(f"bundle {len(levels)} "), "UTF-8"), F.encode(F.concat_ws(" ", "task", "part"), "UTF-8"))
-        levels.append(bundled.select("item", name.alias("bundle")))
-        bundles = bundled.groupBy(name.alias("item")).agg(F.sum("size").alias("size"))
-        current = stage(current.where(F.col("size") >= large).select("item", "size").unionByName(bundles.select("item", "size")), "items")
+        name = F.concat(F.encode(F.lit(f"bundle {len(levels)} "), "UTF-8"), F.encode(F.col("task").cast("string"), "UTF-8"))
+        sums = bundled.groupBy("task", "part").agg(F.sum("size").alias("size"))
+        # The sums of a task, falling: at most n_shards in a list.
+        lists = sums.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("size", "part")), asc=False).alias("s"))
+        partial = stage(lists.select(name.alias("item"), "task", "s.size", "s.part"), "partials")
+        slots = partial.select("task", F.col("item").alias("bundle"), F.posexplode("part").alias("bundle_slot", "part"))
+        levels.append(stage(bundled.join(slots, ["task", "part"]).select("item", "slot", "bundle", "bundle_slot"), "level"))
+        current = stage(current.where(alone).unionByName(partial.select("item", F.col("size").alias("sums"))), "items")
         n = current.count()
-    last = current.select(F.lit(0).alias("task"), "item", "size").groupBy("task").applyInPandas(_assign(n_shards), schema)
-    placed = stage(last.select("item", F.col("part").alias("shard")), "placed")
+    last = current.select(F.lit(0).alias("task"), "item", "sums").groupBy("task").applyInPandas(_assign(n_shards), schema)
+    placed = stage(last.select("item", "slot", F.col("part").alias("shard")), "placed")
     for level in reversed(levels):
-        top = placed.select(F.col("item").alias("bundle"), "shard")
-        inner = level.join(top, "bundle").select("item", "shard")
+        top = placed.select(F.col("item").alias("bundle"), F.col("slot").alias("bundle_slot"), "shard")
+        inner = level.join(top, ["bundle", "bundle_slot"]).select("item", "slot", "shard")
         placed = stage(placed.unionByName(inner), "placed")
-    return placed
+    return placed.where("slot = 0").select("item", "shard")
 
 
 def shard(docs: DataFrame, size: Column, group: Column, n_shards: int = N_SHARDS, doc_id: str = "doc_id",
