@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quorate.plans.answers import answers_long, latest_answers
 from quorate.registry import Registry
 from quorate.sources.tables import RESPONSES, answer_text, arrival
 
-PLACED = "custom_id string, text string, time bigint, file string, block bigint, line bigint"
-
 
 def parse_stream(spark: SparkSession, folder: str, registry: Registry, combined: Sequence[str], alone: Sequence[str] | None = None) -> DataFrame:
     """Streaming (row, indicator, sample) labels; stateless, an unreadable answer gives a null label.
 
-    A request that is answered twice gives two rows; see `parse_stream_once`.
+    A request that is answered twice gives two rows; see `run_parse_once`.
     """
     arriving = spark.readStream.schema(RESPONSES).json(folder)
     return answers_long(arriving, registry, combined=combined, alone=alone, once=False).drop("answer_order")
@@ -34,64 +31,60 @@ def run_parse(
     return _append(parse_stream(spark, folder, registry, combined, alone), out, checkpoint)
 
 
-def line_numbers() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Number the rows of a task in reading order. (The built-in running number is not allowed on streams.)"""
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in batches:
-            yield pdf.assign(line=range(n, n + len(pdf)))
-            n += len(pdf)
-
-    return number
+def placed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming (custom_id, text, arrived) of the answers that name an id; the line is numbered in the batch."""
+    lines = spark.readStream.schema(f"{RESPONSES}, error string").json(folder)
+    return lines.where("custom_id is not null").select("custom_id", answer_text(), arrival(F.lit(0).cast("bigint")).alias("arrived"))
 
 
-def newer_answers() -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Per request the last answer of a batch, if it arrived after all answers seen before.
+def newer_answers(batch: DataFrame, written: DataFrame | None) -> DataFrame:
+    """(custom_id, text, arrived): per request the last answer of a batch, if it arrived after all that are written.
 
-    The state holds the place of the answer that counts and its version, not its text.
+    `written` has (custom_id, answer_order) of earlier answers; only their places are read, not their labels.
     """
-
-    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        newest, text = None, None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                place = (row.time, row.file, row.block, row.line)
-                if newest is None or place > newest:
-                    newest, text = place, row.text
-        if newest is None or (best is not None and newest <= tuple(best[:4])):
-            return
-        version = 1 if best is None else best[4] + 1
-        state.update((*newest, version))
-        yield pd.DataFrame({"custom_id": [key[0]], "received_at": [version], "text": [text]})
-
-    return settle
-
-
-def parse_stream_once(spark: SparkSession, folder: str, registry: Registry, combined: Sequence[str], alone: Sequence[str] | None = None) -> DataFrame:
-    """Streaming labels with `answer_order`, in which every answer outranks the earlier ones to its request.
-
-    Keyed state remembers per request where the answer that counts stood (file time, file, block, line). An answer
-    delivered again, in the same file or by a file that is read late, gives no row; a later answer gives new rows of a
-    higher version, empty ones included. `current_answers` keeps the highest version. The state grows by five
-    narrow fields per request and lives in the checkpoint, so it holds over restarts. Answers without an id are left out.
-    """
-    lines = spark.readStream.schema(f"{RESPONSES}, error string").json(folder)
-    placed = lines.where("custom_id is not null").select("custom_id", answer_text(), arrival(F.lit(0).cast("bigint")).alias("a")).select("custom_id", "text", "a.*")
-    kept = placed.mapInPandas(line_numbers(), PLACED).groupBy("custom_id").applyInPandasWithState(
-        newer_answers(), "custom_id string, received_at int, text string", "time bigint, file string, block bigint, line bigint, version int",
-        "append", GroupStateTimeout.NoTimeout,
-    )
-    return answers_long(kept, registry, combined=combined, alone=alone, once=False)
+    # The running number in a task is not allowed on a stream, but in its batches.
+    numbered = batch.withColumn("arrived", F.col("arrived").withField("line", F.monotonically_increasing_id()))
+    last = numbered.groupBy("custom_id").agg(F.max(F.struct("arrived", "text")).alias("last")).select("custom_id", "last.*")
+    if written is None:
+        return last.select("custom_id", "text", "arrived")
+    known = written.groupBy("custom_id").agg(F.max("answer_order.arrived").alias("known"))
+    return last.join(known, "custom_id", "left").where("known is null or arrived > known").select("custom_id", "text", "arrived")
 
 
 def run_parse_once(
     spark: SparkSession, folder: str, out: str, checkpoint: str, registry: Registry, combined: Sequence[str],
     alone: Sequence[str] | None = None,
 ) -> StreamingQuery:
-    """`parse_stream_once` into a table, to the end of what is there; read the table by `current_answers`."""
-    return _append(parse_stream_once(spark, folder, registry, combined, alone), out, checkpoint)
+    """Labels with `answer_order`, in which every answer outranks the earlier ones to its request, to the end of what is
+    there; read the table by `current_answers`.
+
+    Each batch is reduced to the last answer per request (by file time, file, block, line) and held against the places in
+    the table, which is the state: it holds over restarts and over a lost checkpoint, and a batch that Spark repeats after
+    a crash adds only what is missing. An answer delivered again, in the same file or by a file that is read late, gives
+    no row; a later answer gives new rows, empty ones included. Answers without an id are left out. One stream at a time
+    writes a table. Every batch reads the ids and places of the whole table, so give it few large batches.
+    """
+
+    def settle(batch: DataFrame, number: int) -> None:
+        answers = newer_answers(batch, _written(batch.sparkSession, out))
+        answers_long(answers, registry, combined=combined, alone=alone, once=False).write.mode("append").parquet(out)
+
+    return (
+        placed_answers(spark, folder)
+        .writeStream.foreachBatch(settle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _written(spark: SparkSession, out: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def current_answers(spark: SparkSession, out: str) -> DataFrame:

@@ -15,7 +15,7 @@ from quorate.plans.answers import answers_long, wide_results
 from quorate.registry import DEFAULT_REGISTRY
 from quorate.sources import ranged, sinks, tables
 from quorate.streaming.annotating import annotate_stream, read_ledger, streamed_answers
-from quorate.streaming.responses import current_answers, run_parse_once
+from quorate.streaming.responses import current_answers, newer_answers, run_parse_once
 from quorate.streaming.usage import run_counted_usage
 
 
@@ -94,6 +94,26 @@ def test_stream_keeps_the_last_answer(spark, tmp_path, rows_of):
     assert spark.read.parquet(where[1]).count() == 5
 
 
+def test_newer_answers_of_a_batch_without_python(spark, tmp_path, capsys, rows_of):
+    put_answers(tmp_path / "in", "a.json", [("1|sovereign|0", label("1")), ("2|sovereign|0", label("1")), ("2|sovereign|0", label("0")), ("3|sovereign|0", "")], at=2_000)
+    batch = tables.load_responses(spark, str(tmp_path / "in"))
+    arrived = batch.schema["arrived"].dataType.simpleString()
+    written = spark.createDataFrame(
+        [("1|sovereign|0", ((3_000_000_000, "late", 0, 0),)), ("1|sovereign|0", ((1, "f", 0, 0),)), ("2|sovereign|0", ((1_000, "f", 9, 9),))],
+        f"custom_id string, answer_order struct<arrived:{arrived}>",
+    )
+    newer = newer_answers(batch, written)
+    assert rows_of(newer, "custom_id", "text") == [("2|sovereign|0", label("0")), ("3|sovereign|0", "")]
+    assert len(rows_of(newer_answers(batch, None), "custom_id")) == 3
+    # A call of Python for every request took 0.1 GB over four minutes.
+    newer.explain()
+    assert not any(w in capsys.readouterr().out for w in ("Python", "Pandas"))
+    # A lost checkpoint: the table knows all answers, so reading them again adds no row.
+    for mark in ("ck", "ck-2"):
+        run_parse_once(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / mark), DEFAULT_REGISTRY, [], ["sovereign"]).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 # annotation
 
 def asked(spark, ids):
