@@ -30,19 +30,24 @@ from quorate.session import run_folder
 
 OpenClient = Callable[[], Callable[..., Any]]
 
+# Rows of a written file. Prompts and answers compress so well that files sized by bytes alone give one task millions of rows.
+FILE_ROWS = 50_000
+
 
 def answer_rounds(requests: DataFrame, open_client: OpenClient, rounds: int = 2, partitions: int | None = None) -> DataFrame:
     """Answers to all requests, written, with `received_at` = round; what failed or came back empty is asked again.
 
     One row per request and round it was asked in. The later round counts, so `answers_long` and `self_consistency`
-    take the good repeat of a failed call. A round without anything to ask ends the job.
+    take the good repeat of a failed call. A round without anything to ask ends the job. Files hold FILE_ROWS rows at
+    most, so the rows of a task do not follow the layout of the source.
     """
     spark = requests.sparkSession
     folder = run_folder(spark, "answers")
-    requests.select("custom_id", "system_prompt", "user_prompt", "temperature").write.parquet(f"{folder}/requests")
+    requests.select("custom_id", "system_prompt", "user_prompt", "temperature").write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/requests")
     todo = spark.read.parquet(f"{folder}/requests")
     for n in range(1, rounds + 1):
-        annotate(todo, open_client, partitions).withColumn("received_at", F.lit(n)).write.mode("append").parquet(f"{folder}/responses")
+        answered = annotate(todo, open_client, partitions).withColumn("received_at", F.lit(n))
+        answered.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/responses")
         given = spark.read.schema(f"{RESPONSE_SCHEMA}, received_at int").parquet(f"{folder}/responses")
         failed = given.where((F.col("received_at") == n) & (F.coalesce("text", F.lit("")) == ""))
         todo = todo.join(failed.select("custom_id"), "custom_id", "left_semi")

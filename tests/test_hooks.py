@@ -196,6 +196,14 @@ def test_jobs_leave_earlier_results_behind(spark):
     assert J.split_indicators(["a", "constitution"], "single") == (["a"], ["constitution"]) and J.split_indicators(["a"], "multiple") == ([], ["a"])
 
 
+def test_answers_of_one_large_task_lie_in_files_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "FILE_ROWS", 10)
+    requests = spark.range(95).coalesce(1).selectExpr("cast(id as string) as custom_id", "'s' as system_prompt", "'u' as user_prompt", "0.0D as temperature")
+    given = J.answer_rounds(requests, lambda: lambda s, u, t: "x", rounds=1)
+    per_file = [r["count"] for r in given.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 95 and max(per_file) <= 10
+
+
 def test_dependent_and_probe_jobs_with_failures(spark, rows_of):
     table = spark.createDataFrame([(1, "P", "N", 1, 2, "2"), (2, "P", "N", 1, 2, "0"), (3, "P", "M", 1, 2, "2")], "row_idx int, polity_name string, leader_name string, leader_first_year int, leader_last_year int, assembly_prediction string")
 
