@@ -31,29 +31,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", "component")
 
 
-def bucket_components(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str = "true", more: DataFrame | None = None) -> DataFrame:
-    """(id, component) of ids that link with another: whatever the pairs within buckets, and links `more`, connect.
-
-    `buckets` has (bucket, id, weight, further columns), best as a written table, for it is read several times; `linked` keeps the true links of a frame (a, b).
-    `may_link` is an SQL condition over x.* and y.* that every link fulfils. First every member is held against the
-    leader of its bucket (largest weight), which settles groups of near copies in one comparison each. Then pairs whose
-    ends still lie in different components are compared, so no link is lost and no group of copies gives all its pairs.
-    """
-    rows = buckets
-    # The leader by an aggregate that is combined before the shuffle: a hot bucket sends one row per task.
-    order = F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i"))
-    others = [c for c in rows.columns if c not in ("bucket", "id", "weight")]
-    lead = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "weight", *others), order).alias("y")).select("bucket", "y.*")
-    to_leader = (
-        rows.alias("x").join(lead.alias("y"), "bucket").where("x.id <> y.id").where(may_link)
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    )
-    return tried_components(rows, to_leader, linked, may_link, more=more)
-
-
 def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[DataFrame], DataFrame], may_link: str,
                      signed: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None, few_buckets: bool = False) -> DataFrame:
-    """The same from the pairs (a, b) that hold every member against its leader.
+    """(id, component) of ids that link with another: whatever the pairs within buckets, and links `more`, connect.
+
+    `rows` has (bucket, id, further columns), best as a written table, for it is read several times; `linked` keeps the true
+    links of a frame (a, b). `may_link` is an SQL condition over x.* and y.* that every link fulfils. First come the pairs
+    `to_leader`, which hold every member of a bucket against its leader and settle groups of near copies in one comparison
+    each. Then pairs whose ends still lie in different components are compared, so no link is lost and no group of copies
+    gives all its pairs.
 
     `signed` adds to rows with an `id` what `may_link` needs; only rows of buckets that are still open ever carry it. With
     `few_buckets` `rows` is (bucket, id) and an id lies in a small, fixed number of buckets. Then two things keep the pairs few: one member stands for

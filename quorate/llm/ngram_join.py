@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorate.llm.common import free_name, small_side, stage
-from quorate.llm.components import bucket_components
+from quorate.llm.components import tried_components
 
 # Sets up to this size may be enumerated; where the boundary lies below it is decided by counted costs.
 LIGHT_MAX = 40
@@ -25,6 +25,8 @@ LIGHT_MAX = 40
 SKETCH_BITS = 22
 # A shingle counted this often has its list dealt over several tasks.
 HOT_COUNT, HOT_PARTS = 10_000, 64
+# Taken off the weight of sets that may be enumerated; more than any count.
+LESS = 1 << 32
 # 64-bit words of the parity bits of a set.
 PARITY = 8
 CACHED_WORDS = 200_000
@@ -162,7 +164,8 @@ def read_sketch(described: DataFrame) -> np.ndarray:
 def inverted_entries(texts: DataFrame, join: Join, sketch: np.ndarray) -> DataFrame:
     """(bucket, id, n, pos, weight, hot): the prefix of every set, rarest shingles first.
 
-    weight is the count of the rarest shingle: sets that consist of common shingles only are the centres of their group.
+    weight is the count of the rarest shingle: sets that consist of common shingles only are the centres of their group. Sets
+    that may be enumerated instead weigh less than all others.
     A task names a set that it meets again only once.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
@@ -181,7 +184,7 @@ def inverted_entries(texts: DataFrame, join: Join, sketch: np.ndarray) -> DataFr
                 c = counts[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = join.prefix(len(t))
                 first = np.lexsort((t, c))[:p]
-                got.append((t[first].view(np.int64), np.full(p, sid), np.full(p, len(t)), np.arange(p), np.full(p, c[first[0]]), c[first] >= HOT_COUNT))
+                got.append((t[first].view(np.int64), np.full(p, sid), np.full(p, len(t)), np.arange(p), np.full(p, int(c[first[0]]) - (LESS if len(t) <= LIGHT_MAX else 0), np.int64), c[first] >= HOT_COUNT))
                 if len(got) == 500:
                     yield pd.DataFrame(dict(zip(("bucket", "id", "n", "pos", "weight", "hot"), map(np.concatenate, zip(*got)))))
                     got = []
@@ -293,25 +296,38 @@ def _linked_sets(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Joi
     entries = inverted_entries(rows, join, sketch)
     # Lists of one set say nothing. Hot lists are dealt over tasks and kept as they are.
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(0)
-    over = Window.partitionBy("bucket", part)
-    lists = entries.select("*", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"), F.count(F.lit(1)).over(over).alias("read"))
-    shared = stage(lists.where("hot or lo < hi").select("bucket", "id", "n", "pos", "weight", "read"), "lists")
+    # The leader of a list has the largest weight. Plain columns order the window, so that none but these are shuffled.
+    over = Window.partitionBy("bucket", part).orderBy(F.desc("weight"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = [F.first(c).over(over).alias(f"lead_{c}") for c in ("weight", "id", "n", "pos")]
+    lists = entries.select("*", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"), F.count(F.lit(1)).over(over).alias("read"), *first)
+    lead = F.struct((-F.col("lead_weight")).alias("w"), F.col("lead_id").alias("id"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos"))
+    shared = stage(lists.where("hot or lo < hi").select("bucket", "id", "n", "pos", "hot", "read", lead.alias("lead")), "lists")
     cost = {r["n"]: r["read"] for r in shared.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.sum("read").alias("read")).collect()}
     small = sets.where(F.col("tokens").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     count = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
     light = light_boundary(join, count, cost)
-    # One text stands for each class. The parity bits go with the list entries, so that pairs which cannot link are
-    # refused where lists are joined and never become rows.
+    # One text stands for each class. The parity bits go with the rows of open buckets, so that pairs which cannot link are
+    # refuted where lists are joined and never become rows.
     chosen = sets.where("sid is not null").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("bits").alias("bits"))
     chosen = stage(chosen.select("sid", "tkey", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]), "classes")
-    buckets = shared.where(F.col("n") >= join.least_size(light + 1)).select("bucket", "id", "weight", "n", "pos")
-    buckets = stage(buckets.join(chosen.drop("tkey").withColumnRenamed("sid", "id"), "id"), "buckets")
+    buckets = shared.where(F.col("n") >= join.least_size(light + 1))
     reach = "least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)"
     apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
-    may_link = (
-        f"greatest(x.n, y.n) > {light} and {join.num + join.den} * ({reach}) >= {join.num} * (x.n + y.n)"
-        f" and {join.num + join.den} * ({apart}) <= {join.den - join.num} * (x.n + y.n)"
+    fits = f"greatest(x.n, y.n) > {light} and {join.num + join.den} * ({reach}) >= {join.num} * (x.n + y.n)"
+    alike = f"{join.num + join.den} * ({apart}) <= {join.den - join.num} * (x.n + y.n)"
+    signs = chosen.drop("tkey").withColumnRenamed("sid", "id")
+
+    # The leader's place came with the list, so a member sends one narrow pair and no bits. Hot lists lie in several
+    # tasks: the first of their leaders leads them all.
+    hot_leads = buckets.where("hot").groupBy("bucket").agg(F.min("lead").alias("lead"))
+    members = buckets.where("not hot").select("id", "n", "pos", "lead").unionByName(
+        buckets.where("hot").drop("lead").join(hot_leads, "bucket").select("id", "n", "pos", "lead")
     )
+    held = members.select(F.struct("id", "n", "pos").alias("x"), F.struct("lead.id", "lead.n", "lead.pos").alias("y")).where("x.id <> y.id").where(fits)
+    held = held.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.expr("x.n + y.n").alias("n")).distinct()
+    of = lambda c: signs.select(F.col("id").alias(c), F.struct(*[f"b{i}" for i in range(PARITY)]).alias(c * 2))
+    near_bits = " + ".join(f"bit_count(aa.b{i} ^ bb.b{i})" for i in range(PARITY))
+    to_leader = held.join(of("a"), "a").join(of("b"), "b").where(f"{join.num + join.den} * ({near_bits}) <= {join.den - join.num} * n").select("a", "b")
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = stage(pairs, "near")
@@ -323,7 +339,8 @@ def _linked_sets(rows: DataFrame, sets: DataFrame, sketch: np.ndarray, join: Joi
         return compare_texts(near.join(side("a"), "a").join(side("b"), "b"), join)
 
     more = subset_links(small.where(F.col("n") <= light), join, light) if light else None
-    return bucket_components(buckets, linked, may_link, more)
+    rows_of = buckets.select("bucket", "id", "n", "pos")
+    return tried_components(rows_of, to_leader, linked, f"{fits} and {alike}", lambda open_rows: open_rows.join(signs, "id"), more=more)
 
 
 def compare_texts(pairs: DataFrame, join: Join) -> DataFrame:

@@ -167,6 +167,17 @@ def test_ngram_join(spark, join):
     assert kept.count() == sum(not s for s in sets) + len({root[i] for i, s in enumerate(sets) if s})
 
 
+def test_parity_bits_are_kept_once_per_set(spark, monkeypatch):
+    """Not once per list entry, where they made most of the bytes shuffled."""
+    columns, write = {}, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: columns.setdefault(name, df.columns) and write(df, name))
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{words} x{i % 3}", "a") for i in range(6)] + [(9, "a b c", "a")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 9}
+    assert [name for name, cols in columns.items() if "b0" in cols] == ["classes"]
+
+
 @pytest.mark.parametrize("boundary", [12, 25])
 def test_subsets_find_all_links_of_small_sets(spark, boundary):
     rng = np.random.default_rng(3)
