@@ -77,8 +77,10 @@ def tried_components(rows: DataFrame, to_leader: DataFrame, linked: Callable[[Da
 
 def _pairs(rows: DataFrame, may_link: str) -> DataFrame:
     """(a, b) of ids of one bucket in different components that may link."""
-    met = F.expr("x.bucket = y.bucket and x.component <> y.component and x.id < y.id")
-    return rows.alias("x").join(rows.alias("y"), met).where(may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # One condition, the cheap parts first: a condition put on a join is evaluated after those of a filter above it, and
+    # every row meets itself here.
+    met = f"x.component <> y.component and x.id < y.id and ({may_link})"
+    return rows.alias("x").join(rows.alias("y"), F.expr("x.bucket = y.bucket")).where(met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:

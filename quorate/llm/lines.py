@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quorate.llm.common import free_name, small_side, stage
 from quorate.llm.components import tried_components
+from quorate.llm.sieve import A, chain, id_sketch, is_inside, mix
 
 # Characters per shingle; lines link from this Jaccard similarity of their shingle sets.
 CHARS, THRESHOLD = 7, 0.8
@@ -25,28 +26,27 @@ BLOCK = 1 << 16
 PARITY = 16
 # Lines whose shingle sets a task remembers while it compares pairs.
 CACHED_LINES = 256
+# Places on which the shingles of a line fall when a pair is held together before its sets are built.
+SLOTS = 4096
 
 _rng = np.random.default_rng(20_240_701)
 MULTIPLIERS = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 OFFSETS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * B
-    x = (x ^ (x >> np.uint64(27))) * C
-    return x ^ (x >> np.uint64(31))
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\v\f\r", b"abcdefghijklmnopqrstuvwxyz    ")
 
 
 def normal_lines(text: str | None) -> list[bytes]:
     """Lines of a text as they are compared: A-Z lower-cased, runs of blanks one space, none at the ends."""
     if text is None:
         return []
-    return [b" ".join(x.split()) for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    flat = text.encode("utf-8", "surrogatepass").translate(FOLD)
+    while b"  " in flat:
+        flat = flat.replace(b"  ", b" ")
+    return [x.strip(b" ") for x in flat.split(b"\n")]
 
 
 def line_id(line: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(line)).view(np.int64))
+    return int.from_bytes(xxhash.xxh64_digest(line), "big", signed=True)
 
 
 def shingle_set(line: str) -> set[str]:
@@ -54,48 +54,69 @@ def shingle_set(line: str) -> set[str]:
     return {line[i: i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
-def parity_bits(line: str) -> list[int]:
-    """PARITY longs; each bit is the parity of the distinct shingles that fall on it. The xor of two lines' bits has at
-    most as many ones as their sets differ in shingles, so it refutes links exactly."""
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    width = min(CHARS, len(code))
-    value = np.zeros(len(code) - width + 1, np.uint64)
-    for i in range(width):
-        value = value * A + code[i: len(code) - width + 1 + i]
-    spot = np.bincount((mix(np.unique(value)) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(spot.astype(np.uint8)).view(np.int64).tolist()
-
-
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """(lines, BANDS) keys; lines with equal rows of a band's minima share its key."""
-    texts = [x.decode("utf-8", "surrogatepass") for x in lines]
+def shingle_values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed 64-bit values of the shingles of all lines, one line after the other, and where each line's begin."""
     size = np.array([len(t) for t in texts])
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     count = np.maximum(1, size - CHARS + 1)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
     padded = np.concatenate([code, np.zeros(CHARS, np.uint64)])
     value = np.zeros(len(code), np.uint64)
     for i in range(CHARS):
-        value = value * A + padded[i: i + len(code)]
+        value *= A
+        value += padded[i: i + len(code)]
     # Positions where a shingle of the line starts; a short line has one, whose value is that of the whole line.
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    value = value[at]
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    value = value[np.repeat(start - first, count) + np.arange(count.sum())]
     for j in np.flatnonzero(size < CHARS):
-        value[first[j]] = xxhash.xxh64_intdigest(lines[j])
-    value = (mix(value) >> np.uint64(32)).astype(np.uint32)
-    minima = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+        value[first[j]] = xxhash.xxh64_intdigest(texts[j].encode("utf-8", "surrogatepass"))
+    return mix(value), first
+
+
+def parity_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of shingles of each line, and PARITY longs a line; each bit is the parity of the distinct shingles that fall
+    on it. The xor of two lines' bits has at most as many ones as their sets differ in shingles, so it refutes links exactly."""
+    value, first = shingle_values(texts)
+    own = [np.unique(v) for v in np.split(value, first[1:])]
+    n, width = np.array([len(v) for v in own]), 64 * PARITY
+    spot = (np.concatenate(own) >> np.uint64(40)).astype(np.int64) % width + np.repeat(np.arange(len(own)) * width, n)
+    odd = np.bincount(spot, minlength=len(own) * width) & 1
+    return n, np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
+
+
+def near_enough(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """False only for pairs that cannot reach the threshold.
+
+    Slots that the shingles of one line take and those of the other do not stand for as many shingles that only one of
+    them has, and a set has at most as many shingles as its line has places.
+    """
+    spot = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    value, first = shingle_values(list(spot))
+    count = np.diff(first, append=len(value))
+    taken = np.zeros((len(spot), SLOTS), bool)
+    taken[np.repeat(np.arange(len(spot)), count), (value >> np.uint64(40)).astype(np.int64) % SLOTS] = True
+    packed = np.packbits(taken, axis=1).view(np.uint64)
+    i, j = (np.array([spot[x] for x in side]) for side in (a, b))
+    apart = np.bitwise_count(packed[i] ^ packed[j]).sum(axis=1, dtype=np.int64)
+    return apart <= (1 - threshold) / (1 + threshold) * (count[i] + count[j]) + 1e-6
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """(lines, BANDS) keys; lines with equal rows of a band's minima share its key."""
+    value, first = shingle_values([x.decode("utf-8", "surrogatepass") for x in lines])
+    value = (value >> np.uint64(32)).astype(np.uint32)
+    minima, turned = np.empty((BANDS, ROWS, len(lines)), np.uint32), np.empty_like(value)
     for j in range(BANDS * ROWS):
-        minima[j] = np.minimum.reduceat(value * MULTIPLIERS[j] + OFFSETS[j], first)
-    keys = np.zeros((BANDS, len(lines)), np.uint64)
-    for b in range(BANDS):
-        keys[b] += np.uint64(b + 1)
-        for r in range(ROWS):
-            keys[b] = mix(keys[b] * A + minima[b * ROWS + r])
+        np.multiply(value, MULTIPLIERS[j], out=turned)
+        turned += OFFSETS[j]
+        np.minimum.reduceat(turned, first, out=minima[j // ROWS, j % ROWS])
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for r in range(ROWS):
+        keys = mix(keys * A + minima[:, r])
     return keys.T.view(np.int64)
 
 
-def _blocks(lines: list[bytes]) -> Iterator[list[bytes]]:
+def _blocks(lines: list) -> Iterator[list]:
     out, n = [], 0
     for x in lines:
         out.append(x)
@@ -145,64 +166,76 @@ def line_bands(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "bucket long, id long")
 
 
-def wanted_lines(docs: DataFrame) -> DataFrame:
-    """(id, line) for the lines named by the array `ids` of each row."""
+def wanted_lines(docs: DataFrame, sketch: bytes) -> DataFrame:
+    """(id, line) of lines whose id is in the sketch, and of a few others; a task gives a line once."""
+    last = len(sketch) * 8 - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for pdf in batches:
             out = []
-            for text, ids in zip(pdf["text"], pdf["ids"]):
-                want = set(ids)
+            for text in pdf["text"]:
                 for x in normal_lines(text):
-                    if not want:
-                        break
-                    if x and (i := line_id(x)) in want:
-                        want.discard(i)
+                    if x and sketch[((i := line_id(x)) & last) >> 3] >> (i & 7) & 1 and i not in met:
+                        met.add(i)
                         out.append((i, x.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["id", "line"])
 
-    return docs.select("text", "ids").mapInPandas(run, "id long, line string")
+    return docs.select("text").mapInPandas(run, "id long, line string")
 
 
 def line_signs(lines: DataFrame) -> DataFrame:
-    """(id, n, bits) of lines (id, line); n is the number of shingles."""
+    """(id, n, b0, b1, ...) of lines (id, line); n is the number of shingles, the others are the parity bits."""
+    names = [f"b{i}" for i in range(PARITY)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(shingle_set(x)) for x in pdf["line"]], "bits": [parity_bits(x) for x in pdf["line"]]})
+            done = 0
+            for block in _blocks(pdf["line"].to_list()):
+                n, bits = parity_bits(block)
+                out = pd.DataFrame(bits, columns=names)
+                out.insert(0, "id", pdf["id"].to_numpy()[done: done + len(block)])
+                out.insert(1, "n", n)
+                yield out
+                done += len(block)
 
-    return lines.select("id", "line").mapInPandas(run, "id long, n int, bits array<long>")
+    return lines.select("id", "line").mapInPandas(run, ", ".join(["id long", "n int", *[f"{x} long" for x in names]]))
 
 
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, a_line, b_line) whose shingle sets reach the threshold, exactly.
 
-    A line mostly comes in several pairs in a row; the sets of CACHED_LINES lines are remembered.
+    Most pairs are refuted by `near_enough`; sets are built for the others. A line mostly comes in several pairs in a
+    row; the sets of CACHED_LINES lines are remembered.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = lru_cache(CACHED_LINES)(shingle_set)
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["a_line"], pdf["b_line"]):
-                s, t = shingles(x), shingles(y)
-                both = len(s & t) if min(len(s), len(t)) >= threshold * max(len(s), len(t)) - 1e-9 else 0
-                keep.append(both >= threshold * (len(s) + len(t) - both) - 1e-9)
-            yield pdf.loc[keep, ["a", "b"]]
+            keep, done = [], 0
+            for block in _blocks(pdf["b_line"].to_list()):
+                first = pdf["a_line"].iloc[done: done + len(block)].to_list()
+                done += len(block)
+                for x, y, near in zip(first, block, near_enough(first, block, threshold)):
+                    both, all_of = 0, 1
+                    if near:
+                        s, t = shingles(x), shingles(y)
+                        both = len(s & t)
+                        all_of = len(s) + len(t) - both
+                    keep.append(both >= threshold * all_of - 1e-9)
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component) of lines that link with another line."""
     over = Window.partitionBy("bucket")
     bands = line_bands(docs).select("bucket", "id", F.min("id").over(over).alias("lo"), F.max("id").over(over).alias("hi"))
     # The smallest line of a bucket leads it.
     buckets = stage(bands.where("lo < hi").select("bucket", "id", "lo").distinct(), "bands")
-    # One text that holds the line serves for each line in a shared bucket.
-    holders = places.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("tkey").alias("tkey"))
-    wanted = stage(holders.groupBy("tkey").agg(F.collect_list("id").alias("ids")), "wanted")
-    lines = stage(wanted_lines(docs.join(small_side(wanted, F.size("ids")), "tkey")).dropDuplicates(["id"]), "candidate-lines")
+    # Texts are read again where they lie: the sketch says which lines to send, so that no text is shuffled.
+    lines = stage(wanted_lines(docs, id_sketch(buckets)).dropDuplicates(["id"]), "candidate-lines")
 
     def linked(pairs: DataFrame) -> DataFrame:
         side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
@@ -210,10 +243,11 @@ def line_components(docs: DataFrame, places: DataFrame, threshold: float = THRES
 
     def signed(rows: DataFrame) -> DataFrame:
         signs = line_signs(lines.join(rows.select("id").distinct(), "id", "left_semi"))
-        return rows.join(signs.select("id", "n", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY)]), "id")
+        return rows.join(signs, "id")
 
+    # Literals are doubles (D): plain ones are decimals, which cost many times as much for each pair.
     apart = " + ".join(f"bit_count(x.b{i} ^ y.b{i})" for i in range(PARITY))
-    may_link = f"least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-6 and ({apart}) <= {(1 - threshold) / (1 + threshold)} * (x.n + y.n) + 1e-6"
+    may_link = f"least(x.n, y.n) >= {threshold}D * greatest(x.n, y.n) - 1e-6D and ({apart}) <= {(1 - threshold) / (1 + threshold)}D * (x.n + y.n) + 1e-6D"
     to_leader = buckets.where("lo <> id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     return tried_components(buckets.select("bucket", "id"), to_leader, linked, may_link, signed, few_buckets=True)
 
@@ -227,11 +261,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     count as one and keep the same lines. Columns named n_lines or n_dropped are not overwritten: the counts then take
     the same names behind an underscore. An empty table gives no rows.
     """
-    key, drops = free_name(docs.columns, "line_tkey"), free_name(docs.columns, "line_drops")
+    drops = free_name(docs.columns, "line_drops")
     n_lines, n_dropped = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_dropped")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     places = stage(line_places(source), "places")
-    comps = line_components(source, places, threshold)
+    comps = line_components(source, threshold)
     place = F.struct("doc_id", "tkey", "line_no")
     # Only lines that occur twice or link with others can drop.
     first = places.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(comps, "id", "left").where("n > 1 or component is not null")
@@ -239,23 +273,25 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     stays = first.groupBy("component").agg(F.min("first").alias("stays"))
     # A footer on a third of all documents is one id: the small side travels where it can, and no task gets all places of one.
     fate = places.join(small_side(stage(first.join(stays, "component").select("id", "stays"), "stays")), "id")
-    gone = fate.where(~place.eqNullSafe(F.col("stays"))).groupBy("doc_id", "tkey").agg(F.collect_set("line_no").alias("gone"))
-    gone = small_side(stage(gone, "gone"), F.size("gone"))
-    rows = docs.withColumn(key, F.xxhash64(text)).alias("d").join(
-        gone.alias("g"), F.col(f"d.{doc_id}").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key}") == F.col("g.tkey")), "left"
-    ).select("d.*", F.col("g.gone").alias(drops))
-
-    def rebuild(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(texts, gone):
-            lost = set() if g is None else set(g)
-            out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost))
-        return pd.Series(out, dtype=object)
-
-    # Texts that keep all lines are not sent to Python.
-    cut = F.pandas_udf(rebuild, "string")(F.when(F.col(drops).isNotNull(), F.col(text)), F.col(drops))
-    counted = rows.withColumns({
+    # Texts stay where they lie: a chain of sketches says exactly, for every line of the documents, whether it goes.
+    gone = stage(fate.where(~place.eqNullSafe(F.col("stays"))).select(F.xxhash64(F.xxhash64("doc_id", "tkey"), "line_no").alias("id")).distinct(), "gone")
+    names = F.transform(F.array_repeat(F.xxhash64(doc_id, F.xxhash64(text)), F.size(F.split(text, "\n"))), lambda x, i: F.xxhash64(x, i))
+    levels = chain(gone, docs.select(F.explode(names).alias("id")))
+
+    def rebuild(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, names in batches:
+            size = [0 if x is None else len(x) for x in names]
+            flat = [x for x in names if x is not None and len(x)]
+            lost = np.split(is_inside(np.concatenate(flat), levels) if flat else np.zeros(0, bool), np.cumsum(size)[:-1])
+            n = [int(x.sum()) for x in lost]
+            yield pd.DataFrame({
+                "text": pd.Series(["\n".join(x for x, g in zip(t.split("\n"), gone) if not g) if k else None for t, gone, k in zip(texts, lost, n)], dtype=object),
+                "n": np.array(n, np.int64),
+            })
+
+    # Texts that keep all lines do not come back from Python.
+    counted = docs.withColumn(drops, F.pandas_udf(rebuild, "text string, n long")(text, names)).withColumns({
         n_lines: F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"),
-        n_dropped: F.when(F.col(drops).isNull(), 0).otherwise(F.size(F.array_distinct(drops))).cast("long"),
+        n_dropped: F.col(f"{drops}.n"),
     })
-    return counted.withColumn(text, F.when(F.col(drops).isNull(), F.col(text)).otherwise(cut)).select(*docs.columns, n_lines, n_dropped)
+    return counted.withColumn(text, F.when(F.col(n_dropped) > 0, F.col(f"{drops}.text")).otherwise(F.col(text))).select(*docs.columns, n_lines, n_dropped)
