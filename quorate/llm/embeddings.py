@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from quorate.llm.common import BROADCAST_ROWS, small_side, stage
+from quorate.llm.common import small_side, stage
 from quorate.llm.components import connected_components
 
 THRESHOLD = 0.95
@@ -21,7 +21,7 @@ TILE = 2048
 BOX_DIMS, FINENESS = 8, 2
 # A block is what meets other blocks as one row: at most so many bytes of vectors and so many tiles, and if the table
 # allows it at least so many blocks.
-BLOCK_BYTES, BLOCK_TILES, BLOCKS = 8 << 20, 16, 16
+BLOCK_BYTES, BLOCK_TILES, BLOCKS = 4 << 20, 16, 16
 # The first comparison takes so many leading dimensions that two vectors differ there by this many times the reach, squared.
 HEAD_GAP = 7.0
 # Room for rounding in bounds, and in those that are calculated in single precision.
@@ -47,12 +47,10 @@ def keyed(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
 def _classes(fine: DataFrame, repeated: DataFrame) -> DataFrame:
     """Classes of equal vectors that can be compared: (rep, copies, v). Only first rows of vectors that repeat are gathered by key."""
-    n, alone = repeated.count(), lambda table: table.select(F.col("vec_id").cast("long").alias("rep"), F.lit(1).cast("long").alias("copies"), "v")
-    if not n:
+    alone = lambda table: table.select(F.col("vec_id").cast("long").alias("rep"), F.lit(1).cast("long").alias("copies"), "v")
+    if not repeated.head(1):
         return alone(fine)
-    kept = fine.join(small_side(repeated), "key", "left").where("copies is null or cast(vec_id as long) = rep")
-    if n > BROADCAST_ROWS:
-        kept = stage(kept, "kept")  # it is read several times
+    kept = stage(fine.join(small_side(repeated), "key", "left").where("copies is null or cast(vec_id as long) = rep"), "kept")
     firsts = kept.where("copies is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("rep", "copies", "v")])
     return alone(kept.where("copies is null")).unionByName(firsts.drop("key"))
 
@@ -64,6 +62,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _turned(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit rows along the axes, some rows at a time, for the steps between are in double precision and of full width."""
+    out = np.empty((len(x), axes.shape[1]))
+    for k in range(0, len(x), TILE):
+        np.matmul(_unit(x[k : k + TILE]), axes, out=out[k : k + TILE])
+    return out
+
+
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -135,9 +141,14 @@ def close_pairs(a: Callable[[np.ndarray], np.ndarray], b: Callable[[np.ndarray],
     links = links[np.ix_(rows, cols)]
     x, y = _unit(a(rows)), _unit(b(cols))
     if 16 * np.count_nonzero(links) > links.size:
-        product = x @ y.T
-        links = product >= threshold
-        r, c = np.nonzero(np.abs(product - threshold) < SLACK)
+        unsure = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for i in range(0, len(x), PIECE):
+            product = x[i : i + PIECE] @ y.T
+            links[i : i + PIECE] = product >= threshold
+            product -= threshold
+            at, c = np.nonzero(np.abs(product, out=product) < SLACK)
+            unsure.append((at + i, c))
+        r, c = (np.concatenate(side) for side in zip(*unsure))
     else:
         r, c = np.nonzero(links)
     for k in range(0, len(r), SOME_PAIRS):
@@ -168,7 +179,7 @@ class _Block:
     def __init__(self, ids: bytes, copies: bytes, x: bytes, axes: np.ndarray, kind: type, tile: int):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
         self.x = np.frombuffer(x, kind).reshape(len(self.ids), -1)
-        turned = _unit(self.x) @ axes
+        turned = _turned(self.x, axes)
         self.head, self.box = _head(turned), turned[:, :BOX_DIMS].copy()
         self.starts = np.arange(0, len(self.ids), tile)
         self.lo, self.hi = np.minimum.reduceat(self.box, self.starts), np.maximum.reduceat(self.box, self.starts)
@@ -242,11 +253,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     rows = keyed(vectors, vec_id, embedding)
     fine = rows.where("key is not null")
     of_key = fine.groupBy("key").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.size("v")).alias("dim"))
-    repeated = stage(of_key.where("copies > 1"), "repeated")
-    n_classes = fine.groupBy(F.size("v").alias("dim")).count().unionByName(repeated.select("dim", (1 - F.col("copies")).alias("count"))).groupBy("dim").agg(F.sum("count"))
-    repeated = repeated.drop("dim")
+    keys = stage(of_key, "keys")
+    repeated = keys.where("copies > 1").drop("dim")
     classes, found = _classes(fine, repeated), None
-    for dim, n in n_classes.collect():
+    for dim, n in keys.groupBy("dim").count().collect():
         part = _compare(classes.where(F.size("v") == dim), dim, n, threshold, tile)
         found = part if found is None else found.unionByName(part)
     ids = rows.select("vec_id", "key")
@@ -285,7 +295,7 @@ def _compare(classes: DataFrame, dim: int, n: int, threshold: float, tile: int)
             if not batch.num_rows:
                 continue
             x = _matrix(batch, dim)
-            cells = np.floor(_unit(x) @ axes[:, :n_box] * (FINENESS / reach)) + (1 << 15)
+            cells = np.floor(_turned(x, axes[:, :n_box]) * (FINENESS / reach)) + (1 << 15)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"),
                                               _binary(np.clip(cells, 0, (1 << 16) - 1).astype(">u2")), _binary(np.ascontiguousarray(x, dtype=kind))],
                                              names=["rep", "copies", "cell", "x"])
@@ -310,7 +320,7 @@ def _compare(classes: DataFrame, dim: int, n: int, threshold: float, tile: int)
 
     def packed(rows: pa.Table, number: int) -> pa.RecordBatch:
         x = b"".join(v.as_buffer() for v in rows.column("x"))
-        turned = _unit(np.frombuffer(x, kind).reshape(-1, dim)) @ axes[:, :n_box]
+        turned = _turned(np.frombuffer(x, kind).reshape(-1, dim), axes[:, :n_box])
         ids, copies = (rows.column(c).to_numpy().tobytes() for c in ("rep", "copies"))
         return pa.RecordBatch.from_pydict({
             "block": [number], "turn": [(number >> 32) + (number & 0xFFFFFFFF)], "lo": [turned.min(axis=0).tolist()], "hi": [turned.max(axis=0).tolist()],

@@ -69,7 +69,6 @@ def test_repeated_vectors_by_key(spark, monkeypatch):
     frame = spark.createDataFrame(rows, SCHEMA)
     for most in (500_000, 0):
         monkeypatch.setattr(common, "BROADCAST_ROWS", most)
-        monkeypatch.setattr(embeddings, "BROADCAST_ROWS", most, raising=False)
         got = sorted(map(tuple, embeddings.near_duplicates(frame).collect()), key=str)
         count = lambda i: 12 + (i % 5 in (0, 2)) - 1
         want = [(i, count(i), i % 5, i < 5) for i in range(60)] + [(100, 12, 0, False), (7, 12, 2, False), (200, 0, 200, True)]
